@@ -273,7 +273,7 @@ def carried_items(index: list[Index], texts: list[str | None]) -> Iterator[tuple
     """(place in texts, item) for every passage that a text carries."""
     cleaned = [plain(t) if t else "" for t in texts]
     for one in index:
-        if one.unit is CHARACTERS:
+        if one.unit == CHARACTERS:
             at = [k for k, t in enumerate(cleaned) if SPACELESS_CHAR.search(t)]
             docs = [characters(cleaned[k]) for k in at]
         else:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.queries import filter_queries, training_core
+from flowloom.queries import filter_queries, join_queries, training_core
 
-_MODULES = (training_core, filter_queries)
+_MODULES = (training_core, filter_queries, join_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

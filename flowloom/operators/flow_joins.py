@@ -85,7 +85,8 @@ def pair_in_order(requests: DataFrame, responses: DataFrame, keys: list[str], or
     return a.join(b, [*keys, "position"], "left")
 
 
-WEIGHTS = {"ja4": 100, "ja3": 70, "ja4_pre": 50, "ja4_b": 40}
+#: How tightly a key pins a client.
+WEIGHTS = {"ja4": 100, "ja4_pre": 70, "ja4_b": 50, "ja3": 40}
 
 
 def classify(flows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -99,14 +100,15 @@ def classify(flows: DataFrame, rules: DataFrame) -> DataFrame:
     if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     has = {k: text(F.col(k)) != "" for k in ("ja4", "ja3", "ja4_b", "ja4_pre", "sni")}
-    anchor = F.when(has["ja4"], F.concat(F.lit("ja4:"), "ja4")).when(has["ja3"], F.concat(F.lit("ja3:"), "ja3")).when(has["ja4_b"], F.concat(F.lit("b:"), "ja4_b")).when(has["ja4_pre"], F.concat(F.lit("p:"), "ja4_pre")).when(has["sni"], F.concat(F.lit("s:"), F.lower("sni")))
-    score = sum([F.when(c, 1000 + WEIGHTS.get(k, 0)).otherwise(0) for k, c in has.items()], F.lit(0))
+    anchor = F.when(has["ja4"], F.concat(F.lit("ja4:"), "ja4")).when(has["ja3"], F.concat(F.lit("ja3:"), "ja3")).when(has["ja4_b"], F.concat(F.lit("b:"), "ja4_b")).when(has["ja4_pre"], F.concat(F.lit("p:"), "ja4_pre"))
+    score = sum([F.when(has[k], 1000 + w).otherwise(0) for k, w in WEIGHTS.items()], F.lit(0))
     r = rules.select(anchor.alias("anchor"), score.alias("score"), has["sni"].cast("int").alias("named"), "load_order", "label", *[F.col(k).alias(f"r_{k}") for k in has]).filter(F.col("anchor").isNotNull())
     lengths = sorted(x[0] for x in rules.filter(has["ja4_pre"]).select(F.length("ja4_pre")).distinct().collect())
     host = F.lower(F.regexp_replace(text(F.col("authority")), r":\d+$", ""))
-    ja4_b = F.split_part(text(F.col("ja4")), F.lit("_"), F.lit(2))
-    distinct = flows.select(text(F.col("ja4")).alias("ja4"), text(F.col("ja3")).alias("ja3"), ja4_b.alias("ja4_b"), host.alias("host")).distinct()
-    anchors = [F.concat(F.lit("ja4:"), "ja4"), F.concat(F.lit("ja3:"), "ja3"), F.concat(F.lit("b:"), "ja4_b"), F.concat(F.lit("s:"), "host"), *[F.concat(F.lit("p:"), F.substring("ja4", 1, n)) for n in lengths]]
+    parts = F.split(text(F.col("ja4")), "_")
+    ja4_b = F.when(F.size(parts) == 3, parts[1]).otherwise("")
+    distinct = flows.select(text(F.col("ja4")).alias("ja4"), text(F.col("ja3")).alias("ja3"), ja4_b.alias("ja4_b"), host.alias("host")).filter("ja4 <> '' OR ja3 <> ''").distinct()
+    anchors = [F.concat(F.lit("ja4:"), "ja4"), F.concat(F.lit("ja3:"), "ja3"), F.concat(F.lit("b:"), "ja4_b"), *[F.concat(F.lit("p:"), F.substring("ja4", 1, n)) for n in lengths]]
     met = distinct.withColumn("anchor", F.explode(F.array_distinct(F.array(*anchors)))).join(F.broadcast(r), "anchor")
     holds = lambda k, c: (text(F.col(f"r_{k}")) == "") | c
     met = met.filter(holds("ja4", F.col("r_ja4") == F.col("ja4")) & holds("ja3", F.col("r_ja3") == F.col("ja3")) & holds("ja4_b", F.col("r_ja4_b") == F.col("ja4_b")) & holds("ja4_pre", F.col("ja4").startswith(F.col("r_ja4_pre"))) & holds("sni", F.lower("r_sni") == F.col("host")))

@@ -160,7 +160,7 @@ def F14_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 I19_fingerprint_score = F14_classify
 SQL["F14_classify"] = rf"""{_W}, top AS (SELECT trim(ja4) AS ja4, count(*) AS n FROM flows WHERE ja4 <> '' GROUP BY trim(ja4) ORDER BY n DESC, ja4 LIMIT 8),
 r AS (SELECT 'exact ' || ja4 AS label, 1 AS o, ja4, '' AS pre, '' AS sni FROM top UNION ALL SELECT * FROM (VALUES ('quic', 2, '', 'q13d', ''), ('tls13 pair', 3, '', 't13d13', ''), ('market', 4, '', 't13d', 'api.quillmarket.example'), ('by name', 5, '', '', 'api.bepezi.example')) AS t(label, o, ja4, pre, sni)),
-m AS (SELECT u.id, label, o, sni <> '' AS named, CASE WHEN r.ja4 <> '' THEN 1100 ELSE 0 END + CASE WHEN pre <> '' THEN 1050 ELSE 0 END + CASE WHEN sni <> '' THEN 1000 ELSE 0 END AS score FROM u JOIN r ON (r.ja4 = '' OR r.ja4 = coalesce(u.ja4, '')) AND (pre = '' OR starts_with(coalesce(u.ja4, ''), pre)) AND (sni = '' OR sni = lower(regexp_replace(coalesce(u.authority, ''), ':\d+$', ''))))
+m AS (SELECT u.id, label, o, sni <> '' AS named, CASE WHEN r.ja4 <> '' THEN 1100 ELSE 0 END + CASE WHEN pre <> '' THEN 1070 ELSE 0 END AS score FROM u JOIN r ON (r.ja4 <> '' OR pre <> '') AND (coalesce(u.ja4, '') <> '' OR coalesce(u.ja3, '') <> '') AND (r.ja4 = '' OR r.ja4 = coalesce(u.ja4, '')) AND (pre = '' OR starts_with(coalesce(u.ja4, ''), pre)) AND (sni = '' OR sni = lower(regexp_replace(coalesce(u.authority, ''), ':\d+$', ''))))
 SELECT id, arg_max(label, (score, named, o)) AS label FROM m GROUP BY id"""
 SQL["I19_fingerprint_score"] = SQL["F14_classify"]
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.queries import change_queries, filter_queries, join_queries, sql_queries, training_core
+from flowloom.queries import change_queries, decode_queries, filter_queries, join_queries, sql_queries, training_core
 
-_MODULES = (training_core, filter_queries, join_queries, sql_queries, change_queries)
+_MODULES = (training_core, filter_queries, join_queries, sql_queries, change_queries, decode_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

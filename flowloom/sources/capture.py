@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowloom.decode import capture, hello, http1, http2, streams
 
@@ -57,7 +60,7 @@ def with_connections(segments: DataFrame) -> DataFrame:
     pair = F.array_join(F.array_sort(F.array("src", "dst")), "|")
     s = segments.withColumn("pair", F.concat_ws("|", "transport", pair))
     # a SYN without ACK names the client even if a later packet was captured first
-    first = s.groupBy("session_id", "transport", "pair").agg(F.min("packet_no").alias("first_no"), F.min_by("src", "packet_no").alias("first_src"), F.min_by("src", F.when((F.col("flags") & F.lit(0x12)) == 2, F.col("packet_no"))).alias("syn_src"))
+    first = s.groupBy("session_id", "transport", "pair").agg(F.min("packet_no").alias("first_no"), F.min_by("src", "packet_no").alias("first_src"), F.min_by("src", F.when(F.col("flags").bitwiseAND(F.lit(0x12)) == 2, F.col("packet_no"))).alias("syn_src"))
     numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("first_no")))
     known = numbered.select("session_id", "pair", F.concat(F.when(F.col("transport") == "udp", "udp:").otherwise(""), F.col("n").cast("string")).alias("connection_id"), F.coalesce("syn_src", "first_src").alias("client"))
     return s.join(known, ["session_id", "pair"]).withColumn("from_client", F.col("src") == F.col("client")).drop("pair")
@@ -74,29 +77,25 @@ def _reason(kind: str, client: bytes, server: bytes, transport: str, keyed: bool
     return "unparsed"
 
 
-def decode_connection(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Flows of one connection, or one row with the reason why it has none."""
-    session, connection = key
-    pdf = pdf.sort_values("packet_no", kind="stable")
-    one = pdf.iloc[0]
-    src = one["client"]
-    dst = one["dst"] if one["src"] == src else one["src"]
+def decode_connection(session: str, connection: str, rows_in: list[tuple]) -> list[dict]:
+    """Flows of one connection, or one row with the reason why it has none. rows_in: ts_micros, transport, src, dst, seq, flags, payload, client, from_client in order of packets."""
+    at0, transport, src0, dst0, _, _, _, src, _ = rows_in[0]
+    dst = dst0 if src0 == src else src0
     sides = {}
     for up in (True, False):
-        p = pdf[pdf["from_client"] == up]
-        if one["transport"] == "tcp":
-            syn = p[(p["flags"] & 2) > 0]
-            first = (int(syn.iloc[0]["seq"]) + 1) & 0xFFFFFFFF if len(syn) else None
-            sides[up] = streams.stitch([(int(a), bytes(b), int(c)) for a, b, c in zip(p["seq"], p["payload"], p["ts_micros"])], CONNECTION_CAP, first)
+        p = [r for r in rows_in if r[8] == up]
+        if transport == "tcp":
+            first = next(((r[4] + 1) & 0xFFFFFFFF for r in p if r[5] & 2), None)
+            sides[up] = streams.stitch([(r[4], r[6], r[0]) for r in p], CONNECTION_CAP, first)
         else:
-            sides[up] = streams.Stream(b"".join(map(bytes, p["payload"])), starts=[0], times=[int(pdf["ts_micros"].min())])
+            sides[up] = streams.Stream(b"".join(r[6] for r in p), starts=[0], times=[at0])
     client, server = sides[True], sides[False]
     blank = dict.fromkeys(_names(FLOW)) | {
-        "session_id": session, "connection_id": connection, "stream_id": "", "src_addr": src, "dst_addr": dst, "ts_micros": int(pdf["ts_micros"].min()), "bytes_up": len(client.data), "bytes_down": len(server.data),
+        "session_id": session, "connection_id": connection, "stream_id": "", "src_addr": src, "dst_addr": dst, "ts_micros": min(r[0] for r in rows_in), "bytes_up": len(client.data), "bytes_down": len(server.data),
         "gaps": client.gaps + server.gaps, "error": "", "proxy_addr": "", "proxy_type": "", "proxy_user": "", "proxy_pass": "", "duration_micros": 0, "status": 0,
     }
     rows, a, b, proxy = [], 0, 0, {}
-    if one["transport"] == "tcp":
+    if transport == "tcp":
         for _ in range(4):  # proxies may be chained
             kind = streams.classify(client.data[a:], server.data[b:])
             tunnel = None
@@ -129,18 +128,42 @@ def decode_connection(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 "response_headers": pairs(e.response_headers), "request_body": e.request_body, "response_body": e.response_body, "messages": [{"from_client": c, "opcode": o, "payload": p} for c, o, p in e.messages],
             })
     if not rows and (len(client.data) or len(server.data)):
-        kind = streams.classify(client.data[a:], server.data[b:]) if one["transport"] == "tcp" else "udp"
+        kind = streams.classify(client.data[a:], server.data[b:]) if transport == "tcp" else "udp"
         h = hello.parse_hello(client.data[a : a + 16389]) if kind == "tls" else None
-        rows.append(blank | proxy | {"reason": _reason(kind, client.data, server.data, one["transport"], False), "sni": h.sni if h else "", "ja3": hello.ja3(h) if h else "", "ja4": hello.ja4(h) if h else ""})
+        rows.append(blank | proxy | {"reason": _reason(kind, client.data, server.data, transport, False), "sni": h.sni if h else "", "ja3": hello.ja3(h) if h else "", "ja4": hello.ja4(h) if h else ""})
     for n, r in enumerate(rows):
         r["id"] = f"{session}-{connection}-{n}"
-    return pd.DataFrame(rows, columns=_names(FLOW))
+    return rows
+
+
+def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Connections of a sorted partition one after the other; only one connection, up to the cap, is held."""
+    key, held, size, out = None, [], 0, []
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for session, connection, *row in zip(*columns):
+            if (session, connection) != key:
+                if held:
+                    out += decode_connection(*key, held)
+                key, held, size = (session, connection), [], 0
+            size += len(row[6])
+            if size <= 2 * CONNECTION_CAP:
+                held.append(tuple(row))
+            if len(out) >= 500:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+    if held:
+        out += decode_connection(*key, held)
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def decode_capture(segments: DataFrame) -> DataFrame:
     """Flows (reason NULL) and connections without flows (reason set) of the segments."""
-    c = with_connections(segments).select("session_id", "connection_id", "packet_no", "ts_micros", "transport", "src", "dst", "seq", "flags", "payload", "client", "from_client")
-    return c.groupBy("session_id", "connection_id").applyInPandas(decode_connection, FLOW)
+    c = with_connections(segments).select("session_id", "connection_id", "ts_micros", "transport", "src", "dst", "seq", "flags", "payload", "client", "from_client", "packet_no")
+    placed = c.repartition("session_id", "connection_id").sortWithinPartitions("session_id", "connection_id", "packet_no").drop("packet_no")
+    schema = to_arrow_schema(T.StructType.fromDDL(FLOW))
+    return placed.mapInArrow(lambda batches: _decode(batches, schema), FLOW)
 
 
 def import_captures(spark: SparkSession, path: str, out: str) -> dict[str, str]:

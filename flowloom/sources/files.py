@@ -17,7 +17,14 @@ FORMAT = 1
 #: Secrets that a key log may hold.
 KEY_LABELS = ("CLIENT_RANDOM", "CLIENT_EARLY_TRAFFIC_SECRET", "CLIENT_HANDSHAKE_TRAFFIC_SECRET", "SERVER_HANDSHAKE_TRAFFIC_SECRET", "CLIENT_TRAFFIC_SECRET_0", "SERVER_TRAFFIC_SECRET_0", "EARLY_EXPORTER_SECRET", "EXPORTER_SECRET")
 #: Older names of session sources.
-SOURCE_KINDS = {"SOURCE_KIND_PCAP": "pcap", "SOURCE_KIND_ANDROID": "android", "SOURCE_KIND_MITMPROXY": "mitmproxy", "SOURCE_KIND_PKTAP": "pktap"}
+SOURCE_KINDS = {
+    "SOURCE_KIND_CHROME": "chrome",
+    "SOURCE_KIND_MITMPROXY": "mitmproxy",
+    "SOURCE_KIND_ANDROID_EMULATOR": "android",
+    "SOURCE_KIND_ANDROID_DEVICE": "android",
+    "SOURCE_KIND_GENERIC": "import",
+    "SOURCE_KIND_UNSPECIFIED": "",
+}
 
 
 def read_keylog(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +136,7 @@ def unpack_bundle(archive: str, folder: str | None = None) -> str:
 
 def registry_rows(builtin: list[dict], files: dict[str, str]) -> list[dict]:
     """Fingerprint rules of a built-in list and of user files in order of name: an object with ``fingerprints`` or a bare list; rows without a label or
-    key are skipped, and files that aren't JSON too."""
+    fingerprint key are skipped, and files that aren't JSON too."""
     rows: list[dict] = []
     for source in [json.dumps(builtin), *(files[k] for k in sorted(files))]:
         try:
@@ -138,6 +145,6 @@ def registry_rows(builtin: list[dict], files: dict[str, str]) -> list[dict]:
             continue
         items = data.get("fingerprints", []) if isinstance(data, dict) else data
         for r in items if isinstance(items, list) else []:
-            if isinstance(r, dict) and r.get("label") and any(r.get(k) for k in ("ja4", "ja4_pre", "ja4_b", "ja3", "sni")):
+            if isinstance(r, dict) and r.get("label") and any(r.get(k) for k in ("ja4", "ja4_pre", "ja4_b", "ja3")):
                 rows.append({k: str(r.get(k) or "") for k in ("label", "ja4", "ja4_pre", "ja4_b", "ja3", "sni")} | {"load_order": len(rows)})
     return rows

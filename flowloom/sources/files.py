@@ -38,7 +38,7 @@ def read_keylog(spark: SparkSession, path: str) -> DataFrame:
 def read_follow(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, from_client, bytes of a followed raw stream: hex lines, indented ones from the server."""
     lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(r"^\t?[0-9a-fA-F]+$") & (F.length(F.trim(F.regexp_replace("line", "\t", ""))) % 2 == 0)).select("file", "line_no", ~F.col("line").startswith("\t").alias("from_client"), F.unhex(F.regexp_replace("line", "\t", "")).alias("bytes"))
+    return lines.filter(F.col("line").rlike(r"^\t?[0-9a-fA-F]+$") & (F.length(F.trim(F.regexp_replace("line", "\t", ""))) % 2 == 0)).select("file", "line_no", (~F.col("line").startswith("\t")).alias("from_client"), F.unhex(F.regexp_replace("line", "\t", "")).alias("bytes"))
 
 
 PDML = "proto array<struct<_name:string,field:array<struct<_name:string,_show:string,_value:string>>>>"

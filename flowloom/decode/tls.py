@@ -52,22 +52,24 @@ def handshake_start(data: bytes) -> bytes:
     return out
 
 
-def server_choice(data: bytes) -> tuple[bytes, int, int] | None:
-    """(random, version, suite) of the ServerHello."""
+def server_choice(data: bytes) -> tuple[bytes, int, int, bool] | None:
+    """(random, version, suite, encrypt-then-MAC) of the ServerHello."""
     h = handshake_start(data)
     if len(h) < 42 or h[0] != 2:
         return None
     version, random, at = struct.unpack_from(">H", h, 4)[0], h[6:38], 39 + h[38]
     if at + 3 > len(h):
         return None
+    later_mac = False
     suite, end = struct.unpack_from(">H", h, at)[0], 4 + int.from_bytes(h[1:4], "big")
     at += 5
     while at + 4 <= min(end, len(h)):
         kind, size = struct.unpack_from(">HH", h, at)
         if kind == VERSIONS and size == 2:
             version = struct.unpack_from(">H", h, at + 4)[0]
+        later_mac = later_mac or kind == 22
         at += 4 + size
-    return random, version, suite
+    return random, version, suite, later_mac
 
 
 class _Aead:
@@ -96,15 +98,25 @@ class _Aead:
 
 
 class _Cbc:
-    def __init__(self, suite: Suite, key: bytes, iv: bytes, mac: bytes, version: int) -> None:
-        self.suite, self.key, self.iv, self.mac, self.version, self.seq = suite, key, iv, mac, version, 0
+    """MAC then encrypt, or the other way round where both sides agreed on it."""
+
+    def __init__(self, suite: Suite, key: bytes, iv: bytes, mac: bytes, version: int, later_mac: bool) -> None:
+        self.suite, self.key, self.iv, self.mac, self.version, self.later_mac, self.seq = suite, key, iv, mac, version, later_mac, 0
 
     def open(self, kind: int, version: int, body: bytes) -> tuple[int, bytes] | None:
+        if self.later_mac:
+            size = crypto.digest_size(self.suite.mac)
+            body, tag = body[:-size], body[-size:]
+            if hmac.new(self.mac, struct.pack(">QBHH", self.seq, kind, version, len(body)) + body, self.suite.mac).digest() != tag:
+                return None
         if len(body) < 32 and self.version > 0x0301 or not body or len(body) % 16:
             return None
         iv, data = (body[:16], body[16:]) if self.version > 0x0301 else (self.iv, body)
         self.iv = body[-16:]
         plain = crypto.cbc_open(self.key, iv, data)
+        if self.later_mac:
+            self.seq += 1
+            return kind, plain[: len(plain) - plain[-1] - 1]
         size = crypto.digest_size(self.suite.mac)
         end = len(plain) - plain[-1] - 1 - size
         if end < 0:
@@ -120,7 +132,7 @@ def open_tls(client: Stream, server: Stream, secrets: dict[tuple[str, str], str]
     hello_bytes, choice = handshake_start(client.data), server_choice(server.data)
     if len(hello_bytes) < 38 or choice is None or choice[2] not in SUITES:
         return None
-    random, (server_random, version, number) = hello_bytes[6:38], choice
+    random, (server_random, version, number, later_mac) = hello_bytes[6:38], choice
     suite, out = SUITES[number], []
     sides = ((client, "CLIENT"), (server, "SERVER"))
     if version >= 0x0304:
@@ -140,7 +152,7 @@ def open_tls(client: Stream, server: Stream, secrets: dict[tuple[str, str], str]
             block = crypto.prf(master, b"key expansion", server_random + random, 2 * (mac + suite.key + iv), suite.hash if version >= 0x0303 else None)
             part = lambda size, at: block[at + k * size : at + (k + 1) * size]
             macs, keys, ivs = part(mac, 0), part(suite.key, 2 * mac), part(iv, 2 * (mac + suite.key))
-            reader, changed = (_Cbc(suite, keys, ivs, macs, version) if suite.cipher == "cbc" else _Aead(suite, keys, ivs, version)), False
+            reader, changed = (_Cbc(suite, keys, ivs, macs, version, later_mac) if suite.cipher == "cbc" else _Aead(suite, keys, ivs, version)), False
         plain, chunks, size = Stream(gaps=stream.gaps), [], 0
         for kind, record_version, body, at in records(stream.data):
             if kind == CHANGE:

@@ -16,15 +16,16 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowloom.decode import capture, hello, http1, http2, streams
+from flowloom.decode import capture, hello, http1, http2, streams, tls
 
 CONNECTION_CAP = 64 << 20
+MAX_SECRETS = 1_000_000
 SEGMENT = "session_id string, packet_no long, ts_micros long, transport string, src string, dst string, seq long, flags int, payload binary, owner_pid long"
 FLOW = (
     "session_id string, id string, connection_id string, stream_id string, ts_micros long, duration_micros long, method string, scheme string, authority string, path string, query string, protocol string, status int, src_addr string, dst_addr string, "
     "proxy_addr string, proxy_type string, proxy_user string, proxy_pass string, error string, redirect_location string, req_content_encoding string, resp_content_encoding string, http2_fingerprint string, "
     "request_headers array<struct<name:string,value:string>>, response_headers array<struct<name:string,value:string>>, request_body binary, response_body binary, messages array<struct<from_client:boolean,opcode:string,payload:binary>>, "
-    "reason string, sni string, ja3 string, ja4 string, bytes_up long, bytes_down long, gaps int"
+    "tls_decrypted boolean, reason string, sni string, ja3 string, ja4 string, bytes_up long, bytes_down long, gaps int"
 )
 
 
@@ -77,7 +78,7 @@ def _reason(kind: str, client: bytes, server: bytes, transport: str, keyed: bool
     return "unparsed"
 
 
-def decode_connection(session: str, connection: str, rows_in: list[tuple]) -> list[dict]:
+def decode_connection(session: str, connection: str, rows_in: list[tuple], secrets: dict[tuple[str, str], str] | None = None) -> list[dict]:
     """Flows of one connection, or one row with the reason why it has none. rows_in: ts_micros, transport, src, dst, seq, flags, payload, client, from_client in order of packets."""
     at0, transport, src0, dst0, _, _, _, src, _ = rows_in[0]
     dst = dst0 if src0 == src else src0
@@ -92,7 +93,7 @@ def decode_connection(session: str, connection: str, rows_in: list[tuple]) -> li
     client, server = sides[True], sides[False]
     blank = dict.fromkeys(_names(FLOW)) | {
         "session_id": session, "connection_id": connection, "stream_id": "", "src_addr": src, "dst_addr": dst, "ts_micros": min(r[0] for r in rows_in), "bytes_up": len(client.data), "bytes_down": len(server.data),
-        "gaps": client.gaps + server.gaps, "error": "", "proxy_addr": "", "proxy_type": "", "proxy_user": "", "proxy_pass": "", "duration_micros": 0, "status": 0,
+        "gaps": client.gaps + server.gaps, "error": "", "proxy_addr": "", "proxy_type": "", "proxy_user": "", "proxy_pass": "", "duration_micros": 0, "status": 0, "tls_decrypted": False,
     }
     rows, a, b, proxy = [], 0, 0, {}
     if transport == "tcp":
@@ -111,32 +112,40 @@ def decode_connection(session: str, connection: str, rows_in: list[tuple]) -> li
             a, b = a + tunnel.client_at, b + tunnel.server_at
             if not tunnel.accepted:
                 break
-        kind = streams.classify(client.data[a:], server.data[b:])
         shift = lambda s, k: streams.Stream(s.data[k:], s.gaps, s.cut, [max(0, x - k) for x in s.starts], s.times)
+        up, down, scheme, shown = shift(client, a), shift(server, b), "http", None
+        kind = streams.classify(up.data, down.data)
+        if kind == "tls":
+            shown = hello.parse_hello(tls.handshake_start(up.data))
+            if secrets and (opened := tls.open_tls(up, down, secrets)):
+                (up, down), scheme = opened, "https"
+                kind = streams.classify(up.data, down.data)
         found: list[tuple[str, http1.Exchange]] = []
         fingerprint = ""
         if kind == "http2":
-            got, fingerprint = http2.exchanges(shift(client, a), shift(server, b), "http")
+            got, fingerprint = http2.exchanges(up, down, scheme)
             found = [(str(n), e) for n, e in got]
         elif kind in ("http1", "cleartext"):
-            found = [("", e) for e in http1.exchanges(shift(client, a), shift(server, b))]
+            found = [("", e) for e in http1.exchanges(up, down, scheme)]
         for n, (stream, e) in enumerate(found):
             pairs = lambda h: [{"name": x, "value": y} for x, y in h]
             rows.append(blank | proxy | {
                 "stream_id": stream, "ts_micros": e.ts_micros, "duration_micros": e.duration_micros, "method": e.method, "scheme": e.scheme, "authority": e.authority, "path": e.path, "query": e.query, "protocol": "HTTP/2" if kind == "http2" else "HTTP/1.1",
                 "status": e.status, "error": e.error, "redirect_location": e.redirect_location, "req_content_encoding": e.request_encoding, "resp_content_encoding": e.response_encoding, "http2_fingerprint": fingerprint, "request_headers": pairs(e.request_headers),
                 "response_headers": pairs(e.response_headers), "request_body": e.request_body, "response_body": e.response_body, "messages": [{"from_client": c, "opcode": o, "payload": p} for c, o, p in e.messages],
+                "tls_decrypted": scheme == "https", "sni": shown.sni if shown else "", "ja3": hello.ja3(shown) if shown else "", "ja4": hello.ja4(shown) if shown else "",
             })
     if not rows and (len(client.data) or len(server.data)):
-        kind = streams.classify(client.data[a:], server.data[b:]) if transport == "tcp" else "udp"
-        h = hello.parse_hello(client.data[a : a + 16389]) if kind == "tls" else None
-        rows.append(blank | proxy | {"reason": _reason(kind, client.data, server.data, transport, False), "sni": h.sni if h else "", "ja3": hello.ja3(h) if h else "", "ja4": hello.ja4(h) if h else ""})
+        quic = transport == "udp"
+        kind = "udp" if quic else streams.classify(client.data[a:], server.data[b:])
+        h = tls.quic_hello([r[6] for r in rows_in if r[8]]) if quic else hello.parse_hello(tls.handshake_start(client.data[a:])) if kind == "tls" else None
+        rows.append(blank | proxy | {"reason": _reason(kind, client.data, server.data, transport, bool(secrets)), "sni": h.sni if h else "", "ja3": hello.ja3(h) if h else "", "ja4": hello.ja4(h, quic) if h else ""})
     for n, r in enumerate(rows):
         r["id"] = f"{session}-{connection}-{n}"
     return rows
 
 
-def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema, secrets: dict[tuple[str, str], str]) -> Iterator[pa.RecordBatch]:
     """Connections of a sorted partition one after the other; only one connection, up to the cap, is held."""
     key, held, size, out = None, [], 0, []
     for batch in batches:
@@ -144,7 +153,7 @@ def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
         for session, connection, *row in zip(*columns):
             if (session, connection) != key:
                 if held:
-                    out += decode_connection(*key, held)
+                    out += decode_connection(*key, held, secrets)
                 key, held, size = (session, connection), [], 0
             size += len(row[6])
             if size <= 2 * CONNECTION_CAP:
@@ -153,24 +162,34 @@ def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
     if held:
-        out += decode_connection(*key, held)
+        out += decode_connection(*key, held, secrets)
     if out:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def decode_capture(segments: DataFrame) -> DataFrame:
-    """Flows (reason NULL) and connections without flows (reason set) of the segments."""
+def decode_capture(segments: DataFrame, keylog: DataFrame | None = None) -> DataFrame:
+    """Flows (reason NULL) and connections without flows (reason set) of the segments. keylog: label, client_random, secret of at most
+    ``MAX_SECRETS`` rows, which all tasks get; with it TLS connections are opened."""
+    secrets: dict[tuple[str, str], str] = {}
+    if keylog is not None:
+        rows = keylog.select("label", "client_random", "secret").limit(MAX_SECRETS + 1).collect()
+        if len(rows) > MAX_SECRETS:
+            raise ValueError(f"more than {MAX_SECRETS} secrets: decode the sessions in parts")
+        secrets = {(r.label, r.client_random): r.secret for r in rows}
+    shared = segments.sparkSession.sparkContext.broadcast(secrets)
     c = with_connections(segments).select("session_id", "connection_id", "ts_micros", "transport", "src", "dst", "seq", "flags", "payload", "client", "from_client", "packet_no")
     placed = c.repartition("session_id", "connection_id").sortWithinPartitions("session_id", "connection_id", "packet_no").drop("packet_no")
     schema = to_arrow_schema(T.StructType.fromDDL(FLOW))
-    return placed.mapInArrow(lambda batches: _decode(batches, schema), FLOW)
+    return placed.mapInArrow(lambda batches: _decode(batches, schema, shared.value), FLOW)
 
 
-def import_captures(spark: SparkSession, path: str, out: str) -> dict[str, str]:
-    """Decode all captures under path and write flows, undecoded and segments below out; (table -> path)."""
-    decoded = decode_capture(read_segments(spark, path))
-    paths = {"decoded": f"{out}/decoded"}
-    decoded.write.mode("overwrite").parquet(paths["decoded"])
+def import_captures(spark: SparkSession, path: str, out: str, keylog: DataFrame | None = None) -> dict[str, str]:
+    """Decode all captures under path and write flows and undecoded connections below out; (table -> path)."""
+    decode_capture(read_segments(spark, path), keylog).write.mode("overwrite").parquet(f"{out}/decoded")
+    decoded, paths = spark.read.parquet(f"{out}/decoded"), {}
+    for name, part in (("flows", decoded.filter("reason IS NULL")), ("undecoded", decoded.filter("reason IS NOT NULL"))):
+        paths[name] = f"{out}/{name}"
+        part.write.mode("overwrite").parquet(paths[name])
     return paths
 
 

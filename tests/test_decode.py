@@ -177,7 +177,7 @@ def test_redirects_and_cookies():
 
 
 def test_capture_to_flows(spark, tmp_path):
-    frames = [tcp(C, S, 99, b"", 2), tcp(S, C, 499, b"", 18), tcp(C, S, 100, ASK), tcp(S, C, 500, ANSWER[:30]), tcp(S, C, 530, ANSWER[30:]), tcp(S, C, 500, ANSWER[:30]), tcp(((10, 0, 0, 3), 7), S, 1, b"\x16\x03\x01\0\x05" + client_hello())]
+    frames = [tcp(C, S, 99, b"", 2), tcp(S, C, 499, b"", 18), tcp(C, S, 100, ASK), tcp(S, C, 500, ANSWER[:30]), tcp(S, C, 530, ANSWER[30:]), tcp(S, C, 500, ANSWER[:30]), tcp(((10, 0, 0, 3), 7), S, 1, b"\x16\x03\x01" + struct.pack(">H", len(client_hello())) + client_hello())]
     (tmp_path / "one.pcap").write_bytes(pcap(frames))
     rows = {r.connection_id: r for r in decode_capture(read_segments(spark, str(tmp_path))).collect()}
     a, b = rows["1"], rows["2"]

@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)")
-ESCAPE = re.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|([nrtfvb])(?![a-z])|([nrt])(?=[a-z])|([\"'/&<>*_`#()\[\]{}.!+\\-]))")
+ESCAPE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,6})\}|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|([nrtfvb])(?![a-z])|([nrt])(?=[a-z])|([\"'/&<>*_`#()\[\]{}.!+\\-]))")
 INLINE_TAG = re.compile(r"</?(?:a|abbr|b|bdi|code|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|u|wbr)(?:\s[^<>]{0,300})?/?>", re.I)
 TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,300})?/?>|<!--.{0,2000}?-->", re.S)
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
@@ -21,11 +21,11 @@ CHAR = re.compile(r"[^\W_]")
 
 
 def _escaped(m: re.Match) -> str:
-    code = m.group(1) or m.group(2)
+    code = next((g for g in m.groups()[:4] if g), None)
     if code:
         n = int(code, 16)
         return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else " "
-    return m.group(5) or " "
+    return m.group(7) or " "
 
 
 def plain(text: str) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowloom.decode import capture, hello, http1, http2, streams, tls
+from flowloom.decode.protocols import Meta, Registry
 
 CONNECTION_CAP = 64 << 20
 MAX_SECRETS = 1_000_000
@@ -78,7 +79,7 @@ def _reason(kind: str, client: bytes, server: bytes, transport: str, keyed: bool
     return "unparsed"
 
 
-def decode_connection(session: str, connection: str, rows_in: list[tuple], secrets: dict[tuple[str, str], str] | None = None) -> list[dict]:
+def decode_connection(session: str, connection: str, rows_in: list[tuple], secrets: dict[tuple[str, str], str] | None = None, registry: Registry | None = None) -> list[dict]:
     """Flows of one connection, or one row with the reason why it has none. rows_in: ts_micros, transport, src, dst, seq, flags, payload, client, from_client in order of packets."""
     at0, transport, src0, dst0, _, _, _, src, _ = rows_in[0]
     dst = dst0 if src0 == src else src0
@@ -125,12 +126,19 @@ def decode_connection(session: str, connection: str, rows_in: list[tuple], secre
         if kind == "http2":
             got, fingerprint = http2.exchanges(up, down, scheme)
             found = [(str(n), e) for n, e in got]
+        elif kind == "cleartext" and registry and (custom := registry.find(Meta((proxy.get("dst_addr") or dst).rpartition(":")[0], int((proxy.get("dst_addr") or dst).rpartition(":")[2] or 0)))):
+            name, decoder = custom
+            decoded = decoder.feed(True, up.data) + decoder.feed(False, down.data)
+            if decoded:
+                e = http1.Exchange(scheme=name, authority=(proxy.get("dst_addr") or dst), ts_micros=up.time_at(0) or down.time_at(0))
+                e.messages = [(m.from_client, m.opcode, m.payload.encode()) for m in decoded]
+                found = [("", e)]
         elif kind in ("http1", "cleartext"):
             found = [("", e) for e in http1.exchanges(up, down, scheme)]
         for n, (stream, e) in enumerate(found):
             pairs = lambda h: [{"name": x, "value": y} for x, y in h]
             rows.append(blank | proxy | {
-                "stream_id": stream, "ts_micros": e.ts_micros, "duration_micros": e.duration_micros, "method": e.method, "scheme": e.scheme, "authority": e.authority, "path": e.path, "query": e.query, "protocol": "HTTP/2" if kind == "http2" else "HTTP/1.1",
+                "stream_id": stream, "ts_micros": e.ts_micros, "duration_micros": e.duration_micros, "method": e.method, "scheme": e.scheme, "authority": e.authority, "path": e.path, "query": e.query, "protocol": "HTTP/2" if kind == "http2" else e.scheme if e.messages and not e.method else "HTTP/1.1",
                 "status": e.status, "error": e.error, "redirect_location": e.redirect_location, "req_content_encoding": e.request_encoding, "resp_content_encoding": e.response_encoding, "http2_fingerprint": fingerprint, "request_headers": pairs(e.request_headers),
                 "response_headers": pairs(e.response_headers), "request_body": e.request_body, "response_body": e.response_body, "messages": [{"from_client": c, "opcode": o, "payload": p} for c, o, p in e.messages],
                 "tls_decrypted": scheme == "https", "sni": shown.sni if shown else "", "ja3": hello.ja3(shown) if shown else "", "ja4": hello.ja4(shown) if shown else "",
@@ -145,7 +153,7 @@ def decode_connection(session: str, connection: str, rows_in: list[tuple], secre
     return rows
 
 
-def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema, secrets: dict[tuple[str, str], str]) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema, secrets: dict[tuple[str, str], str], registry: Registry | None) -> Iterator[pa.RecordBatch]:
     """Connections of a sorted partition one after the other; only one connection, up to the cap, is held."""
     key, held, size, out = None, [], 0, []
     for batch in batches:
@@ -153,7 +161,7 @@ def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema, secrets: dict[
         for session, connection, *row in zip(*columns):
             if (session, connection) != key:
                 if held:
-                    out += decode_connection(*key, held, secrets)
+                    out += decode_connection(*key, held, secrets, registry)
                 key, held, size = (session, connection), [], 0
             size += len(row[6])
             if size <= 2 * CONNECTION_CAP:
@@ -162,14 +170,15 @@ def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema, secrets: dict[
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
     if held:
-        out += decode_connection(*key, held, secrets)
+        out += decode_connection(*key, held, secrets, registry)
     if out:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def decode_capture(segments: DataFrame, keylog: DataFrame | None = None) -> DataFrame:
+def decode_capture(segments: DataFrame, keylog: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
     """Flows (reason NULL) and connections without flows (reason set) of the segments. keylog: label, client_random, secret of at most
-    ``MAX_SECRETS`` rows, which all tasks get; with it TLS connections are opened."""
+    ``MAX_SECRETS`` rows, which all tasks get; with it TLS connections are opened. registry: decoders for
+    cleartext that is neither HTTP/1 nor HTTP/2, by destination."""
     secrets: dict[tuple[str, str], str] = {}
     if keylog is not None:
         rows = keylog.select("label", "client_random", "secret").limit(MAX_SECRETS + 1).collect()
@@ -180,7 +189,7 @@ def decode_capture(segments: DataFrame, keylog: DataFrame | None = None) -> Data
     c = with_connections(segments).select("session_id", "connection_id", "ts_micros", "transport", "src", "dst", "seq", "flags", "payload", "client", "from_client", "packet_no")
     placed = c.repartition("session_id", "connection_id").sortWithinPartitions("session_id", "connection_id", "packet_no").drop("packet_no")
     schema = to_arrow_schema(T.StructType.fromDDL(FLOW))
-    return placed.mapInArrow(lambda batches: _decode(batches, schema, shared.value), FLOW)
+    return placed.mapInArrow(lambda batches: _decode(batches, schema, shared.value, registry), FLOW)
 
 
 def import_captures(spark: SparkSession, path: str, out: str, keylog: DataFrame | None = None) -> dict[str, str]:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flowloom.decode import capture, hello, http1, http2, streams, tls
+from flowloom.decode import capture, hello, http1, http2, http3, streams, tls
 from flowloom.decode.protocols import Meta, Registry
 
 CONNECTION_CAP = 64 << 20
@@ -143,6 +143,15 @@ def decode_connection(session: str, connection: str, rows_in: list[tuple], secre
                 "response_headers": pairs(e.response_headers), "request_body": e.request_body, "response_body": e.response_body, "messages": [{"from_client": c, "opcode": o, "payload": p} for c, o, p in e.messages],
                 "tls_decrypted": scheme == "https", "sni": shown.sni if shown else "", "ja3": hello.ja3(shown) if shown else "", "ja4": hello.ja4(shown) if shown else "",
             })
+    if transport == "udp" and secrets and (opened := http3.quic_streams([(r[8], r[6], r[0]) for r in rows_in], secrets)):
+        shown = tls.quic_hello([r[6] for r in rows_in if r[8]])
+        pairs = lambda h: [{"name": x, "value": y} for x, y in h]
+        for number, e in http3.exchanges(*opened):
+            rows.append(blank | {
+                "connection_id": connection.replace("udp:", "quic:"), "stream_id": str(number), "ts_micros": e.ts_micros, "duration_micros": e.duration_micros, "method": e.method, "scheme": e.scheme, "authority": e.authority, "path": e.path, "query": e.query, "protocol": "HTTP/3", "status": e.status,
+                "error": e.error, "redirect_location": e.redirect_location, "req_content_encoding": e.request_encoding, "resp_content_encoding": e.response_encoding, "request_headers": pairs(e.request_headers), "response_headers": pairs(e.response_headers),
+                "request_body": e.request_body, "response_body": e.response_body, "messages": [], "tls_decrypted": True, "sni": shown.sni if shown else "", "ja3": hello.ja3(shown) if shown else "", "ja4": hello.ja4(shown, True) if shown else "",
+            })
     if not rows and (len(client.data) or len(server.data)):
         quic = transport == "udp"
         kind = "udp" if quic else streams.classify(client.data[a:], server.data[b:])

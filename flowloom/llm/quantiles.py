@@ -151,11 +151,55 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, weight: str | Non
     return lists.mapInArrow(_build, _schema(lists, keys, "n long, cells array<int>, counts array<long>"))
 
 
+def _runs(columns: list[pa.Array]) -> np.ndarray:
+    """Number of the run of equal rows that each row belongs to; NULLs are equal."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        change[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(change)
+
+
+def _add(keys: list[str]):  # noqa: ANN202
+    """Adds up the sketches of equal keys, which follow each other; one open group is carried from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            offsets, _ = _lists(batch.column("cells"))
+            for a, b in _slices(offsets):
+                part = batch.slice(a, b - a)
+                if carried is not None:
+                    part = pa.Table.from_batches([carried, part]).combine_chunks().to_batches()[0]
+                group = _runs([part.column(k) for k in keys])
+                at, cells = _lists(part.column("cells"))
+                _, counts = _lists(part.column("counts"))
+                key = np.repeat(group, np.diff(at)) * CELLS + cells.astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                key, value = key[order], counts[order].astype(np.int64)
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                total = np.add.reduceat(value, first) if len(first) else value
+                key, total = key[first][total != 0], total[total != 0]
+                n = np.add.reduceat(part.column("n").to_numpy(), np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))
+                ends = np.searchsorted(key, np.arange(len(n) + 1) * CELLS)
+                rows = part.take(pa.array(np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))).select(keys)
+                out = pa.RecordBatch.from_arrays([*rows.columns, pa.array(n), _list_array(ends, key % CELLS, pa.int32()), _list_array(ends, total, pa.int64())], names=[*keys, "n", "cells", "counts"])
+                carried = out.slice(out.num_rows - 1)
+                if out.num_rows > 1:
+                    yield out.slice(0, out.num_rows - 1)
+        if carried is not None:
+            yield carried
+
+    return run
+
+
 def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches of parts added up to one per group, e.g. days to a month (keys without the day)."""
-    cells = sketches.select(*keys, F.explode(F.arrays_zip("cells", "counts")).alias("c")).groupBy(*keys, F.col("c.cells").alias("cell")).agg(F.sum("c.counts").alias("v"))
-    lists = cells.filter("v != 0").groupBy(*keys).agg(F.sum(F.when(F.col("cell") < EXACT_CELLS, F.col("v"))).alias("n"), F.sort_array(F.collect_list(F.struct("cell", "v"))).alias("l"))
-    return lists.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.col("l.cell").alias("cells"), F.col("l.v").alias("counts"))
+    """Sketches of parts added up to one per group, e.g. days to a month (keys without the day). However many parts a group has, a task
+    holds one sketch of it and a batch."""
+    placed = sketches.select(*keys, "n", "cells", "counts").repartition(*keys).sortWithinPartitions(*keys)
+    return placed.mapInArrow(_add(keys), _schema(sketches, keys, "n long, cells array<int>, counts array<long>"))
 
 
 def invert_ranks(key: np.ndarray, count: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:

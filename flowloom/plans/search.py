@@ -112,8 +112,9 @@ def search_sessions(flows: DataFrame, sessions: DataFrame, limit: int = 50, per_
     found = search(flows, None, **given)
     totals = found.groupBy("session_id").agg(F.count("*").alias("total"))
     newest = sessions.select(F.col("id").alias("session_id"), F.col("created_at").alias("session_created"))
-    ranked = found.withColumn("__n", F.row_number().over(Window.partitionBy("session_id").orderBy(*timeline()))).filter(F.col("__n") <= per_session)
-    rows = ranked.join(newest, "session_id").orderBy(F.col("session_created").desc(), "session_id", *timeline()).limit(min(limit, MOST)).drop("__n", "session_created")
+    if per_session < min(limit, MOST):  # else the limit alone bounds every session
+        found = found.withColumn("__n", F.row_number().over(Window.partitionBy("session_id").orderBy(*timeline()))).filter(F.col("__n") <= per_session).drop("__n")
+    rows = found.join(newest, "session_id").orderBy(F.col("session_created").desc(), "session_id", *timeline()).limit(min(limit, MOST)).drop("session_created")
     return rows, totals
 
 
@@ -189,3 +190,62 @@ def body_preview(body: Column) -> Column:
     """Up to 4096 characters of text, or 64 bytes in hex where the body isn't UTF-8."""
     is_text = F.is_valid_utf8(body.cast("string"))
     return F.when(is_text, F.substring(body.cast("string"), 1, 4096)).otherwise(F.lower(F.hex(F.substring(body, 1, 64))))
+
+
+def advice(expression: str, matched: int, hidden_matched: int, scanned: int, capped: bool, unsearchable: list[tuple[str, int]] = ()) -> list[str]:
+    """What a caller can try when nothing came back, the most likely cause first."""
+    from flowloom.plans import filters
+
+    out: list[str] = []
+    if matched:
+        return out
+    if hidden_matched:
+        out.append(f"{hidden_matched} hidden records match: include hidden ones to see them")
+    out += filters.hints(expression)
+    if capped:
+        out.append(f"only {scanned} rows were examined: narrow the time window or go on from the cursor")
+    terms = filters.parse(expression)
+    if unsearchable and any(filters.FLOW_RULES[t.name].cost == filters.BODIES for t in terms):
+        out.append("bodies can't be searched in these encodings: " + ", ".join(f"{e} ({n})" for e, n in unsearchable))
+    if not out and scanned:
+        out.append("no record matches: drop terms one by one, or negate one with ! to see what it excludes")
+    return out
+
+
+def pretty_body(body: bytes | None, content_type: str | None, width: int = 16, most: int = 65_536) -> str:
+    """A body to read: JSON indented, forms one field a line, other text as it is, anything else as a hex dump."""
+    import json
+    from urllib.parse import parse_qsl
+
+    if not body:
+        return ""
+    kind, part = (content_type or "").split(";")[0].strip().lower(), body[:most]
+    try:
+        shown = part.decode("utf-8")
+    except UnicodeDecodeError:
+        shown = None
+    if shown is not None and (kind.endswith("json") or shown.lstrip()[:1] in ("{", "[")) and len(body) <= most:
+        try:
+            return json.dumps(json.loads(shown), indent=2, ensure_ascii=False)
+        except ValueError:
+            pass
+    if shown is not None and kind == "application/x-www-form-urlencoded":
+        return "\n".join(f"{k} = {v}" for k, v in parse_qsl(shown, keep_blank_values=True))
+    if shown is not None and not re.search(r"[\x00-\x08\x0e-\x1f]", shown):
+        return shown
+    lines = []
+    for at in range(0, len(part), width):
+        row = part[at : at + width]
+        lines.append(f"{at:08x}  {row.hex(' '):<{3 * width}} {''.join(chr(b) if 32 <= b < 127 else '.' for b in row)}")
+    return "\n".join(lines)
+
+
+def pretty_bodies(bodies: DataFrame, key: str = "id", column: str = "bytes", kind: str = "content_type") -> DataFrame:
+    """key and ``pretty`` of every body, over Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = [pretty_body(b, k) for b, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string())], names=[key, "pretty"])
+
+    return bodies.select(key, F.col(column).cast("binary"), kind).mapInArrow(run, f"`{key}` {dict(bodies.dtypes)[key]}, pretty string")

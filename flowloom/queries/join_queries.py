@@ -410,4 +410,33 @@ def M2_header_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("next_headers IS NOT NULL").select("id", j.header_order_diff(F.col("request_headers"), F.col("next_headers")).alias("d")).select("id", "d.same_order", F.array_join("d.only_a", ",").alias("only_a"), F.array_join("d.only_b", ",").alias("only_b"), F.array_join("d.changed", ",").alias("changed"))
 
 
+def M8_pretty_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").cast("binary").alias("bytes"), F.lit("application/json").alias("content_type"))
+    return search.pretty_bodies(e)
+
+
+SQL["M8_pretty_bodies"] = """SELECT event_id AS id, '{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS pretty FROM events"""
+
+
+def E15_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [("200", 0, 0, 10, False), ("~d x", 0, 3, 10, True), ("~d x", 5, 0, 10, False), ("~d x", 0, 0, 10, False)]
+    return spark.createDataFrame([(i, len(search.advice(*c))) for i, c in enumerate(cases)], "case_no int, n_advice int")
+
+
+SQL["E15_advice"] = "SELECT * FROM (VALUES (0, 1), (1, 2), (2, 0), (3, 1)) AS t(case_no, n_advice)"
+
+
+def E16_strict_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def refused(**given: object) -> bool:
+        try:
+            search.criteria(**given)
+        except TypeError:
+            return True
+        return False
+
+    return spark.createDataFrame([("host", refused(host="a")), ("hots", refused(hots="a")), ("method", refused(method="", status=None))], "argument string, refused boolean")
+
+
+SQL["E16_strict_arguments"] = "SELECT * FROM (VALUES ('host', false), ('hots', true), ('method', false)) AS t(argument, refused)"
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] in "AEFGIM" and k[1:2].isdigit() and callable(v)}

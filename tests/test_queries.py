@@ -7,7 +7,7 @@ from flowloom.queries import registry
 
 CHECKED = [
     "p3_found", "p3_report", "p3_partial_keys", "p4_found", "p5_found", "p5_descendants", "B2_domain", "B3_url_bare", "B9_tag_group", "B11_meta_absent_matches_empty", "B13_response_headers_not", "B14_body", "B17_negation", "B18_cost_order", "B19_hidden",
-    "B20_hints", "B21_patterns", "C1_payload", "C5_message_annotations", "C6_unknown_term", "D4_scan_cap", "D8_backward", "D9_cursors", "D10_hydrated", "D14_undecoded", "E1_grep", "E2_search", "E8_unsearchable", "F4_headers", "F8_redirects", "F12_asof_names", "F13_fifo_pairs",
+    "B20_hints", "B21_patterns", "C1_payload", "C5_message_annotations", "C6_unknown_term", "D4_scan_cap", "D8_backward", "D9_cursors", "D10_hydrated", "D14_undecoded", "E1_grep", "E2_search", "E5_cross_session", "E8_unsearchable", "E15_advice", "E16_strict_arguments", "M8_pretty_bodies", "F4_headers", "F8_redirects", "F12_asof_names", "F13_fifo_pairs",
     "F14_classify", "F15_verify", "F16_compare", "G3_reason_counts", "G7_hosts", "H1_body_refs", "H4_toggle_favorite", "H4_set_tags", "H6_marks", "H9_finish", "H10_delete_cascade", "I2_connections", "I12_http1", "J_read_only", "J_params", "J_recursive_cte", "J_window_frames", "J_grouping_sets",
     "K4_changelog", "K10_settled", "M4_formats", "A13_bundle", "A17_list_sessions", "A18_source_kinds",
 ]

@@ -72,6 +72,30 @@ def server_choice(data: bytes) -> tuple[bytes, int, int, bool] | None:
     return random, version, suite, later_mac
 
 
+VERSION_TEXT = {0x0300: "SSL 3.0", 0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
+
+
+def describe_handshake(client: bytes, server: bytes) -> dict[str, object]:
+    """What a recorded handshake says in the clear: hello (text), sni, version, cipher, and up to TLS 1.2 the SHA-256 of each certificate."""
+    from hashlib import sha256
+
+    from flowloom.decode.hello import describe
+
+    hello, choice, certificates = parse_hello(handshake_start(client)), server_choice(server), []
+    h, at = handshake_start(server), 0
+    while at + 4 <= len(h):
+        kind, size = h[at], int.from_bytes(h[at + 1 : at + 4], "big")
+        if kind == 11 and at + 4 + size <= len(h):
+            k = at + 7
+            while k + 3 <= at + 4 + size:
+                n = int.from_bytes(h[k : k + 3], "big")
+                certificates.append(sha256(h[k + 3 : k + 3 + n]).hexdigest())
+                k += 3 + n
+        at += 4 + size
+    version, cipher = (VERSION_TEXT.get(choice[1], f"0x{choice[1]:04x}"), f"0x{choice[2]:04x}") if choice else ("", "")
+    return {"hello": describe(hello) if hello else "", "sni": hello.sni if hello else "", "version": version, "cipher": cipher, "certificates": certificates}
+
+
 class _Aead:
     """One direction with counted nonces. explicit: 8 bytes of the nonce come with each record (TLS 1.2 GCM)."""
 

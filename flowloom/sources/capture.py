@@ -201,6 +201,32 @@ def decode_capture(segments: DataFrame, keylog: DataFrame | None = None, registr
     return placed.mapInArrow(lambda batches: _decode(batches, schema, shared.value, registry), FLOW)
 
 
+WINDOW = 256 << 10
+SLACK_MICROS = 2_000_000
+
+
+def connection_bytes(segments: DataFrame, src: str, dst: str, since: int, until: int, *, from_client: bool = True, offset: int = 0, length: int = WINDOW) -> DataFrame:
+    """data, size, gaps, cut: a window of one direction of the connection between two addresses in a time span (with two seconds of
+    slack). At most WINDOW bytes come back and CONNECTION_CAP are stitched."""
+    a, b = (src, dst) if from_client else (dst, src)
+    some = segments.filter((F.col("transport") == "tcp") & (F.col("src") == a) & (F.col("dst") == b) & F.col("ts_micros").between(since - SLACK_MICROS, until + SLACK_MICROS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                held += len(row[3])
+                if held <= 2 * CONNECTION_CAP:
+                    rows.append(row)
+        rows.sort(key=lambda r: r[0])
+        first = next(((r[1] + 1) & 0xFFFFFFFF for r in rows if r[2] & 2), None)
+        s = streams.stitch([(r[1], r[3], r[4]) for r in rows], CONNECTION_CAP, first)
+        yield pa.RecordBatch.from_arrays([pa.array([s.data[offset : offset + min(length, WINDOW)]], pa.binary()), pa.array([len(s.data)], pa.int64()), pa.array([s.gaps], pa.int32()), pa.array([s.cut])], names=["data", "size", "gaps", "cut"])
+
+    return some.select("packet_no", "seq", "flags", "payload", "ts_micros").coalesce(1).mapInArrow(run, "data binary, size long, gaps int, cut boolean")
+
+
 def import_captures(spark: SparkSession, path: str, out: str, keylog: DataFrame | None = None) -> dict[str, str]:
     """Decode all captures under path and write flows and undecoded connections below out; (table -> path)."""
     decode_capture(read_segments(spark, path), keylog).write.mode("overwrite").parquet(f"{out}/decoded")

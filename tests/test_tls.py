@@ -119,3 +119,9 @@ def test_capture_with_a_key_log(spark, tmp_path):
     row = spark.read.parquet(str(tmp_path / "out1" / "flows")).first()
     assert (row.scheme, row.path, row.status, row.tls_decrypted, row.sni) == ("https", "/secret", 200, True, "h.example")
     assert spark.read.parquet(str(tmp_path / "out0" / "undecoded")).first().reason == "no_key"
+    from flowloom.sources.capture import connection_bytes, read_segments
+
+    part = connection_bytes(read_segments(spark, str(tmp_path / "in")), "10.0.0.1:5000", "10.0.0.2:443", 0, 10**7, offset=4, length=50).first()
+    assert (bytes(part.data), part.size, part.gaps) == (client.data[4:54], len(client.data), 0)
+    told = tls.describe_handshake(client.data, server.data)
+    assert (told["version"], told["sni"]) == ("TLS 1.3", "h.example") and int(told["cipher"], 16) in tls.SUITES and told["certificates"] == []

@@ -21,7 +21,7 @@ FLOW_COLUMNS = [
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last version of every flow, with references to its bodies."""
-    rows = latest(load(spark, sf_dir, "flows").filter("id <> ''"), ["id"], ["pushed_at"], FLOW_COLUMNS)
+    rows = latest(load(spark, sf_dir, "flows").filter("id <> ''"), ["id"], ["pushed_at"], FLOW_COLUMNS, ties=["content_type"])
     return rows.withColumns({"resp_body_ref": (F.col("ts_micros") % 40000).cast("string"), "req_body_ref": F.lit(None).cast("string")})
 
 

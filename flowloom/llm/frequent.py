@@ -167,4 +167,4 @@ def frequent_items(sketch: DataFrame, columns: list[str], share: float, depth: i
             enough = high >= share * n
             yield pd.DataFrame({"field_name": columns[int(field)], "item_value": some["candidate"].to_numpy()[enough], "n_low": low[enough], "n_high": high[enough], "n_rows": n})
 
-    return sketch.coalesce(1).mapInPandas(bounds, "field_name string, item_value string, n_low long, n_high long, n_rows long")
+    return sketch.repartition(1).mapInPandas(bounds, "field_name string, item_value string, n_low long, n_high long, n_rows long")

@@ -224,7 +224,7 @@ def connection_bytes(segments: DataFrame, src: str, dst: str, since: int, until:
         s = streams.stitch([(r[1], r[3], r[4]) for r in rows], CONNECTION_CAP, first)
         yield pa.RecordBatch.from_arrays([pa.array([s.data[offset : offset + min(length, WINDOW)]], pa.binary()), pa.array([len(s.data)], pa.int64()), pa.array([s.gaps], pa.int32()), pa.array([s.cut])], names=["data", "size", "gaps", "cut"])
 
-    return some.select("packet_no", "seq", "flags", "payload", "ts_micros").coalesce(1).mapInArrow(run, "data binary, size long, gaps int, cut boolean")
+    return some.select("packet_no", "seq", "flags", "payload", "ts_micros").repartition(1).mapInArrow(run, "data binary, size long, gaps int, cut boolean")
 
 
 def import_captures(spark: SparkSession, path: str, out: str, keylog: DataFrame | None = None) -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from flowloom.decode.content import decode_body, redirect_target, websocket_frames
@@ -107,8 +108,11 @@ def read_message(data: bytes, at: int, head_only: bool = False, open_end: bool =
 
 
 def exchanges(client: Stream, server: Stream, scheme: str = "http", client_at: int = 0, server_at: int = 0) -> list[Exchange]:
+    return list(read_exchanges(client, server, scheme, client_at, server_at))
+
+
+def read_exchanges(client: Stream, server: Stream, scheme: str = "http", client_at: int = 0, server_at: int = 0) -> Iterator[Exchange]:
     """Requests in order with their responses (n-th with n-th); interim responses are skipped; 101 turns the rest into WebSocket frames."""
-    out: list[Exchange] = []
     a, b = client_at, server_at
     while True:
         q = read_message(client.data, a)
@@ -135,10 +139,10 @@ def exchanges(client: Stream, server: Stream, scheme: str = "http", client_at: i
             e.duration_micros = max(0, server.time_at(max(r.end - 1, 0)) - e.ts_micros)
             e.redirect_location = redirect_target(e.status, e.scheme, e.authority, e.path, r.headers)
             e.error = e.error or r.error
-        out.append(e)
         if e.status == 101:
             if r.header("upgrade").lower() == "websocket":
                 for from_client, data in ((True, client.data[a:]), (False, server.data[b:])):
                     e.messages += [(from_client, f.opcode, f.payload) for f in websocket_frames(data)[0]]
+            yield e
             break
-    return out
+        yield e

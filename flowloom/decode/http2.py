@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from flowloom.decode.content import decode_body, redirect_target
@@ -160,7 +161,7 @@ class HeaderDecoder:
 @dataclass
 class _Half:
     headers: list[tuple[str, str]] = field(default_factory=list)
-    body: bytearray = field(default_factory=bytearray)
+    body: list[tuple[int, int]] = field(default_factory=list)  # from, to in the connection's bytes
     first: int = 0
     last: int = 0
     ended: bool = False
@@ -172,7 +173,7 @@ def _frames(s: Stream, at: int):  # noqa: ANN202
         size = int.from_bytes(d[at : at + 3], "big")
         if size > FRAME_LIMIT or at + 9 + size > len(d):
             return
-        yield d[at + 3], d[at + 4], struct.unpack_from(">I", d, at + 5)[0] & 0x7FFFFFFF, d[at + 9 : at + 9 + size], s.time_at(at), s.time_at(at + 8 + size)
+        yield d[at + 3], d[at + 4], struct.unpack_from(">I", d, at + 5)[0] & 0x7FFFFFFF, d[at + 9 : at + 9 + size], at + 9, s.time_at(at), s.time_at(at + 8 + size)
         at += 9 + size
 
 
@@ -186,14 +187,20 @@ def _unpadded(kind: int, flags: int, body: bytes) -> bytes:
 
 
 def exchanges(client: Stream, server: Stream, scheme: str = "https") -> tuple[list[tuple[int, Exchange]], str]:
-    """((stream, exchange) in order of first request, fingerprint settings|window|priority|order)."""
+    found, fingerprint = read_exchanges(client, server, scheme)
+    return list(found), fingerprint
+
+
+def read_exchanges(client: Stream, server: Stream, scheme: str = "https") -> tuple[Iterator[tuple[int, Exchange]], str]:
+    """((stream, exchange) in order of first request, fingerprint settings|window|priority|order). Bodies are read from the connection's
+    bytes when their exchange is taken."""
     streams: OrderedDict[int, list[_Half]] = OrderedDict()
     errors: dict[int, str] = {}
     settings, window, priorities, order, away = "", "00", "0", "", None
     for side, s in enumerate((client, server)):
         decoder, pending = HeaderDecoder(), None
-        at = len(H2_PREFACE) if side == 0 and s.data.startswith(H2_PREFACE) else 0
-        for kind, flags, stream, body, first, last in _frames(s, at):
+        at = len(H2_PREFACE) if side == 0 and s.data[: len(H2_PREFACE)] == H2_PREFACE else 0
+        for kind, flags, stream, body, place, first, last in _frames(s, at):
             if kind == 4 and side == 0 and not flags & 1 and not settings:
                 settings = ";".join(f"{k}:{v}" for k, v in (struct.unpack_from(">HI", body, i) for i in range(0, len(body) // 6 * 6, 6)))
             elif kind == 8 and side == 0 and stream == 0 and window == "00" and len(body) >= 4:
@@ -229,19 +236,24 @@ def exchanges(client: Stream, server: Stream, scheme: str = "https") -> tuple[li
                         order = ",".join(n[1] for n, _ in got if n.startswith(":"))
             elif kind == 0 and stream in streams:
                 half = streams[stream][side]
-                half.body += _unpadded(0, flags, body)
+                start, kept = place + bool(flags & 8), len(_unpadded(0, flags, body))
+                half.body.append((start, start + kept))
                 half.last, half.ended = last, half.ended or bool(flags & 1)
             elif kind == 3 and len(body) >= 4:
                 errors.setdefault(stream, f"stream reset by {'client' if side == 0 else 'server'}: {struct.unpack('>I', body[:4])[0]}")
             elif kind == 7 and len(body) >= 8 and side == 1:
                 away = struct.unpack(">I", body[:4])[0] & 0x7FFFFFFF
-    out = []
+    return _finished(client, server, streams, errors, away, scheme), f"{settings}|{window}|{priorities}|{order}"
+
+
+def _finished(client: Stream, server: Stream, streams: dict[int, list[_Half]], errors: dict[int, str], away: int | None, scheme: str) -> Iterator[tuple[int, Exchange]]:
+    whole = lambda s, half: b"".join(s.data[a:b] for a, b in half.body)
     for stream, (q, r) in streams.items():
         pseudo = dict(x for x in q.headers if x[0].startswith(":"))
         path, _, query = pseudo.get(":path", "").partition("?")
         status = next((v for n, v in r.headers if n == ":status"), "")
         get = lambda h, name: next((v for n, v in h if n == name), "")
-        a, b = decode_body(bytes(q.body), get(q.headers, "content-encoding")), decode_body(bytes(r.body), get(r.headers, "content-encoding"))
+        a, b = decode_body(whole(client, q), get(q.headers, "content-encoding")), decode_body(whole(server, r), get(r.headers, "content-encoding"))
         e = Exchange(
             pseudo.get(":method", ""), pseudo.get(":scheme", scheme), pseudo.get(":authority", "") or get(q.headers, "host"), path, query, int(status) if status.isdigit() else 0, q.first, max(0, r.last - q.first) if r.last else 0,
             q.headers, r.headers, a.data, b.data, a.encoding, b.encoding, error=errors.get(stream, ""),
@@ -251,5 +263,4 @@ def exchanges(client: Stream, server: Stream, scheme: str = "https") -> tuple[li
         if e.status and not r.ended and not e.error:
             e.error = "response cut short"
         e.redirect_location = redirect_target(e.status, e.scheme, e.authority, e.path, r.headers)
-        out.append((stream, e))
-    return out, f"{settings}|{window}|{priorities}|{order}"
+        yield stream, e

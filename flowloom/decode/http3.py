@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from flowloom.decode import crypto
@@ -230,7 +231,7 @@ def _read_frames(payload: bytes, at_time: int, crypto_parts: _Parts, streams: di
             return
 
 
-def quic_streams(datagrams: list[tuple[bool, bytes, int]], secrets: dict[tuple[str, str], str]) -> tuple[dict[int, _Parts], dict[int, _Parts]] | None:
+def quic_streams(datagrams: Iterable[tuple[bool, bytes, int]], secrets: dict[tuple[str, str], str]) -> tuple[dict[int, _Parts], dict[int, _Parts]] | None:
     """Streams of both sides of a connection (from_client, datagram, time), or None where it can't be opened."""
     sides = {True: defaultdict(_Parts), False: defaultdict(_Parts)}
     hellos, ids, largest = {True: _Parts(), False: _Parts()}, {True: 0, False: 0}, defaultdict(lambda: -1)

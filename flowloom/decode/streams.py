@@ -2,65 +2,161 @@
 
 from __future__ import annotations
 
+import mmap
 import re
 import struct
+import tempfile
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterator, MutableSequence
 from dataclasses import dataclass, field
 
-CAP = 64 << 20
+import numpy as np
+
+MEMORY = 16 << 20
+PIECE = 1 << 20
 HEADER_CAP = 64 << 10
 SOCKS_CAP = 4096
 
 
+class Spool:
+    """Bytes that are written one after the other: in memory up to ``MEMORY``, beyond it in a file without a name."""
+
+    def __init__(self) -> None:
+        self.size, self._held, self._chunks, self._file = 0, 0, [], None
+
+    def write(self, data: bytes) -> None:
+        self._chunks.append(data)
+        self._held += len(data)
+        self.size += len(data)
+        if self._held > MEMORY:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self._file is None:
+            self._file = tempfile.TemporaryFile()
+        self._file.writelines(self._chunks)
+        self._file.flush()
+        self._held, self._chunks = 0, []
+
+    def data(self) -> bytes | mmap.mmap:
+        """All of it. A mapped file gives bytes for a slice and can be searched as bytes can."""
+        if self._file is None:
+            self._chunks = [b"".join(self._chunks)]
+            return self._chunks[0]
+        self._flush()
+        return mmap.mmap(self._file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 @dataclass
 class Stream:
     """Bytes in order, with the time at which each part arrived."""
 
-    data: bytes = b""
+    data: bytes | mmap.mmap = b""
     gaps: int = 0
     cut: bool = False
-    starts: list[int] = field(default_factory=list)
-    times: list[int] = field(default_factory=list)
+    starts: MutableSequence[int] = field(default_factory=list)
+    times: MutableSequence[int] = field(default_factory=list)
 
     def time_at(self, offset: int) -> int:
         k = bisect_right(self.starts, offset) - 1
         return self.times[k] if k >= 0 else 0
 
+    def after(self, k: int) -> Stream:
+        """The stream without its first k bytes."""
+        if not k:
+            return self
+        rest = Spool()
+        for at in range(k, len(self.data), PIECE):
+            rest.write(self.data[at : at + PIECE])
+        return Stream(rest.data(), self.gaps, self.cut, array("q", (max(0, x - k) for x in self.starts)), self.times)
+
 
-def stitch(parts: list[tuple[int, bytes, int]], cap: int = CAP, first: int | None = None) -> Stream:
-    """Stream of (sequence number, payload, time). Numbers may wrap; of segments at one number the longest counts; overlaps are trimmed
-    from the later; missing bytes are skipped and counted as a gap. ``first``: the number of the first byte where it is known."""
-    parts = [p for p in parts if p[1]]
-    if not parts:
-        return Stream()
-    base = parts[0][0] if first is None else first
-    placed: dict[int, tuple[bytes, int]] = {}
-    for seq, payload, at in parts:
-        offset = (seq - base + 0x80000000) % 0x100000000 - 0x80000000
-        if offset not in placed or len(placed[offset][0]) < len(payload):
-            placed[offset] = (payload, min(at, placed[offset][1]) if offset in placed else at)
-    out, end, gaps = Stream(), None, 0
-    chunks, size = [], 0
-    for offset in sorted(placed):
-        payload, at = placed[offset]
-        if end is not None:
-            if offset + len(payload) <= end:
+class Segments:
+    """Payloads of one direction as they were captured. Sequence numbers may wrap any number of times: each counts from the one before."""
+
+    def __init__(self, first: int | None = None) -> None:
+        self._spool, self._last, self._offset, self._end, self._ordered = Spool(), first, 0, None, True
+        self._offsets, self._sizes, self._times = array("q"), array("q"), array("q")
+
+    def add(self, seq: int, payload: bytes, at: int) -> None:
+        if not payload:
+            return
+        if self._last is not None:
+            self._offset += (seq - self._last + 0x80000000) % 0x100000000 - 0x80000000
+        self._last = seq
+        self._ordered = self._ordered and (self._end is None or self._offset >= self._end)
+        self._end = self._offset + len(payload)
+        self._offsets.append(self._offset)
+        self._sizes.append(len(payload))
+        self._times.append(at)
+        self._spool.write(payload)
+
+    @property
+    def size(self) -> int:
+        return self._spool.size
+
+    def datagrams(self) -> Iterator[bytes]:
+        data, at = self._spool.data(), 0
+        for n in self._sizes:
+            yield data[at : at + n]
+            at += n
+
+    def _longest(self) -> Iterator[tuple[int, int, int, int]]:
+        """(offset, size, time, place) in order of offset; of payloads at one offset the longest, at the time of the first."""
+        places = np.cumsum([0, *self._sizes]) if len(self._sizes) < 1000 else np.r_[0, np.cumsum(np.frombuffer(self._sizes, np.int64))]
+        last = None
+        for k in np.argsort(np.frombuffer(self._offsets, np.int64), kind="stable"):
+            offset, size, at, place = self._offsets[k], self._sizes[k], self._times[k], int(places[k])
+            if last and last[0] == offset:
+                at = min(at, last[2])
+                last = (offset, size, at, place) if size > last[1] else (*last[:2], at, last[3])
                 continue
-            if offset > end:
-                gaps += 1
-            payload = payload[max(0, end - offset) :]
-        end = max(end or offset, offset + (len(placed[offset][0])))
-        if size + len(payload) > cap:
-            payload, out.cut = payload[: cap - size], True
-        if payload:
-            out.starts.append(size)
-            out.times.append(at)
-            chunks.append(payload)
-            size += len(payload)
-        if out.cut:
-            break
-    out.data, out.gaps = b"".join(chunks), gaps
-    return out
+            if last:
+                yield last
+            last = (offset, size, at, place)
+        if last:
+            yield last
+
+    def stream(self, cap: int | None = None) -> Stream:
+        """The bytes in order; overlaps are trimmed from the later; missing bytes are skipped and counted as a gap."""
+        out, data = Stream(starts=array("q"), times=array("q")), self._spool.data()
+        if self._ordered and (cap is None or self._spool.size <= cap):
+            end, at = None, 0
+            for offset, n in zip(self._offsets, self._sizes):
+                out.gaps += end is not None and offset > end
+                out.starts.append(at)
+                end, at = offset + n, at + n
+            out.data, out.times = data, self._times
+            return out
+        end, placed = None, Spool()
+        for offset, n, at, place in self._longest():
+            skip = 0
+            if end is not None:
+                if offset + n <= end:
+                    continue
+                out.gaps += offset > end
+                skip = max(0, end - offset)
+            end = offset + n
+            payload = data[place + skip : place + n]
+            if cap is not None and placed.size + len(payload) > cap:
+                payload, out.cut = payload[: cap - placed.size], True
+            if payload:
+                out.starts.append(placed.size)
+                out.times.append(at)
+                placed.write(payload)
+            if out.cut:
+                break
+        out.data = placed.data()
+        return out
+
+
+def stitch(parts: list[tuple[int, bytes, int]], cap: int | None = None, first: int | None = None) -> Stream:
+    """Stream of (sequence number, payload, time), at most ``cap`` bytes of it. ``first``: the number of the first byte where it is known."""
+    out = Segments(first)
+    for part in parts:
+        out.add(*part)
+    return out.stream(cap)
 
 
 # The beginnings by which protocols are told apart.

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hmac
 import struct
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from flowloom.decode import crypto
 from flowloom.decode.hello import VERSIONS, Hello, parse_hello
-from flowloom.decode.streams import Stream
+from flowloom.decode.streams import Spool, Stream
 
 
 @dataclass(frozen=True)
@@ -30,16 +32,15 @@ SUITES = {
 CHANGE, ALERT, HANDSHAKE, DATA = 20, 21, 22, 23
 
 
-def records(data: bytes) -> list[tuple[int, int, bytes, int]]:
+def records(data: bytes) -> Iterator[tuple[int, int, bytes, int]]:
     """(type, version, body, offset) of all complete records."""
-    out, at = [], 0
+    at = 0
     while at + 5 <= len(data):
         kind, version, size = struct.unpack_from(">BHH", data, at)
         if kind not in (CHANGE, ALERT, HANDSHAKE, DATA) or size > 18_432 or at + 5 + size > len(data):
             break
-        out.append((kind, version, data[at + 5 : at + 5 + size], at))
+        yield kind, version, data[at + 5 : at + 5 + size], at
         at += 5 + size
-    return out
 
 
 def handshake_start(data: bytes) -> bytes:
@@ -177,7 +178,7 @@ def open_tls(client: Stream, server: Stream, secrets: dict[tuple[str, str], str]
             part = lambda size, at: block[at + k * size : at + (k + 1) * size]
             macs, keys, ivs = part(mac, 0), part(suite.key, 2 * mac), part(iv, 2 * (mac + suite.key))
             reader, changed = (_Cbc(suite, keys, ivs, macs, version, later_mac) if suite.cipher == "cbc" else _Aead(suite, keys, ivs, version)), False
-        plain, chunks, size = Stream(gaps=stream.gaps), [], 0
+        plain, opened = Stream(gaps=stream.gaps, starts=array("q"), times=array("q")), Spool()
         for kind, record_version, body, at in records(stream.data):
             if kind == CHANGE:
                 changed = True
@@ -188,14 +189,13 @@ def open_tls(client: Stream, server: Stream, secrets: dict[tuple[str, str], str]
             if got is None:
                 continue
             if got[0] == DATA and got[1]:
-                plain.starts.append(size)
+                plain.starts.append(opened.size)
                 plain.times.append(stream.time_at(at))
-                chunks.append(got[1])
-                size += len(got[1])
+                opened.write(got[1])
             elif got[0] == HANDSHAKE and version >= 0x0304 and got[1][:1] == b"\x18":  # key update
                 secret = crypto.expand_label(secret, "traffic upd", crypto.digest_size(suite.hash), suite.hash)
                 reader = make(secret)
-        plain.data = b"".join(chunks)
+        plain.data = opened.data()
         out.append(plain)
     return out[0], out[1]
 

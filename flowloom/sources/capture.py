@@ -1,12 +1,15 @@
 """Captures as DataFrames: packets, connections, and flows decoded from them.
 
 Files are read with Spark's binary source, so they may lie on any file system; a file is one row, parsed
-in one task. Connections are decoded in grouped Arrow steps, at most ``CONNECTION_CAP`` bytes of each.
+in one task. Connections are decoded whole, in a stream over a sorted partition: what a connection carries lies in
+files beyond ``streams.MEMORY`` bytes, and exchanges leave as they are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from flowloom.decode import capture, hello, http1, http2, http3, streams, tls
 from flowloom.decode.protocols import Meta, Registry
 
-CONNECTION_CAP = 64 << 20
+CONNECTION_CAP = 64 << 20  # of a connection's bytes read back
+BATCH_BYTES = 16 << 20
 MAX_SECRETS = 1_000_000
 SEGMENT = "session_id string, packet_no long, ts_micros long, transport string, src string, dst string, seq long, flags int, payload binary, owner_pid long"
 FLOW = (
@@ -79,107 +83,119 @@ def _reason(kind: str, client: bytes, server: bytes, transport: str, keyed: bool
     return "unparsed"
 
 
-def decode_connection(session: str, connection: str, rows_in: list[tuple], secrets: dict[tuple[str, str], str] | None = None, registry: Registry | None = None) -> list[dict]:
+def decode_connection(session: str, connection: str, rows_in: Iterable[tuple], secrets: dict[tuple[str, str], str] | None = None, registry: Registry | None = None) -> Iterator[dict]:
     """Flows of one connection, or one row with the reason why it has none. rows_in: ts_micros, transport, src, dst, seq, flags, payload, client, from_client in order of packets."""
-    at0, transport, src0, dst0, _, _, _, src, _ = rows_in[0]
-    dst = dst0 if src0 == src else src0
-    sides = {}
-    for up in (True, False):
-        p = [r for r in rows_in if r[8] == up]
+    for n, r in enumerate(_flows(session, connection, rows_in, secrets, registry)):
+        yield r | {"id": f"{session}-{connection}-{n}"}
+
+
+def _flows(session: str, connection: str, rows_in: Iterable[tuple], secrets: dict[tuple[str, str], str] | None, registry: Registry | None) -> Iterator[dict]:
+    sides, ups, began, head = {True: streams.Segments(), False: streams.Segments()}, bytearray(), None, None
+    times = array("q")
+    for at, transport, src, dst, seq, _, payload, client, up in rows_in:
+        head = head or (transport, client, dst if src == client else src)
+        began = at if began is None else min(began, at)
         if transport == "tcp":
-            first = next(((r[4] + 1) & 0xFFFFFFFF for r in p if r[5] & 2), None)
-            sides[up] = streams.stitch([(r[4], r[6], r[0]) for r in p], CONNECTION_CAP, first)
-        else:
-            sides[up] = streams.Stream(b"".join(r[6] for r in p), starts=[0], times=[at0])
-    client, server = sides[True], sides[False]
+            sides[up].add(seq, payload, at)
+        elif payload:
+            sides[up].add(0, payload, at)
+            ups.append(up)
+            times.append(at)
+    transport, src, dst = head
+    client, server = (sides[up].stream() if transport == "tcp" else streams.Stream() for up in (True, False))
     blank = dict.fromkeys(_names(FLOW)) | {
-        "session_id": session, "connection_id": connection, "stream_id": "", "src_addr": src, "dst_addr": dst, "ts_micros": min(r[0] for r in rows_in), "bytes_up": len(client.data), "bytes_down": len(server.data),
+        "session_id": session, "connection_id": connection, "stream_id": "", "src_addr": src, "dst_addr": dst, "ts_micros": began, "bytes_up": len(client.data) if transport == "tcp" else sides[True].size, "bytes_down": len(server.data) if transport == "tcp" else sides[False].size,
         "gaps": client.gaps + server.gaps, "error": "", "proxy_addr": "", "proxy_type": "", "proxy_user": "", "proxy_pass": "", "duration_micros": 0, "status": 0, "tls_decrypted": False,
     }
-    rows, a, b, proxy = [], 0, 0, {}
+    some, a, b, proxy = False, 0, 0, {}
+    near = lambda s, k: s.data[k : k + streams.HEADER_CAP]
     if transport == "tcp":
         for _ in range(4):  # proxies may be chained
-            kind = streams.classify(client.data[a:], server.data[b:])
+            kind = streams.classify(near(client, a), near(server, b))
             tunnel = None
             if kind == "connect":
-                tunnel = streams.connect_tunnel(client.data[a:], server.data[b:])
+                tunnel = streams.connect_tunnel(near(client, a), near(server, b))
                 if tunnel:
-                    rows.append(blank | proxy | {"method": "CONNECT", "scheme": "http", "authority": tunnel.target, "path": "", "query": "", "protocol": "HTTP/1.1", "status": 200 if tunnel.accepted else 0, "ts_micros": client.time_at(a), "error": "" if tunnel.accepted else "tunnel refused"})
+                    some = True
+                    yield blank | proxy | {"method": "CONNECT", "scheme": "http", "authority": tunnel.target, "path": "", "query": "", "protocol": "HTTP/1.1", "status": 200 if tunnel.accepted else 0, "ts_micros": client.time_at(a), "error": "" if tunnel.accepted else "tunnel refused"}
             elif kind in ("socks4", "socks5"):
-                tunnel = streams.socks_tunnel(client.data[a:], server.data[b:])
+                tunnel = streams.socks_tunnel(near(client, a), near(server, b))
             if not tunnel:
                 break
             proxy = {"proxy_addr": dst, "proxy_type": tunnel.proxy, "proxy_user": tunnel.user, "proxy_pass": tunnel.password, "dst_addr": tunnel.target or dst}
             a, b = a + tunnel.client_at, b + tunnel.server_at
             if not tunnel.accepted:
                 break
-        shift = lambda s, k: streams.Stream(s.data[k:], s.gaps, s.cut, [max(0, x - k) for x in s.starts], s.times)
-        up, down, scheme, shown = shift(client, a), shift(server, b), "http", None
-        kind = streams.classify(up.data, down.data)
+        up, down, scheme, shown = client.after(a), server.after(b), "http", None
+        kind = streams.classify(near(up, 0), near(down, 0))
         if kind == "tls":
             shown = hello.parse_hello(tls.handshake_start(up.data))
             if secrets and (opened := tls.open_tls(up, down, secrets)):
                 (up, down), scheme = opened, "https"
-                kind = streams.classify(up.data, down.data)
-        found: list[tuple[str, http1.Exchange]] = []
+                kind = streams.classify(near(up, 0), near(down, 0))
+        found: Iterable[tuple[str, http1.Exchange]] = []
         fingerprint = ""
         if kind == "http2":
-            got, fingerprint = http2.exchanges(up, down, scheme)
-            found = [(str(n), e) for n, e in got]
+            got, fingerprint = http2.read_exchanges(up, down, scheme)
+            found = ((str(n), e) for n, e in got)
         elif kind == "cleartext" and registry and (custom := registry.find(Meta((proxy.get("dst_addr") or dst).rpartition(":")[0], int((proxy.get("dst_addr") or dst).rpartition(":")[2] or 0)))):
             name, decoder = custom
-            decoded = decoder.feed(True, up.data) + decoder.feed(False, down.data)
+            decoded = [m for side, t in ((True, up), (False, down)) for at in range(0, max(1, len(t.data)), streams.MEMORY) for m in decoder.feed(side, t.data[at : at + streams.MEMORY])]
             if decoded:
                 e = http1.Exchange(scheme=name, authority=(proxy.get("dst_addr") or dst), ts_micros=up.time_at(0) or down.time_at(0))
                 e.messages = [(m.from_client, m.opcode, m.payload.encode()) for m in decoded]
                 found = [("", e)]
         elif kind in ("http1", "cleartext"):
-            found = [("", e) for e in http1.exchanges(up, down, scheme)]
-        for n, (stream, e) in enumerate(found):
+            found = (("", e) for e in http1.read_exchanges(up, down, scheme))
+        for stream, e in found:
+            some = True
             pairs = lambda h: [{"name": x, "value": y} for x, y in h]
-            rows.append(blank | proxy | {
+            yield blank | proxy | {
                 "stream_id": stream, "ts_micros": e.ts_micros, "duration_micros": e.duration_micros, "method": e.method, "scheme": e.scheme, "authority": e.authority, "path": e.path, "query": e.query, "protocol": "HTTP/2" if kind == "http2" else e.scheme if e.messages and not e.method else "HTTP/1.1",
                 "status": e.status, "error": e.error, "redirect_location": e.redirect_location, "req_content_encoding": e.request_encoding, "resp_content_encoding": e.response_encoding, "http2_fingerprint": fingerprint, "request_headers": pairs(e.request_headers),
                 "response_headers": pairs(e.response_headers), "request_body": e.request_body, "response_body": e.response_body, "messages": [{"from_client": c, "opcode": o, "payload": p} for c, o, p in e.messages],
                 "tls_decrypted": scheme == "https", "sni": shown.sni if shown else "", "ja3": hello.ja3(shown) if shown else "", "ja4": hello.ja4(shown) if shown else "",
-            })
-    if transport == "udp" and secrets and (opened := http3.quic_streams([(r[8], r[6], r[0]) for r in rows_in], secrets)):
-        shown = tls.quic_hello([r[6] for r in rows_in if r[8]])
+            }
+    if transport == "udp" and secrets and (opened := http3.quic_streams(_datagrams(sides, ups, times), secrets)):
+        shown = tls.quic_hello(list(islice(sides[True].datagrams(), 16)))
         pairs = lambda h: [{"name": x, "value": y} for x, y in h]
         for number, e in http3.exchanges(*opened):
-            rows.append(blank | {
+            some = True
+            yield blank | {
                 "connection_id": connection.replace("udp:", "quic:"), "stream_id": str(number), "ts_micros": e.ts_micros, "duration_micros": e.duration_micros, "method": e.method, "scheme": e.scheme, "authority": e.authority, "path": e.path, "query": e.query, "protocol": "HTTP/3", "status": e.status,
                 "error": e.error, "redirect_location": e.redirect_location, "req_content_encoding": e.request_encoding, "resp_content_encoding": e.response_encoding, "request_headers": pairs(e.request_headers), "response_headers": pairs(e.response_headers),
                 "request_body": e.request_body, "response_body": e.response_body, "messages": [], "tls_decrypted": True, "sni": shown.sni if shown else "", "ja3": hello.ja3(shown) if shown else "", "ja4": hello.ja4(shown, True) if shown else "",
-            })
-    if not rows and (len(client.data) or len(server.data)):
+            }
+    if not some and (blank["bytes_up"] or blank["bytes_down"]):
         quic = transport == "udp"
-        kind = "udp" if quic else streams.classify(client.data[a:], server.data[b:])
-        h = tls.quic_hello([r[6] for r in rows_in if r[8]]) if quic else hello.parse_hello(tls.handshake_start(client.data[a:])) if kind == "tls" else None
-        rows.append(blank | proxy | {"reason": _reason(kind, client.data, server.data, transport, bool(secrets)), "sni": h.sni if h else "", "ja3": hello.ja3(h) if h else "", "ja4": hello.ja4(h, quic) if h else ""})
-    for n, r in enumerate(rows):
-        r["id"] = f"{session}-{connection}-{n}"
-    return rows
+        kind = "udp" if quic else streams.classify(near(client, a), near(server, b))
+        h = tls.quic_hello(list(islice(sides[True].datagrams(), 16))) if quic else hello.parse_hello(tls.handshake_start(client.after(a).data)) if kind == "tls" else None
+        yield blank | proxy | {"reason": _reason(kind, client.data[:1], server.data[:1], transport, bool(secrets)), "sni": h.sni if h else "", "ja3": hello.ja3(h) if h else "", "ja4": hello.ja4(h, quic) if h else ""}
+
+
+def _datagrams(sides: dict[bool, streams.Segments], ups: bytearray, times: array) -> Iterator[tuple[bool, bytes, int]]:
+    """(from_client, datagram, time) of both sides in order."""
+    each = {up: side.datagrams() for up, side in sides.items()}
+    for up, at in zip(ups, times):
+        yield bool(up), next(each[bool(up)]), at
+
+
+def _weight(row: dict) -> int:
+    """About the bytes of a flow."""
+    return 1000 + len(row["request_body"] or b"") + len(row["response_body"] or b"") + sum(len(m["payload"]) for m in row["messages"] or ())
 
 
 def _decode(batches: Iterator[pa.RecordBatch], schema: pa.Schema, secrets: dict[tuple[str, str], str], registry: Registry | None) -> Iterator[pa.RecordBatch]:
-    """Connections of a sorted partition one after the other; only one connection, up to the cap, is held."""
-    key, held, size, out = None, [], 0, []
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-        for session, connection, *row in zip(*columns):
-            if (session, connection) != key:
-                if held:
-                    out += decode_connection(*key, held, secrets, registry)
-                key, held, size = (session, connection), [], 0
-            size += len(row[6])
-            if size <= 2 * CONNECTION_CAP:
-                held.append(tuple(row))
-            if len(out) >= 500:
+    """Connections of a sorted partition one after the other."""
+    rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))))
+    out, size = [], 0
+    for key, some in groupby(rows, lambda r: r[:2]):
+        for row in decode_connection(*key, (r[2:] for r in some), secrets, registry):
+            out.append(row)
+            size += _weight(row)
+            if len(out) >= 500 or size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-    if held:
-        out += decode_connection(*key, held, secrets, registry)
+                out, size = [], 0
     if out:
         yield pa.RecordBatch.from_pylist(out, schema)
 

@@ -2,14 +2,17 @@ import gzip
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from flowloom.decode import capture, content, hello, http1, http2, protocols, streams
 from flowloom.sources import files
-from flowloom.sources.capture import decode_capture, read_segments
+from flowloom.sources.capture import FLOW, _decode, decode_capture, read_segments
 
 
 def tcp(src, dst, seq, payload, flags=24):
@@ -210,3 +213,39 @@ def test_bundle_archive(tmp_path):
         t.addfile(i, io.BytesIO(b"x"))
     with pytest.raises(ValueError):
         files.unpack_bundle(str(tmp_path / "bad.tgz"), str(tmp_path / "out2"))
+
+
+BODY = bytes(range(256)) * 8192
+
+
+def wire(pieces, swap):
+    """Packets of (from_client, bytes) in turn as record batches; sequence numbers wrap. swap: every 50th segment comes after its successor and twice."""
+    names, seq, rows = "session_id connection_id ts_micros transport src dst seq flags payload client from_client".split(), {True: 2**32 - 99, False: 2**32 - 9999}, []
+    for up, data in pieces:
+        for at in range(0, len(data), 60_000):
+            part = data[at : at + 60_000]
+            a, b = ("c:1", "s:80") if up else ("s:80", "c:1")
+            rows.append(("s", "1", len(rows), "tcp", a, b, seq[up], 24, part, "c:1", up))
+            seq[up] = (seq[up] + len(part)) % 2**32
+    if swap:
+        for k in range(50, len(rows) - 1, 50):
+            rows[k : k + 2] = [rows[k + 1], rows[k], rows[k]]
+    for k in range(0, len(rows), 200):
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 200]])
+
+
+@pytest.mark.parametrize("swap", [False, True])
+@pytest.mark.parametrize("kind", ["HTTP/1.1", "HTTP/2"])
+def test_long_connections_are_decoded_whole(spark, kind, swap):
+    """160 MiB of answers on one connection."""
+    n = 80
+    if kind == "HTTP/1.1":
+        pieces = [x for k in range(n) for x in ((True, b"GET /%d HTTP/1.1\r\nHost: h\r\n\r\n" % k), (False, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(BODY) + BODY))]
+    else:
+        half = len(BODY) // 2
+        pieces = [(True, http2.H2_PREFACE)] + [x for k in range(1, 2 * n, 2) for x in ((True, frame(1, 5, k, bytes.fromhex("828684") + b"\x41\x01h")), (False, frame(1, 4, k, b"\x88") + frame(0, 0, k, BODY[:half]) + frame(0, 8, k, b"\x00" + BODY[half:-1]) + frame(0, 1, k, BODY[-1:])))]
+    schema = to_arrow_schema(StructType.fromDDL(FLOW))
+    got = [r for b in _decode(wire(pieces, swap), schema, {}, None) for r in b.to_pylist()]
+    assert len(got) == n and {(r["protocol"], r["status"], r["error"], r["reason"], r["gaps"]) for r in got} == {(kind, 200, "", None, 0)}
+    assert all(r["response_body"] == BODY for r in got)
+    assert {r["bytes_down"] for r in got} == {sum(len(d) for up, d in pieces if not up)} and [r["id"] for r in got] == [f"s-1-{k}" for k in range(n)]

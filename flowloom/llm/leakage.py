@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ SAMPLED = 5
 SEED_RUN = 6
 ITEMS_AT_ONCE = 20_000
 DOCS_AT_ONCE = 256
+SEVERAL = 3
 
 
 @dataclass(frozen=True)
@@ -53,19 +54,23 @@ CHARACTERS = Unit(least=30, window=20, foreign=2, shared_prefix=12)
 
 
 def cut_instructions(streams: dict[int, list[str]], least: int) -> dict[int, int]:
-    """Per item, the length of the opening that it shares with another item, if ``least`` units or more."""
-    cut = dict.fromkeys(streams, 0)
-    order = sorted(streams, key=lambda k: streams[k])
-    for a, b in zip(order, order[1:]):
-        x, y = streams[a], streams[b]
-        if x == y:
-            continue
-        n = 0
-        while n < min(len(x), len(y)) and x[n] == y[n]:
-            n += 1
-        if n >= least:
-            cut[a], cut[b] = max(cut[a], n), max(cut[b], n)
-    return cut
+    """Per item, the length of its instruction: the opening common to all of the ``SEVERAL`` or more different items that share its first
+    ``least`` units. Where items part, an instruction goes on only for those of which as many share ``least`` units more, so units
+    that a few passages happen to share behind it stay evidence."""
+    different = sorted({tuple(s) for s in streams.values()})
+    cut = {}
+    todo = [(0, 0, len(different))]
+    while todo:
+        at, begin, end = todo.pop()
+        for key, group in groupby(range(begin, end), lambda k: different[k][: at + least]):
+            some = list(group)
+            if len(key) < at + least or len(some) < SEVERAL:
+                cut |= dict.fromkeys((different[k] for k in some), at)
+                continue
+            first, last = different[some[0]], different[some[-1]]
+            n = next((k for k, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))
+            todo.append((n, some[0], some[-1] + 1))
+    return {item: cut[tuple(s)] for item, s in streams.items()}
 
 
 def _bits(unit: np.ndarray, step: int, repeat: int) -> np.ndarray:

@@ -69,6 +69,28 @@ def test_shared_instruction_is_no_evidence():
     assert carried(rule + " " + " ".join(passage(2)[:16]), items) == {2}
 
 
+def test_words_shared_with_a_neighbour_are_evidence():
+    """Bodies that go on alike behind their instruction: 15 words right behind it are a stretch, 14 are none."""
+    rule, other = passage(99, 20), passage(98, 9)
+    bodies = {k: passage(k) for k in range(9)}
+    for a, b, n in ((0, 1, 1), (2, 3, 5), (4, 5, 2), (5, 6, 2)):  # the last: three share two words
+        bodies[b][:n] = bodies[a][:n]
+    items = [(k, " ".join(rule + (other if k > 6 else []) + b)) for k, b in bodies.items()]
+    items += [(k, " ".join(rule + other + passage(k))) for k in (9, 10)]  # a longer instruction that opens like the first
+    cut = lk.cut_instructions({k: words(plain(t)) for k, t in items}, lk.WORDS.shared_prefix)
+    assert [cut[k] for k, _ in items] == [20] * 7 + [29] * 4
+    for k, b in bodies.items():
+        assert carried(" ".join(b[:15]), items) == {k} and carried(" ".join(b[:14]), items) == set()
+        assert carried(" ".join(rule + other + b[:14]), items) == set()
+
+
+def test_instructions_of_the_evaluation_set(duck):
+    """Every instruction has one length in its suite."""
+    rows = duck.execute("SELECT item_id, suite, passage FROM eval_items").fetchall()
+    cut = lk.cut_instructions({k: words(plain(t)) for k, _, t in rows}, lk.WORDS.shared_prefix)
+    assert {(s, cut[k]) for k, s, _ in rows if cut[k]} == {("follow-up", 21), ("ledger-math", 22), ("reading-h", 21)}
+
+
 def test_spaceless_script():
     r = random.Random(4)
     chars = [chr(r.randrange(0x4E00, 0x6000)) for _ in range(90)]

@@ -50,7 +50,7 @@ class Unit:
 
 
 WORDS = Unit(least=15, window=10, foreign=1, shared_prefix=8)
-CHARACTERS = Unit(least=30, window=20, foreign=2, shared_prefix=12)
+CHARACTERS = Unit(least=30, window=20, foreign=3, shared_prefix=12)
 
 
 def cut_instructions(streams: dict[int, list[str]], least: int) -> dict[int, int]:

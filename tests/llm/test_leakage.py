@@ -99,6 +99,29 @@ def test_spaceless_script():
     assert carried("".join(chars[10:35]), items) == set()
 
 
+def test_recall_of_edited_spaceless_stretches():
+    """30 to 39 characters with three edits, the unknown characters anywhere or all in the middle, against an exhaustive search."""
+    import numpy as np
+
+    r = random.Random(11)
+    items = [(k, "".join(chr(r.randrange(0x4E00, 0x6000)) for _ in range(60))) for k in range(20)]
+    index = lk.build_index(items)
+    for middle in (False, True):
+        found = exhaustive = 0
+        for seed in range(200):
+            r = random.Random(seed)
+            k, n = seed % 20, r.randrange(30, 40)
+            cs, begin = list(items[k][1]), r.randrange(0, 60 - n)
+            cs = cs[begin : begin + n]
+            for at in r.sample(range(10, 20) if middle else range(1, n - 1), 3):
+                cs[at] = chr(r.randrange(0x7000, 0x7800))
+            ids = np.array([index[0].vocabulary.get(c, -1) for c in cs])
+            if lk.longest_stretch(index[0].passages[k], ids, 30) >= 30:
+                exhaustive += 1
+                found += (0, k) in set(lk.carried_items(index, ["頭" * 40 + "".join(cs) + "尾" * 40]))
+        assert exhaustive >= 150 and found >= 0.9 * exhaustive, (middle, found, exhaustive)
+
+
 def test_cells_and_long_texts():
     ws = passage(11)
     text = " ".join(f"w{k}" for k in range(60_000)) + " " + " ".join(ws[:9]) + "\n\n" + " ".join(ws[9:20])

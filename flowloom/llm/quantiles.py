@@ -243,10 +243,12 @@ def rank_errors(key: np.ndarray, count: np.ndarray, groups: int) -> np.ndarray:
     return np.ceil(Z * np.sqrt(total))
 
 
-def sketch_percentiles(sketches: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
+def sketch_percentiles(sketches: DataFrame, keys: list[str], percents: list[int], blocks: bool = False) -> DataFrame:
     """Per group and percent q: n, rank_error, value (the middle of the code at rank ceil(n*q/100)), and
     value_low and value_high, between which the exact percentile lies up to the stated error. Sketches
-    of no weight give no row."""
+    of no weight give no row. blocks: also block_low and block_high, the ends of the exact counter that holds the
+    rank, between which the exact percentile lies for certain."""
+    names = ["percent", "n", "rank_error", "value", "value_low", "value_high", *(["block_low", "block_high"] if blocks else [])]
     qs = [int(q) for q in percents]
     if any(not 0 < q <= 100 for q in qs):
         raise ValueError("percents are whole numbers from 1 to 100")
@@ -270,9 +272,12 @@ def sketch_percentiles(sketches: DataFrame, keys: list[str], percents: list[int]
                     mid = decode(at[1])
                     out = [batch.column(k).slice(a, b - a) for k in keys]
                     out += [pa.array(np.full(b - a, q, np.int32)), pa.array(n), pa.array(error.astype(np.int64)), pa.array(mid[0] + (mid[1] - mid[0]) // 2), pa.array(decode(at[0])[0]), pa.array(decode(at[2])[1])]
-                    yield pa.RecordBatch.from_arrays(out, names=[*keys, "percent", "n", "rank_error", "value", "value_low", "value_high"])
+                    if blocks:
+                        begin = at[1] >> SKETCHED << SKETCHED
+                        out += [pa.array(decode(begin)[0]), pa.array(decode(begin + (1 << SKETCHED) - 1)[1])]
+                    yield pa.RecordBatch.from_arrays(out, names=[*keys, *names])
 
-    return sketches.select(*keys, "n", "cells", "counts").mapInArrow(run, _schema(sketches, keys, "percent int, n long, rank_error long, value long, value_low long, value_high long"))
+    return sketches.select(*keys, "n", "cells", "counts").mapInArrow(run, _schema(sketches, keys, ", ".join(f"{x} {'int' if x == 'percent' else 'long'}" for x in names)))
 
 
 def exact_in_brackets(df: DataFrame, keys: list[str], value: str, brackets: DataFrame, percents: list[int]) -> DataFrame:

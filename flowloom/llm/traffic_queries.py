@@ -26,10 +26,11 @@ def _durations(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, keys = _durations(spark, sf_dir), ["authority", "protocol"]
-    guess = sketch_percentiles(build_sketches(rows, keys, "duration_micros", min_rows=MIN_ROWS), keys, [50, 99])
+    guess = sketch_percentiles(build_sketches(rows, keys, "duration_micros", min_rows=MIN_ROWS), keys, [50, 99], blocks=True)
     at = lambda q, c: F.max(F.when(F.col("percent") == q, F.col(c)))
-    brackets = guess.groupBy(*keys, "n").agg(at(50, "value_low").alias("low_50"), at(50, "value_high").alias("high_50"), at(99, "value_low").alias("low_99"), at(99, "value_high").alias("high_99"))
-    near = cut(brackets.filter(F.col("high_99") >= RATIO * F.col("low_50")))
+    brackets = guess.groupBy(*keys, "n").agg(at(50, "value_low").alias("low_50"), at(50, "value_high").alias("high_50"), at(99, "value_low").alias("low_99"), at(99, "value_high").alias("high_99"), at(50, "block_low").alias("least_50"), at(99, "block_high").alias("most_99"))
+    # by exact counters, so that no pair is ruled out by an estimate
+    near = cut(brackets.filter(F.col("most_99") >= RATIO * F.col("least_50")).drop("least_50", "most_99"))
     exact = cut(exact_in_brackets(rows, keys, "duration_micros", near, [50, 99]))
     held = F.col("p_50").isNotNull() & F.col("p_99").isNotNull()
     missed = exact.filter(~held)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,38 @@ def I25_request_cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["I25_request_cookies"] = "SELECT flow_id, ord, trim(split_part(split_part(value, ';', 1), '=', 1)) AS name, trim(split_part(split_part(value, ';', 1), '=', 2)) AS cookie_value, CAST(len(list_filter(string_split(value, ';'), lambda x: trim(x) <> '')) - 1 AS INTEGER) AS n_attributes FROM flow_headers WHERE lower(name) = 'set-cookie' AND value <> ''"
 
 
+COOKIE = "flow_id string, ord long, request boolean, n int, name string, cookie_value string, attributes string"
+
+
+def _cookies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in COOKIE.split(", ")]
+    for batch in batches:
+        rows = []
+        for flow, ord_, header, value in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if header == "cookie":
+                rows += [(flow, ord_, True, n, name, v, "") for n, (name, v) in enumerate(request_cookies(value))]
+            elif c := response_cookie(value):
+                rows.append((flow, ord_, False, 0, c.pop("name"), c.pop("value"), ";".join(f"{k}={v}" for k, v in sorted(c.items()))))
+        if rows:
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+
+def I25_cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cookies of all Cookie and Set-Cookie headers."""
+    h = load(spark, sf_dir, "flow_headers").filter(F.lower("name").isin("cookie", "set-cookie") & present(F.col("value")))
+    return h.select("flow_id", F.col("ord").cast("long").alias("ord"), F.lower("name").alias("name"), "value").mapInArrow(_cookies, COOKIE)
+
+
+SQL["I25_cookies"] = """
+WITH h AS (SELECT flow_id, ord, lower(name) AS header, value FROM flow_headers WHERE lower(name) IN ('cookie', 'set-cookie') AND value <> ''),
+p AS (SELECT *, list_transform(string_split(value, ';'), lambda x: trim(x)) AS parts FROM h),
+c AS (SELECT flow_id, ord, header, parts, CASE WHEN header = 'cookie' THEN list_filter(parts, lambda x: instr(x, '=') > 0 AND trim(split_part(x, '=', 1)) <> '') ELSE list_filter(parts[1:1], lambda x: instr(x, '=') > 0 AND trim(split_part(x, '=', 1)) <> '') END AS kept FROM p),
+e AS (SELECT flow_id, ord, header, parts, unnest(kept) AS x, generate_subscripts(kept, 1) - 1 AS n FROM c)
+SELECT flow_id, ord, header = 'cookie' AS request, n, trim(split_part(x, '=', 1)) AS name, trim(trim(substr(x, instr(x, '=') + 1)), '"') AS cookie_value,
+CASE WHEN header = 'cookie' THEN '' ELSE array_to_string(list_sort(list_transform(list_filter(parts[2:], lambda y: y <> ''), lambda y: lower(trim(split_part(y, '=', 1))) || '=' || CASE WHEN instr(y, '=') > 0 THEN trim(substr(y, instr(y, '=') + 1)) ELSE '' END)), ';') END AS attributes FROM e"""
+
+
 def A10_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = a.flows(spark, sf_dir)
     q = F.struct(F.col("ts_micros").alias("timestamp"), "method", "scheme", "authority", F.concat(text(F.col("path")), F.when(text(F.col("query")) == "", "").otherwise(F.concat(F.lit("?"), "query"))).alias("path"))

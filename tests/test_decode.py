@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from flowloom.decode import capture, content, hello, http1, http2, protocols, streams
+from flowloom.queries.decode_queries import QUERIES, SQL
 from flowloom.sources import files
 from flowloom.sources.capture import FLOW, _decode, decode_capture, read_segments
 
@@ -179,6 +180,16 @@ def test_redirects_and_cookies():
     assert content.request_cookies("a=1; b = 2;c") == [("a", "1"), ("b", "2")] and content.response_cookie("junk") is None
 
 
+def test_cookies_of_all_headers(spark, agree, tmp_path):
+    from conftest import DATA
+
+    agree(QUERIES["I25_cookies"](spark, DATA), SQL["I25_cookies"])
+    rows = [("f", 0, "Cookie", 'a=1; b="x=y"; =n; plain'), ("f", 1, "Set-Cookie", "sid=q; Path=/; HttpOnly"), ("f", 2, "set-cookie", "junk"), ("g", 0, "cookie", None), ("g", 1, "host", "a=1")]
+    spark.createDataFrame(rows, "flow_id string, ord int, name string, value string").write.parquet(f"{tmp_path}/flow_headers.parquet")
+    got = sorted(tuple(r) for r in QUERIES["I25_cookies"](spark, str(tmp_path)).collect())
+    assert got == [("f", 0, True, 0, "a", "1", ""), ("f", 0, True, 1, "b", "x=y", ""), ("f", 1, False, 0, "sid", "q", "httponly=;path=/")]
+
+
 def test_capture_to_flows(spark, tmp_path):
     frames = [tcp(C, S, 99, b"", 2), tcp(S, C, 499, b"", 18), tcp(C, S, 100, ASK), tcp(S, C, 500, ANSWER[:30]), tcp(S, C, 530, ANSWER[30:]), tcp(S, C, 500, ANSWER[:30]), tcp(((10, 0, 0, 3), 7), S, 1, b"\x16\x03\x01" + struct.pack(">H", len(client_hello())) + client_hello())]
     (tmp_path / "one.pcap").write_bytes(pcap(frames))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.common import cut
 from flowloom.llm.plain import SPACELESS_CHAR, characters, is_spaceless, plain, words
 
 REPEATS = 12
@@ -58,19 +59,19 @@ def cut_instructions(streams: dict[int, list[str]], least: int) -> dict[int, int
     ``least`` units. Where items part, an instruction goes on only for those of which as many share ``least`` units more, so units
     that a few passages happen to share behind it stay evidence."""
     different = sorted({tuple(s) for s in streams.values()})
-    cut = {}
+    found = {}
     todo = [(0, 0, len(different))]
     while todo:
         at, begin, end = todo.pop()
         for key, group in groupby(range(begin, end), lambda k: different[k][: at + least]):
             some = list(group)
             if len(key) < at + least or len(some) < SEVERAL:
-                cut |= dict.fromkeys((different[k] for k in some), at)
+                found |= dict.fromkeys((different[k] for k in some), at)
                 continue
             first, last = different[some[0]], different[some[-1]]
             n = next((k for k, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))
             todo.append((n, some[0], some[-1] + 1))
-    return {item: cut[tuple(s)] for item, s in streams.items()}
+    return {item: found[tuple(s)] for item, s in streams.items()}
 
 
 def _bits(unit: np.ndarray, step: int, repeat: int) -> np.ndarray:
@@ -111,8 +112,8 @@ class Index:
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     tables: list[np.ndarray] = field(default_factory=list)
 
-    def build(self, streams: dict[int, list[str]]) -> None:
-        opening = cut_instructions(streams, self.unit.shared_prefix)
+    def build(self, streams: dict[int, list[str]], opening: dict[int, int] | None = None) -> None:
+        opening = cut_instructions(streams, self.unit.shared_prefix) if opening is None else opening
         for item, stream in streams.items():
             rest = stream[opening[item] :]
             if len(rest) >= self.unit.least:
@@ -258,17 +259,23 @@ def longest_stretch(passage: np.ndarray, part: np.ndarray, least: int, places: n
     return longest
 
 
-def build_index(items: Iterable[tuple[int, str | None]]) -> list[Index]:
-    """Indexes of passages by unit."""
+def stream_of(passage: str | None) -> tuple[Unit, list[str]]:
+    """A passage's units."""
+    text = plain(passage or "")
+    unit = CHARACTERS if is_spaceless(text) else WORDS
+    return unit, (characters if unit is CHARACTERS else words)(text)
+
+
+def build_index(items: Iterable[tuple[int, str | None]], opening: dict[int, int] | None = None) -> list[Index]:
+    """Indexes of passages by unit. opening: lengths of instructions, where these are known from more items than these."""
     streams: dict[Unit, dict[int, list[str]]] = {WORDS: {}, CHARACTERS: {}}
     for item, passage in items:
-        text = plain(passage or "")
-        unit = CHARACTERS if is_spaceless(text) else WORDS
-        streams[unit][item] = (characters if unit is CHARACTERS else words)(text)
+        unit, stream = stream_of(passage)
+        streams[unit][item] = stream
     out = []
     for unit, some in streams.items():
         index = Index(unit)
-        index.build(some)
+        index.build(some, opening)
         if index.passages:
             out.append(index)
     return out
@@ -289,23 +296,45 @@ def carried_items(index: list[Index], texts: list[str | None]) -> Iterator[tuple
                 yield at[k], item
 
 
+def instruction_lengths(items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """item_id, passage, opening: ``cut_instructions`` over any number of items, a round for each instruction that goes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [stream_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([u.shared_prefix for u, _ in some], pa.int32()), pa.array([x for _, x in some], pa.list_(pa.string()))], names=["item_id", "passage", "least", "stream"])
+
+    rows = items.select(F.col(item_id).cast("long"), F.col(passage).cast("string")).mapInArrow(run, "item_id long, passage string, least int, stream array<string>")
+    state = cut(rows.withColumn("opening", F.lit(0)))
+    while True:
+        whole = F.size("stream") >= F.col("opening") + F.col("least")
+        keyed = state.withColumn("key", F.when(whole, F.slice("stream", F.lit(1), F.col("opening") + F.col("least"))))
+        groups = keyed.filter(whole).groupBy("least", "key").agg(F.count_distinct("stream").alias("n"), F.min("stream").alias("low"), F.max("stream").alias("high")).filter(F.col("n") >= SEVERAL)
+        parted = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True).cast("int") - 1
+        further = cut(groups.select("least", "key", parted.alias("further")))
+        if further.isEmpty():
+            return state.select("item_id", "passage", "opening")
+        state = cut(keyed.join(further, ["least", "key"], "left").withColumn("opening", F.coalesce("further", "opening")).select(*state.columns))
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """One row (doc_id, item_id) per document and item that it carries.
 
     Documents are read once per block of ``items_at_once`` items and aren't shuffled; a block's index, of
     that bounded size, is broadcast. NULL and empty texts carry nothing; NULL or short passages (fewer
-    units than the rule needs, after a shared instruction is left out) are carried by nothing. Items
-    are compared with their block for shared instructions. Repeated doc_ids give a row each time;
+    units than the rule needs, after a shared instruction is left out) are carried by nothing. All items
+    are compared for shared instructions, whatever their block. Repeated doc_ids give a row each time;
     item_ids must be unique and not NULL.
     """
     spark = documents.sparkSession
-    total = items.filter(items[item_id].isNotNull()).count()
-    blocks = max(1, -(-total // items_at_once))
+    items = items.filter(items[item_id].isNotNull())
+    blocks = max(1, -(-items.count() // items_at_once))
+    known = instruction_lengths(items, item_id, passage) if blocks > 1 else items.select(F.col(item_id).cast("long").alias("item_id"), F.col(passage))
     schema = f"doc_id {dict(documents.dtypes)[doc_id]}, item_id long"
     out = None
     for block in range(blocks):
-        some = items.filter(items[item_id].isNotNull() & (F.pmod(F.xxhash64(items[item_id]), F.lit(blocks)) == block)).select(F.col(item_id).cast("long"), F.col(passage)).collect()
-        shared = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in some]))
+        some = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect() if blocks > 1 else known.collect()
+        shared = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in some], {r[0]: r[2] for r in some} if blocks > 1 else None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:

@@ -137,6 +137,18 @@ def test_tables(spark):
     assert lk.leaked_items(docs.limit(0), items).count() == 0 and lk.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_instructions_do_not_depend_on_blocks(spark):
+    rule, more = passage(99, 20), passage(98, 12)
+    items = [(k, " ".join(rule + (more if k > 5 else []) + passage(k))) for k in range(10)] + [(k, " ".join(passage(k))) for k in (20, 21)]
+    docs = spark.createDataFrame([(1, " ".join(rule)), (2, " ".join(rule + more)), (3, " ".join(passage(2)[:15])), (4, " ".join(passage(21)))], "doc_id long, text string")
+    rows = spark.createDataFrame(items, "item_id long, passage string")
+    want = lk.cut_instructions({k: words(plain(p)) for k, p in items}, lk.WORDS.shared_prefix)
+    assert {r.item_id: r.opening for r in lk.instruction_lengths(rows, "item_id", "passage").collect()} == want
+    assert sorted(set(want.values())) == [0, 20, 32]
+    for at_once in (100, 3, 1):
+        assert sorted(map(tuple, lk.leaked_items(docs, rows, items_at_once=at_once).collect())) == [(3, 2), (4, 21)]
+
+
 def test_registered(spark):
     from flowloom.llm.queries import QUERIES
 

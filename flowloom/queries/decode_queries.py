@@ -14,6 +14,7 @@ from flowloom.decode.content import request_cookies, response_cookie
 from flowloom.decode.hello import hello_fingerprints
 from flowloom.functions import flows as fx
 from flowloom.operators.flow_joins import positions
+from flowloom.plans import mutate
 from flowloom.queries import adapter as a
 from flowloom.sources import capture, files
 
@@ -101,13 +102,22 @@ SELECT flow_id, ord, header = 'cookie' AS request, n, trim(split_part(x, '=', 1)
 CASE WHEN header = 'cookie' THEN '' ELSE array_to_string(list_sort(list_transform(list_filter(parts[2:], lambda y: y <> ''), lambda y: lower(trim(split_part(y, '=', 1))) || '=' || CASE WHEN instr(y, '=') > 0 THEN trim(substr(y, instr(y, '=') + 1)) ELSE '' END)), ';') END AS attributes FROM e"""
 
 
-def A10_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = a.flows(spark, sf_dir)
+def _proxied(f: DataFrame) -> DataFrame:
     q = F.struct(F.col("ts_micros").alias("timestamp"), "method", "scheme", "authority", F.concat(text(F.col("path")), F.when(text(F.col("query")) == "", "").otherwise(F.concat(F.lit("?"), "query"))).alias("path"))
     return files.from_proxy(f.select("id", q.alias("request"), F.struct("status", (F.col("ts_micros") + F.col("duration_micros")).alias("timestamp")).alias("response"), "error")).select("id", "ts_micros", "path", "query", "status", "duration_micros")
 
 
-A8_pushed = A10_proxy
+def A10_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proxied(a.flows(spark, sf_dir))
+
+
+def A8_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished exchanges pushed over stored ones: about half are stored as they began, without an answer, the others are new."""
+    f = a.flows(spark, sf_dir)
+    began = _proxied(f.filter(F.crc32("id") % 2 == 0)).withColumns({"status": F.lit(0), "duration_micros": F.lit(0).cast("long")})
+    return mutate.upsert(began, _proxied(f), ["id"], ["ts_micros"])
+
+
 SQL["A10_proxy"] = f"{_W} SELECT id, ts_micros, coalesce(path, '') AS path, coalesce(query, '') AS query, coalesce(status, 0) AS status, coalesce(duration_micros, 0) AS duration_micros FROM cur"
 SQL["A8_pushed"] = SQL["A10_proxy"]
 

@@ -180,6 +180,17 @@ def test_redirects_and_cookies():
     assert content.request_cookies("a=1; b = 2;c") == [("a", "1"), ("b", "2")] and content.response_cookie("junk") is None
 
 
+def test_pushed_exchanges_go_through_upsert(spark, agree, monkeypatch):
+    from conftest import DATA
+
+    from flowloom.plans import mutate
+
+    seen, real = [], mutate.upsert
+    monkeypatch.setattr(mutate, "upsert", lambda stored, pushed, *more: seen.append((stored.count(), pushed.count())) or real(stored, pushed, *more))
+    agree(QUERIES["A8_pushed"](spark, DATA), SQL["A8_pushed"])
+    assert len(seen) == 1 and 0 < seen[0][0] < seen[0][1]
+
+
 def test_cookies_of_all_headers(spark, agree, tmp_path):
     from conftest import DATA
 

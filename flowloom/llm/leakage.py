@@ -4,17 +4,17 @@ Passages and documents become streams of units: words, or characters for passage
 without spaces. Windows of both are embedded by random walks (CGK: at step j the walk writes the
 unit it stands on and moves on if a random bit of (j, unit) says so), which maps a small edit distance
 to a small Hamming distance; each repetition has its own walk and samples a few of its places as the
-key under which windows meet (bit-sampling LSH). A document and item that met are then verified
-exactly.
+key under which windows meet (bit-sampling LSH). Windows that met are compared by banded edit distance, and
+around the places of those that are near enough the exact rule is verified.
 
 Exact rule: an item is carried if at least ``MIN_UNITS`` consecutive units of its passage, from a
 matching unit to a matching unit, can be turned into consecutive units of the document by at most one
 edit (change, insertion, deletion) per ten of those passage units.
 
-Before they are embedded, windows are left out that hold more units foreign to all passages than
-any window of a carried passage must; this is a necessary condition, not a sample. Missed pairs come
-from the embedding alone: windows without an edit always meet, and a stretch of fifteen units with
-an edit in the middle has six windows times ``REPEATS`` chances.
+A carried stretch always has a window of no more than ``foreign`` edits, so windows with more units that no passage holds are
+not embedded, and windows that met but are further apart are dropped; both are necessary conditions, not samples. Missed pairs
+come from the embedding alone: windows without an edit always meet, and a stretch of fifteen units with an edit in the
+middle has six windows times ``REPEATS`` chances. Nothing but these meetings leads to a row.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ from flowloom.common import cut
 from flowloom.llm.plain import SPACELESS_CHAR, characters, is_spaceless, plain, words
 
 REPEATS = 12
-SAMPLED = 5
+SAMPLED = 6
 SEED_RUN = 6
 ITEMS_AT_ONCE = 20_000
 DOCS_AT_ONCE = 256
 SEVERAL = 3
+HITS_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ def _bits(unit: np.ndarray, step: int, repeat: int) -> np.ndarray:
 
 
 def sampled_places(size: int, repeat: int) -> list[int]:
-    return sorted(np.random.default_rng(7919 * size + repeat).choice(3 * size, SAMPLED, replace=False).tolist())
+    return sorted(np.random.default_rng(7919 * size + repeat).choice(2 * size, SAMPLED, replace=False).tolist())
 
 
 def walk_keys(stream: np.ndarray, starts: np.ndarray, size: int, repeat: int, table: np.ndarray | None = None) -> np.ndarray:
@@ -103,84 +104,132 @@ def walk_keys(stream: np.ndarray, starts: np.ndarray, size: int, repeat: int, ta
 
 @dataclass
 class Index:
-    """Windows of all passages measured in one unit."""
+    """Windows of all different passages measured in one unit."""
 
     unit: Unit
     vocabulary: dict[str, int] = field(default_factory=dict)
-    passages: dict[int, np.ndarray] = field(default_factory=dict)
-    grams: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    owners: list[list[int]] = field(default_factory=list)  # items of each different passage
+    stream: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # all passages, one after the other
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # per repetition: sorted keys, places of their windows
     tables: list[np.ndarray] = field(default_factory=list)
 
     def build(self, streams: dict[int, list[str]], opening: dict[int, int] | None = None) -> None:
         opening = cut_instructions(streams, self.unit.shared_prefix) if opening is None else opening
+        owners: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for item, stream in streams.items():
             rest = stream[opening[item] :]
             if len(rest) >= self.unit.least:
-                self.passages[item] = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in rest], np.int64)
-        if not self.passages:
+                owners[tuple(rest)].append(item)
+        if not owners:
             return
-        gram = np.concatenate([np.unique(grams_of(p)) for p in self.passages.values()])
-        owner = np.repeat(list(self.passages), [len(np.unique(grams_of(p))) for p in self.passages.values()])
-        order = np.argsort(gram, kind="stable")
-        self.grams = gram[order], owner[order]
+        self.owners = list(owners.values())
+        passages = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in rest], np.int64) for rest in owners]
+        self.stream, self.begin = np.concatenate(passages), np.cumsum([0, *map(len, passages)])
         size = self.unit.window
-        stream = np.concatenate(list(self.passages.values()))
-        begin = np.cumsum([0, *[len(p) for p in self.passages.values()]])
-        starts = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(begin, begin[1:])])
-        item = np.array(list(self.passages))[np.searchsorted(begin, starts, side="right") - 1]
+        starts = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(self.begin, self.begin[1:])])
         for turn in range(REPEATS):
-            table = np.stack([_bits(np.arange(-2, len(self.vocabulary)), step, turn) for step in range(3 * size)])
+            table = np.stack([_bits(np.arange(-2, len(self.vocabulary)), step, turn) for step in range(2 * size)])
             self.tables.append(table)
-            pairs = np.unique(np.stack([walk_keys(stream, starts, size, turn, table).view(np.int64), item]), axis=1)
-            self.keys.append((pairs[0], pairs[1]))
+            key = walk_keys(self.stream, starts, size, turn, table).view(np.int64)
+            order = np.argsort(key, kind="stable")
+            self.keys.append((key[order], starts[order]))
 
-    def met(self, joined: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Pairs (item * number of places in begin + document) of which windows met."""
-        size = self.unit.window
+    def passage(self, number: int) -> np.ndarray:
+        return self.stream[self.begin[number] : self.begin[number + 1]]
+
+    def hits(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in joined, places in the passages) of windows that met and are no more than ``foreign`` edits apart."""
+        size, most = self.unit.window, self.unit.foreign
         known = np.r_[0, np.cumsum(joined >= 0)]
-        starts = np.flatnonzero(known[size:] - known[:-size] >= size - self.unit.foreign)
-        doc = np.searchsorted(begin, starts, side="right") - 1
-        pairs = [np.zeros(0, np.int64)]
-        if len(starts):
-            for turn, (keys, items) in enumerate(self.keys):
-                key = walk_keys(joined, starts, size, turn, self.tables[turn]).view(np.int64)
-                low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-                n = high - low
-                hit = n > 0
-                which = np.repeat(doc[hit], n[hit])
-                entry = np.repeat(low[hit], n[hit]) + np.arange(len(which)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
-                pairs.append(items[entry] * len(begin) + which)
-        return np.unique(np.concatenate(pairs))
-
-    def carried(self, docs: list[list[str]]) -> Iterator[tuple[int, int]]:
-        """(document, item) of every document that carries an item."""
+        starts = np.flatnonzero(known[size:] - known[:-size] >= size - most)
+        near, met_now, waiting = [np.zeros(0, np.int64)], [], 0
+
+        def compare() -> None:
+            pair = distinct(np.concatenate(met_now))
+            at, of = np.divmod(pair, len(self.stream))
+            near.append(pair[window_distance(joined, at, self.stream, of, size, most) <= most])
+            met_now.clear()
+
+        for turn, (keys, places) in enumerate(self.keys if len(starts) else ()):
+            key = walk_keys(joined, starts, size, turn, self.tables[turn]).view(np.int64)
+            low, n = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+            n -= low
+            met = np.flatnonzero(n)
+            total = np.r_[0, np.cumsum(n[met])]
+            a = 0
+            while a < len(met):  # a slice at a time: a key that many passages share is no large array
+                b = max(a + 1, int(np.searchsorted(total, total[a] + HITS_AT_ONCE, side="right")) - 1)
+                count = n[met[a:b]]
+                of = places[np.repeat(low[met[a:b]] - total[a:b] + total[a], count) + np.arange(count.sum())]
+                met_now.append(np.repeat(starts[met[a:b]], count) * len(self.stream) + of)
+                waiting, a = waiting + len(of), b
+                if waiting >= HITS_AT_ONCE:
+                    compare()
+                    waiting = 0
+        if met_now:
+            compare()
+        return np.divmod(distinct(np.concatenate(near)), max(len(self.stream), 1))
+
+    def carried(self, docs: list[list[str]], exhaustive: bool = False) -> Iterator[tuple[int, int]]:
+        """(document, item) of every document that carries an item. exhaustive: from all runs of SEED_RUN equal units
+        instead of the windows that met, to measure what the embedding misses."""
         get, gap = self.vocabulary.get, np.full(self.unit.window, -1, np.int64)
         joined = np.concatenate([x for d in docs for x in (np.fromiter(map(get, d, repeat(-1)), np.int64, len(d)), gap)])
         begin = np.cumsum([0, *[len(d) + len(gap) for d in docs]])
-        met = self.met(joined, begin)
-        # a stretch is verified from its runs without an edit: their places, for the pairs that met
-        gram, owner = self.grams
-        own = grams_of(joined)
-        at = np.flatnonzero(np.isin(own, gram))
-        low, high = np.searchsorted(gram, own[at]), np.searchsorted(gram, own[at], side="right")
-        n = high - low
-        place, entry = np.repeat(at, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pair = np.searchsorted(begin, place, side="right") - 1 + owner[entry] * len(begin)
-        both = np.isin(pair, met)
-        order = np.lexsort((place[both], pair[both]))
-        pair, place = pair[both][order], place[both][order]
+        place, of = equal_runs(joined, self.stream) if exhaustive else self.hits(joined)
+        number = np.searchsorted(self.begin, of, side="right") - 1
+        pair = (np.searchsorted(begin, place, side="right") - 1) * len(self.owners) + number
+        order = np.lexsort((place, pair))
+        pair, place = pair[order], place[order]
         new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else []
         for a, b in zip(new, [*new[1:], len(pair)]):
-            i, d = divmod(int(pair[a]), len(begin))
-            passage = self.passages[i]
+            d, i = divmod(int(pair[a]), len(self.owners))
+            passage = self.passage(i)
             reach = len(passage) + len(passage) // 5 + self.unit.window
-            for lo, hi, some in regions(place[a:b], reach, int(begin[d]), int(begin[d + 1]) - len(gap)):
-                if longest_stretch(passage, joined[lo:hi], self.unit.least, some - lo) >= self.unit.least:
-                    yield d, i
+            for lo, hi in regions(place[a:b], reach, int(begin[d]), int(begin[d + 1]) - len(gap)):
+                if longest_stretch(passage, joined[lo:hi], self.unit.least) >= self.unit.least:
+                    for item in self.owners[i]:
+                        yield d, item
                     break
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def window_distance(x: np.ndarray, at: np.ndarray, y: np.ndarray, of: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Edits from the windows of y at ``of`` to what begins in x at ``at`` and ends where it fits best; more than ``most`` is most + 1."""
+    width = 2 * most + 1
+    far = np.int64(most + 1)
+    units = np.stack([x[np.minimum(at + k, len(x) - 1)] for k in range(size + most)])
+    row = np.stack([np.full(len(at), d - most if d >= most else far, np.int64) for d in range(width)])  # diagonal d: place in x minus place in y is d - most
+    for i in range(size):
+        unit, before = y[of + i], row
+        row = np.full_like(before, far)
+        for d in range(width):
+            j = i + d - most
+            if 0 <= j < len(units):
+                row[d] = before[d] + (units[j] != unit)
+            if d + 1 < width:
+                np.minimum(row[d], before[d + 1] + 1, out=row[d])
+            if d and j >= 0:
+                np.minimum(row[d], row[d - 1] + 1, out=row[d])
+        np.minimum(row, far, out=row)
+    return row.min(axis=0)
+
+
+def equal_runs(joined: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in joined, places in stream) of all runs of SEED_RUN equal units."""
+    own, other = grams_of(joined), grams_of(stream)
+    order = np.argsort(other, kind="stable")
+    at = np.flatnonzero(np.isin(own, other))
+    low, n = np.searchsorted(other[order], own[at]), np.searchsorted(other[order], own[at], side="right")
+    n -= low
+    return np.repeat(at, n), order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
 def grams_of(stream: np.ndarray) -> np.ndarray:
     """Hash of the SEED_RUN units from each place on."""
     n = max(len(stream) - SEED_RUN + 1, 0)
@@ -191,11 +240,10 @@ def grams_of(stream: np.ndarray) -> np.ndarray:
     return out
 
 
-def regions(places: np.ndarray, reach: int, begin: int, end: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def regions(places: np.ndarray, reach: int, begin: int, end: int) -> Iterator[tuple[int, int]]:
     """Stretches of a document around sorted places in it; places further apart than two reaches are apart."""
-    parts = np.split(places, np.flatnonzero(np.diff(places) > 2 * reach) + 1)
-    for p in parts:
-        yield max(begin, int(p[0]) - reach), min(end, int(p[-1]) + reach), p
+    for p in np.split(places, np.flatnonzero(np.diff(places) > 2 * reach) + 1):
+        yield max(begin, int(p[0]) - reach), min(end, int(p[-1]) + reach)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -230,18 +278,18 @@ def _reach(x: np.ndarray, y: np.ndarray, most: int) -> list[int]:
     return best
 
 
-def longest_stretch(passage: np.ndarray, part: np.ndarray, least: int, places: np.ndarray | None = None) -> int:
+def longest_stretch(passage: np.ndarray, part: np.ndarray, least: int) -> int:
     """Units of the longest stretch of the passage that ``part`` carries, 0 if shorter than ``least``.
 
     A stretch of 15 or more units with an edit per ten has SEED_RUN units without one between them, so
-    each is found from such a run. places: where runs of ``part`` may begin."""
+    each is found from such a run."""
     own: dict[int, list[int]] = defaultdict(list)
-    for i, g in enumerate(grams_of(passage).tolist()):
+    of_passage, grams = grams_of(passage), grams_of(part)
+    for i, g in enumerate(of_passage.tolist()):
         own[g].append(i)
-    grams = grams_of(part)
     longest = 0
-    for j in range(len(grams)) if places is None else places.tolist():
-        for i in own.get(int(grams[j]), ()):
+    for j in np.flatnonzero(np.isin(grams, of_passage)).tolist():
+        for i in own[int(grams[j])]:
             if i and j and passage[i - 1] == part[j - 1]:
                 continue
             length = _common(passage[i:], part[j:])
@@ -276,12 +324,12 @@ def build_index(items: Iterable[tuple[int, str | None]], opening: dict[int, int]
     for unit, some in streams.items():
         index = Index(unit)
         index.build(some, opening)
-        if index.passages:
+        if index.owners:
             out.append(index)
     return out
 
 
-def carried_items(index: list[Index], texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def carried_items(index: list[Index], texts: list[str | None], exhaustive: bool = False) -> Iterator[tuple[int, int]]:
     """(place in texts, item) for every passage that a text carries."""
     cleaned = [plain(t) if t else "" for t in texts]
     for one in index:
@@ -292,7 +340,7 @@ def carried_items(index: list[Index], texts: list[str | None]) -> Iterator[tuple
             at = range(len(cleaned))
             docs = [words(t) for t in cleaned]
         if docs:
-            for k, item in one.carried(docs):
+            for k, item in one.carried(docs, exhaustive):
                 yield at[k], item
 
 
@@ -317,14 +365,15 @@ def instruction_lengths(items: DataFrame, item_id: str, passage: str) -> DataFra
         state = cut(keyed.join(further, ["least", "key"], "left").withColumn("opening", F.coalesce("further", "opening")).select(*state.columns))
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", items_at_once: int = ITEMS_AT_ONCE, exhaustive: bool = False) -> DataFrame:
     """One row (doc_id, item_id) per document and item that it carries.
 
     Documents are read once per block of ``items_at_once`` items and aren't shuffled; a block's index, of
-    that bounded size, is broadcast. NULL and empty texts carry nothing; NULL or short passages (fewer
-    units than the rule needs, after a shared instruction is left out) are carried by nothing. All items
+    that bounded size, is broadcast, and of several blocks each is released when its rows are written. NULL and empty
+    texts carry nothing; NULL or short passages (fewer units than the rule needs, after a shared instruction is left
+    out) are carried by nothing; equal passages are compared once and found for all their items. All items
     are compared for shared instructions, whatever their block. Repeated doc_ids give a row each time;
-    item_ids must be unique and not NULL.
+    item_ids must be unique and not NULL. exhaustive: without the embedding, to measure it.
     """
     spark = documents.sparkSession
     items = items.filter(items[item_id].isNotNull())
@@ -340,10 +389,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
             for batch in batches:
                 for a in range(0, batch.num_rows, DOCS_AT_ONCE):
                     part = batch.slice(a, DOCS_AT_ONCE)
-                    pairs = list(carried_items(shared.value, part.column(1).to_pylist()))
+                    pairs = list(carried_items(shared.value, part.column(1).to_pylist(), exhaustive))
                     if pairs:
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([k for k, _ in pairs])), pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
 
         found = documents.select(doc_id, text).mapInArrow(run, schema)
+        if blocks > 1:
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out

@@ -45,7 +45,7 @@ def test_recall_against_brute_force_with_edits():
         ids = [index[0].vocabulary.get(w, -1) for w in words(plain(" ".join(ws)))]
         import numpy as np
 
-        if lk.longest_stretch(index[0].passages[seed % 40], np.array(ids), 15) >= 15:
+        if lk.longest_stretch(index[0].passage(seed % 40), np.array(ids), 15) >= 15:
             exhaustive += 1
             found += (0, seed % 40) in set(lk.carried_items(index, ["x y z " * 5 + " ".join(ws) + " q" * 9]))
     assert exhaustive >= 60 and found >= 0.9 * exhaustive
@@ -116,7 +116,7 @@ def test_recall_of_edited_spaceless_stretches():
             for at in r.sample(range(10, 20) if middle else range(1, n - 1), 3):
                 cs[at] = chr(r.randrange(0x7000, 0x7800))
             ids = np.array([index[0].vocabulary.get(c, -1) for c in cs])
-            if lk.longest_stretch(index[0].passages[k], ids, 30) >= 30:
+            if lk.longest_stretch(index[0].passage(k), ids, 30) >= 30:
                 exhaustive += 1
                 found += (0, k) in set(lk.carried_items(index, ["頭" * 40 + "".join(cs) + "尾" * 40]))
         assert exhaustive >= 150 and found >= 0.9 * exhaustive, (middle, found, exhaustive)
@@ -137,6 +137,47 @@ def test_tables(spark):
     assert lk.leaked_items(docs.limit(0), items).count() == 0 and lk.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_equal_passages_are_found_for_all_their_items(spark):
+    rule = passage(99, 20)
+    items = [(k, " ".join(rule + passage(k % 5))) for k in range(10)]
+    docs = spark.createDataFrame([(1, " ".join(rule)), (2, " ".join(passage(2)[:20]))], "doc_id long, text string")
+    rows = spark.createDataFrame(items, "item_id long, passage string")
+    for at_once in (100, 3, 1):
+        assert sorted(map(tuple, lk.leaked_items(docs, rows, items_at_once=at_once).collect())) == [(2, 2), (2, 7)]
+
+
+def test_window_distance_against_brute_force():
+    import numpy as np
+
+    def brute(x, y, most):
+        best = {}
+        for n in range(max(0, len(y) - most), len(y) + most + 1):
+            a, row = x[:n], list(range(len(y) + 1))
+            for i, u in enumerate(a, 1):
+                row, old = [i], row
+                for j, v in enumerate(y, 1):
+                    row.append(min(old[j - 1] + (u != v), old[j] + 1, row[-1] + 1))
+            best[n] = row[-1]
+        return min(min(best.values()), most + 1)
+
+    r = np.random.default_rng(5)
+    for most in (1, 3):
+        x, y = r.integers(0, 3, 400), r.integers(0, 3, 300)
+        at, of = r.integers(0, 370, 500), r.integers(0, 290, 500)
+        got = lk.window_distance(x, at, y, of, 10, most)
+        assert got.tolist() == [brute(x[a : a + 10 + most].tolist(), y[b : b + 10].tolist(), most) for a, b in zip(at, of)]
+
+
+def test_a_window_that_many_passages_share(monkeypatch):
+    """Slices of meetings change nothing."""
+    shared = passage(77, 18)
+    items = [(k, " ".join(passage(k)[:20] + shared)) for k in range(25)]
+    text = " ".join(shared * 8)
+    want = carried(text, items)
+    monkeypatch.setattr(lk, "HITS_AT_ONCE", 100)
+    assert carried(text, items) == want == set(range(25))
+
+
 def test_instructions_do_not_depend_on_blocks(spark):
     rule, more = passage(99, 20), passage(98, 12)
     items = [(k, " ".join(rule + (more if k > 5 else []) + passage(k))) for k in range(10)] + [(k, " ".join(passage(k))) for k in (20, 21)]

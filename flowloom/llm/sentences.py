@@ -5,14 +5,14 @@ displayed formulas, tables and embedded images hold no sentences. Within a block
 spaces, and quotations and brackets are paired, so that nothing inside a pair ends the sentence
 around it.
 
-Spaced scripts: every run of terminators is a node of a lattice whose possible readings (decimal,
-abbreviation, initial, ordinal, file or function name, ellipsis, end of a quotation, end of the
-sentence) are told apart by the token before it, the closing marks after it and how the next token begins.
-
-Spaceless scripts without marks (Thai): text beside a gap is read through a lattice of dictionary words
-(longest cheapest path, unknown stretches cost most); the gap's score adds up the closing particle
-before it and the opening word after it over a prior in favour of an end. A gap beside a digit or
-Latin letter never ends a sentence.
+Spaced scripts: every run of terminators is a node of a lattice. Each of its readings (end of the sentence, decimal or name,
+abbreviation, initial, ordinal, ellipsis, part of a quotation) has a cost by the token before it, the closing marks after it and how the
+next token begins; a sentence that a path cuts out has a cost too (no word in it, an unpaired mark of emphasis). The cheapest
+path gives the sentences, so a place that is unclear by itself is decided by what stands around it.
+
+Spaceless scripts (``lexicon``): text beside a gap is read through a lattice of dictionary words; the score of the gap adds up the
+closing particle before it, the opening word after it and a word that it would break over a prior for its kind. A
+space beside a digit or Latin letter never ends a sentence.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.lexicon import ELLIPSIS, QUOTATION, REACH, SPACE, VOCABULARY, Lexicon
+from flowloom.llm.plain import SPACELESS_CHAR
+
 # Abbreviations without their last stop, in lower case.
 #: A name or a figure follows; the stop is never an end.
 NEVER = frozenset(
@@ -45,10 +48,12 @@ MAY_END = frozenset("etc al suiv usw usf ff a.m p.m jr inc ltd corp co bros др
 LETTERS_MAY_END = frozenset("дгп")
 #: Words before a German ordinal.
 BEFORE_ORDINAL = frozenset("am im der die das dem den des vom zum zur beim ab bis seit jeder jede jedes jedem jeden ein eine einem einer und".split())
-#: Thai words: closing particles, words that open a sentence, and frequent others.
-THAI_CLOSING = ("ครับ", "ค่ะ", "คะ", "นะ", "จ้ะ", "จ๊ะ", "สิ", "เถอะ", "แล้ว", "ด้วย", "เลย", "หรือไม่", "ไหม", "มั้ย", "นี้", "นั้น")
-THAI_OPENING = ("แต่", "และ", "หรือ", "เพราะ", "ดังนั้น", "อย่างไรก็ตาม", "นอกจากนี้", "ทำไม", "เมื่อ", "ถ้า", "หาก", "เรา", "ผม", "ฉัน", "คุณ", "เขา", "เธอ", "มัน", "พวกเขา", "ขณะที่", "จากนั้น", "ต่อมา", "สุดท้าย", "ก่อนอื่น", "เปิด")
-THAI_OTHER = ("ใน", "ที่", "ของ", "เป็น", "มี", "ไม่", "ให้", "ได้", "กับ", "จาก", "ไป", "มา", "ว่า", "จะ", "ก็", "ซึ่ง", "โดย", "การ", "ความ", "คน", "วัน", "ปี", "ข้อมูล", "ตาราง", "ค่า", "เฉลี่ย", "กราฟ", "แถว", "คอลัมน์", "แบบ", "จำลอง", "รอบ", "ไฟล์", "ก่อน", "หลัง", "วาด", "พบ", "ซ่อน", "แทน", "อธิบาย", "ขึ้น", "ช้า", "กว่า", "เพิ่ม", "ชุด", "ฝึก", "เส้น", "แรก", "จึง")
+#: Costs of evidence: settles a place, speaks for a reading, tips a balance.
+SURE, LIKELY, SLIGHT = 8.0, 3.0, 1.0
+#: Costs of sentences: without a word of two letters, with an unpaired mark of emphasis.
+WORDLESS, UNPAIRED = 2.0, 2.0
+#: Paths dearer than the best by more than this are given up; it is less than what is sure.
+GIVEN_UP = 7.5
 
 _FENCE = re.compile(r"[ \t]*(?:>[ \t]?)*[ \t]*(`{3,}|~{3,})")
 _HEADING = re.compile(r"(#{1,6})(?:[ \t]+|$)")
@@ -76,6 +81,7 @@ _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "》": "《"
 _BRACKETS = "([{（【"
 _STRONG = "。！？｡"
 _THAI = re.compile("[฀-๿]")
+_TWO_LETTERS = re.compile(r"[^\W\d_]{2}|[\u0e00-\u0e7f\u3040-\u9fff]")
 _GAP = re.compile(r"\s+")
 
 
@@ -228,96 +234,105 @@ def code_names(text: str) -> frozenset[str]:
     return frozenset(x for pair in _NAME.findall(text) for x in pair if x)
 
 
-def _period_ends(s: str, start: int, i: int, k: int, names: Callable[[], frozenset[str]]) -> bool:
-    """Whether a single full stop at i, with closing marks up to k, ends the sentence from ``start`` on."""
+def _full_stop(s: str, start: int, i: int, k: int, names: Callable[[], frozenset[str]]) -> dict[str, float]:
+    """Readings of a single full stop at i, with closing marks up to k, in the sentence from ``start`` on."""
     before = s[i - 1] if i else " "
     if before.isspace():
-        return False
-    kind, at, marks = _kind(s, k)
+        return {"mark": 0.0}
+    kind, at, _ = _kind(s, k)
     if kind == "end":
-        return True
+        return {"end": 0.0}
     token = _TOKEN.search(s, max(start, i - 40), i).group()
     low = token.lower()
     if not s[k].isspace():
         if kind == "caseless":
-            return not before.isascii() and not before.isdigit() and low not in NEVER and len(low) > 1
-        if kind != "upper" or _PATH.search(token) or (len(token) == 1 and before.isupper()):
-            return False
+            ends = not before.isascii() and not before.isdigit() and low not in NEVER and len(low) > 1
+            return {"end": 0.0, "name": LIKELY} if ends else {"name": 0.0, "end": SURE}
+        if kind != "upper" or _PATH.search(token):
+            return {"decimal": 0.0, "end": SURE}
+        if len(token) == 1 and before.isupper():
+            return {"initial": 0.0, "end": SURE}
         if at + 1 < len(s) and s[at + 1] in ".)":
-            return before.islower() and len(token) > 2
+            return {"end": 0.0, "initial": LIKELY} if before.islower() and len(token) > 2 else {"initial": 0.0, "end": LIKELY}
         if low.isascii() and low.isalpha() and not _VOWEL.search(low):  # a short name as in code
-            return False
-        return low not in NEVER and (before.islower() or before.isdigit() or not before.isalnum())
+            return {"name": 0.0, "end": LIKELY}
+        ends = low not in NEVER and (before.islower() or before.isdigit() or not before.isalnum())
+        return {"end": 0.0, "name": LIKELY} if ends else {"abbreviation": 0.0, "end": SURE}
     if len(token) == 1 and token.isalpha():
-        return low in LETTERS_MAY_END and before.islower() and kind in ("upper", "caseless", "code")
+        ends = low in LETTERS_MAY_END and before.islower() and kind in ("upper", "caseless", "code")
+        return {"end": 0.0, "initial": SLIGHT} if ends else {"initial": 0.0, "end": LIKELY}
     if low in NEVER:
-        return False
-    if low == "no":
-        return kind in ("upper", "caseless", "code")
-    if low in MAY_END:
-        return kind in ("upper", "caseless", "code") or kind == "lower" and _LOWER.match(s, at).group() in names()
+        return {"abbreviation": 0.0, "end": SURE}
+    if low == "no" or low in MAY_END:
+        ends = kind in ("upper", "caseless", "code") or low != "no" and kind == "lower" and _LOWER.match(s, at).group() in names()
+        return {"end": 0.0, "abbreviation": SLIGHT} if ends else {"abbreviation": 0.0, "end": SURE}
     if len(low) < 8 and re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", low):
-        return False
+        return {"abbreviation": 0.0, "end": LIKELY}
     if kind == "other":
-        return False
+        return {"mark": 0.0, "end": SURE}
     if kind == "lower":  # a whole word before it, or a closing mark
-        return (len(token) > 2 and before.isalpha() or before in "()[]{}\"'”’»x`%*") and not token.isdigit()
+        whole = (len(token) > 2 and before.isalpha() or before in "()[]{}\"'”’»x`%*") and not token.isdigit()
+        return {"end": 0.0, "abbreviation": LIKELY} if whole else {"abbreviation": 0.0, "end": LIKELY}
     if token.isdigit() and len(token) < 3 and kind == "upper":
         m = _WORD_BEFORE.search(s, max(0, i - 40), i)
-        return not (m and m.group(1).lower() in BEFORE_ORDINAL)
-    return True
+        return {"ordinal": 0.0, "end": LIKELY} if m and m.group(1).lower() in BEFORE_ORDINAL else {"end": 0.0, "ordinal": LIKELY}
+    return {"end": 0.0, "mark": SURE}
 
 
-def _run_ends(s: str, start: int, i: int, j: int, k: int, names: Callable[[], frozenset[str]]) -> bool:
-    """Whether the run of terminators s[i:j], with closing marks up to k, ends the sentence from ``start`` on."""
+def _run(s: str, start: int, i: int, j: int, k: int, names: Callable[[], frozenset[str]], lexicon: Callable[[], Lexicon]) -> dict[str, float]:
+    """Readings of the run of terminators s[i:j], with closing marks up to k, in the sentence from ``start`` on."""
     run = s[i:j]
     if run == ".":
-        return _period_ends(s, start, i, k, names)
+        return _full_stop(s, start, i, k, names)
     kind, at, _ = _kind(s, k)
     if kind == "end":
-        return True
+        return {"end": 0.0}
     spaced = s[k].isspace()
     if run == "．":
-        return not (i and s[i - 1].isdigit() and kind == "digit" and not spaced)
+        return {"decimal": 0.0, "end": SURE} if i and s[i - 1].isdigit() and kind == "digit" and not spaced else {"end": 0.0, "mark": SURE}
     if any(c in _STRONG for c in run) or "।" in run or "॥" in run:
-        return kind != "other"
+        return {"end": 0.0, "mark": SURE} if kind != "other" else {"mark": 0.0, "end": SURE}
     if not run.strip(".…‥"):
-        return spaced and kind == "upper"
-    if not spaced:
-        return kind in ("upper", "caseless")
-    return kind != "other"
-
-
-def thai_words(text: str) -> list[str]:
-    """The cheapest path through the lattice of dictionary words; unknown characters stand alone."""
-    n = len(text)
-    cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
-    for i in range(n):
-        if cost[i] + 3 < cost[i + 1]:
-            cost[i + 1], back[i + 1] = cost[i] + 3, i
-        for size in _THAI_SIZES:
-            if i + size <= n and text[i : i + size] in _THAI_WORDS and cost[i] + 1 < cost[i + size]:
-                cost[i + size], back[i + size] = cost[i] + 1, i
-    out = []
-    while n:
-        out.append(text[back[n] : n])
-        n = back[n]
-    return out[::-1]
-
-
-_THAI_WORDS = frozenset(THAI_CLOSING + THAI_OPENING + THAI_OTHER)
-_THAI_SIZES = sorted({len(w) for w in _THAI_WORDS})
-
-
-def gap_score(before: str, after: str) -> float:
-    """How likely a gap between spaceless texts ends a sentence; above 0 it does."""
-    if before[-1:] == "ๆ" or after[:1] in ("ๆ", "ฯ"):
-        return -1.0
-    last, first = thai_words(before[-12:]), thai_words(after[:14])
-    return 1.0 + (0.5 if last and last[-1] in THAI_CLOSING else 0.0) + (0.5 if first and first[0] in THAI_OPENING else 0.0)
-
-
-def _spaceless_gaps(s: str) -> Iterator[tuple[int, int]]:
+        if spaced and kind == "upper":
+            return {"end": 0.0, "ellipsis": LIKELY}
+        if kind == "caseless" and i and SPACELESS_CHAR.match(s, i - 1) and SPACELESS_CHAR.match(s, at):
+            score = lexicon().gap_score(s[max(start, i - REACH) : i], s[at : at + REACH], ELLIPSIS)
+            return {"end": 0.0, "ellipsis": score * LIKELY} if score > 0 else {"ellipsis": 0.0, "end": SURE}
+        return {"ellipsis": 0.0, "end": SURE}
+    if spaced and kind != "other" or kind in ("upper", "caseless"):
+        return {"end": 0.0, "mark": SURE}
+    return {"mark": 0.0, "end": SURE}
+
+
+def _quoted(s: str, start: int, pair: tuple[int, int], k: int, lexicon: Callable[[], Lexicon]) -> dict[str, float]:
+    """Readings of the end of a quotation or bracket that closes right after a terminator, with closing marks up to k."""
+    a, b = pair
+    kind, at, _ = _kind(s, k)
+    opening = not s[start:a].strip(" *_~ \"'“„«¿¡")
+    if kind == "end":
+        return {"end": 0.0}
+    if kind in ("lower", "other", "digit"):
+        ends = False
+    elif s[a] in _BRACKETS:
+        ends = opening
+    elif kind == "caseless":
+        ends = not opening and s[start:a].rstrip()[-1:] in (":", "：")
+        if not ends and SPACELESS_CHAR.match(s, at):
+            ends = lexicon().gap_score(s[max(start, b - REACH) : b].rstrip("。！？!?｡"), s[at : at + REACH], QUOTATION) > 0
+    else:
+        ends = kind == "upper" or k < len(s) and s[k].isspace()
+    return {"end": 0.0, "quotation": SURE} if ends else {"quotation": 0.0, "end": SURE}
+
+
+def _sentence_cost(s: str, a: int, b: int, marked: bool) -> float:
+    """What a sentence s[a:b] costs a path."""
+    cost = 0.0 if _TWO_LETTERS.search(s, a, b) else WORDLESS
+    if marked and s.count("**", a, b) % 2:
+        cost += UNPAIRED
+    return cost
+
+
+def _spaceless_gaps(s: str, lexicon: Callable[[], Lexicon], breaks: frozenset[int]) -> Iterator[tuple[int, int]]:
     for m in _GAP.finditer(s):
         a, b = m.span()
         if not a or b >= len(s):
@@ -325,7 +340,7 @@ def _spaceless_gaps(s: str) -> Iterator[tuple[int, int]]:
         x, y = s[a - 1], s[b]
         if (x.isascii() and x.isalnum()) or (y.isascii() and y.isalnum()) or x.isdigit() or y.isdigit() or x.isalpha() and "LATIN" in _script(x) or y.isalpha() and "LATIN" in _script(y):
             continue
-        if (_THAI.match(x) or _THAI.match(y)) and gap_score(s[max(0, a - 12) : a], s[b : b + 14]) > 0:
+        if (_THAI.match(x) or _THAI.match(y)) and lexicon().gap_score(s[max(0, a - REACH) : a], s[b : b + REACH], SPACE, a in breaks) > 0:
             yield a, b
 
 
@@ -335,56 +350,64 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "")
 
 
-def split_block(s: str, names: Callable[[], frozenset[str]] = frozenset) -> list[tuple[int, int]]:
-    """Sentences of a block whose line breaks and marks are spaces already."""
+def split_block(s: str, names: Callable[[], frozenset[str]] = frozenset, lexicon: Callable[[], Lexicon] = cache(Lexicon), breaks: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
+    """Sentences of a block whose line breaks and marks are spaces already; breaks: where its lines but the last ended."""
     if "`" in s or "$" in s or "](" in s or "://" in s:
         s = _LITERAL.sub(lambda m: m.group()[0] + "x" * (len(m.group()) - 2) + m.group()[-1], s)
     pairs = _pairs(s)
     opens = [a for a, _ in pairs]
-    ends: list[int] = []
-    sentence = 0
+    marked = "**" in s
+    # paths: cost so far, start of the open sentence, its ends as a linked list
+    paths: list[tuple[float, int, tuple | None]] = [(0.0, 0, None)]
 
     for m in _TERMINATOR.finditer(s):
         i, j = m.span()
-        if i < sentence:
-            continue
         n = bisect_right(opens, i) - 1
         around = pairs[n] if n >= 0 and pairs[n][1] > i else None
-        if around is None:
-            k = _CLOSERS.match(s, j).end()
-            if k < len(s) and s[k] in "*_~":
-                mark = re.match(r"[*_~]+", s[k:]).group()
-                if s.count(mark, sentence, k) % 2:
-                    k = _CLOSERS.match(s, k + len(mark)).end()
-            if n + 1 < len(opens) and opens[n + 1] < k:  # the mark opens the next quotation
-                k = max(j, opens[n + 1])
-            ended = _run_ends(s, sentence, i, j, k, names)
-        else:
-            a, b = around
-            k = b + 1
-            if s[j:b].strip("\"'”’»›)]}）】》」』*_~  "):
+        if around is not None and s[j : around[1]].strip("\"'”’»›)]}）】》」』*_~  "):
+            continue
+        on: list[tuple[float, int, tuple | None]] = []
+        ended: dict[int, tuple[float, int, tuple | None]] = {}
+        for cost, start, ends in paths:
+            if i < start:
+                on.append((cost, start, ends))
                 continue
-            while k < len(s) and (c := _CLOSERS.match(s, k)).end() > k and not (n + 1 < len(opens) and opens[n + 1] < c.end()):
-                k = c.end()
-            if k < len(s) and s[k] in "*_~" and s.count(s[k], sentence, k) % 2:
-                k = re.match(r"[*_~]+", s[k:]).end() + k
-            kind, at, _ = _kind(s, k)
-            opening = not s[sentence:a].strip(" *_~ \"'“„«¿¡")
-            if kind == "end":
-                ended = True
-            elif kind in ("lower", "other", "digit"):
-                ended = False
-            elif s[a] in _BRACKETS:
-                ended = opening
-            elif kind == "caseless":
-                ended = not opening and s[sentence:a].rstrip()[-1:] in (":", "：")
+            if around is None:
+                k = _CLOSERS.match(s, j).end()
+                if k < len(s) and s[k] in "*_~":
+                    mark = re.match(r"[*_~]+", s[k:]).group()
+                    if s.count(mark, start, k) % 2:
+                        k = _CLOSERS.match(s, k + len(mark)).end()
+                if n + 1 < len(opens) and opens[n + 1] < k:  # the mark opens the next quotation
+                    k = max(j, opens[n + 1])
+                readings = _run(s, start, i, j, k, names, lexicon)
             else:
-                ended = kind == "upper" or k < len(s) and s[k].isspace()
-        if ended:
-            ends.append(k)
-            sentence = k
+                k = around[1] + 1
+                while k < len(s) and (c := _CLOSERS.match(s, k)).end() > k and not (n + 1 < len(opens) and opens[n + 1] < c.end()):
+                    k = c.end()
+                if k < len(s) and s[k] in "*_~" and s.count(s[k], start, k) % 2:
+                    k = re.match(r"[*_~]+", s[k:]).end() + k
+                readings = _quoted(s, start, around, k, lexicon)
+            for reading, more in readings.items():
+                if reading != "end":
+                    on.append((cost + more, start, ends))
+                else:
+                    total = cost + more + _sentence_cost(s, start, k, marked)
+                    if k not in ended or total < ended[k][0]:
+                        ended[k] = (total, k, (k, ends))
+        paths = [*ended.values(), *on]
+        if len(paths) > 1:
+            best = min(p[0] for p in paths) + GIVEN_UP
+            paths = [p for p in paths if p[0] <= best]
+    tail = lambda p: _sentence_cost(s, p[1], len(s), marked) if s[p[1] :].strip() else 0.0
+    link = min(paths, key=lambda p: p[0] + tail(p))[2] if len(paths) > 1 else paths[0][2]
+    ends = []
+    while link:
+        ends.append(link[0])
+        link = link[1]
+    ends.reverse()
     if _THAI.search(s):
-        for a, b in _spaceless_gaps(s):
+        for a, b in _spaceless_gaps(s, lexicon, breaks):
             n = bisect_right(opens, a) - 1
             if n < 0 or pairs[n][1] < a:
                 ends.append(a)
@@ -403,9 +426,9 @@ def split_block(s: str, names: Callable[[], frozenset[str]] = frozenset) -> list
     return out
 
 
-def sentence_spans(cell: str | None, names: Callable[[], frozenset[str]] = frozenset) -> list[tuple[int, int]]:
+def sentence_spans(cell: str | None, names: Callable[[], frozenset[str]] = frozenset, lexicon: Callable[[], Lexicon] = cache(Lexicon)) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a markdown cell, in code points of the cell. names: gives the names
-    that the document's code uses, asked for only where they decide."""
+    that the document's code uses, lexicon its words of spaceless scripts; both are asked for only where they decide."""
     if not cell:
         return []
     if "\r" in cell:
@@ -422,6 +445,7 @@ def sentence_spans(cell: str | None, names: Callable[[], frozenset[str]] = froze
                 lead = len(s) - len(s.lstrip())
                 out.append((first + lead, first + lead + len(text)))
             continue
+        breaks = frozenset(b - first for _, b in parts[:-1])
         if len(parts) == 1:
             s = cell[first:last]
         else:
@@ -429,19 +453,27 @@ def sentence_spans(cell: str | None, names: Callable[[], frozenset[str]] = froze
             for a, b in parts:
                 s += " " * (a - at) + cell[a:b]
                 at = b
-        out += [(first + a, first + b) for a, b in split_block(s, names)]
+        out += [(first + a, first + b) for a, b in split_block(s, names, lexicon, breaks)]
     return out
 
 
-def document_sentences(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cells: str = "cells", kind: str = "markdown") -> DataFrame:
+def thai_words(text: Column) -> Column:
+    """The different words of a text's Thai parts by the JVM's Thai dictionary; NULL for texts without any."""
+    parts = F.regexp_replace(text, "[^\u0e00-\u0e7f]+", " ")
+    return F.when(text.rlike("[\u0e00-\u0e7f]{2}"), F.array_distinct(F.flatten(F.sentences(parts, F.lit("th"), F.lit("TH")))))
+
+
+def document_sentences(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cells: str = "cells", kind: str = "markdown", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence in the document's cells of the kind.
 
     NULL and empty texts and NULL cell lists have no sentences; a cell that is NULL or has NULL places
     is left out; places beyond the text are cut to it. Nothing is shuffled; a document is split in one
     piece, so memory follows the largest document. Repeated doc_ids give their sentences each time.
+    vocabulary: a rank file that all executors can read, for words of spaceless scripts; without it particles and, in
+    Thai, the JVM's dictionary are what is left.
     """
     of_kind = F.filter(documents[cells], lambda c: c["kind"].eqNullSafe(kind) & c["start_char"].isNotNull() & c["end_char"].isNotNull())
-    src = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.transform(of_kind, lambda c: c["start_char"]).alias("a"), F.transform(of_kind, lambda c: c["end_char"]).alias("b")).filter((F.col("text") != "") & (F.size("a") > 0))
+    src = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.transform(of_kind, lambda c: c["start_char"]).alias("a"), F.transform(of_kind, lambda c: c["end_char"]).alias("b"), thai_words(F.col(text)).alias("words")).filter((F.col("text") != "") & (F.size("a") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,11 +482,12 @@ def document_sentences(documents: DataFrame, *, doc_id: str = "doc_id", text: st
                 row: list[int] = []
                 start: list[int] = []
                 end: list[int] = []
-                for n, (whole, starts, stops) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))):
+                for n, (whole, starts, stops, own) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3, 4)))):
                     names = cache(lambda whole=whole: code_names(whole))
+                    lexicon = cache(lambda own=own: Lexicon(own or (), vocabulary))
                     for a, b in zip(starts, stops):
                         a = max(a, 0)
-                        for x, y in sentence_spans(whole[a : max(b, a)], names):
+                        for x, y in sentence_spans(whole[a : max(b, a)], names, lexicon):
                             row.append(n)
                             start.append(a + x)
                             end.append(a + y)

@@ -1,7 +1,8 @@
 import pytest
 from conftest import DATA
 
-from flowloom.llm.sentences import document_sentences, sentence_spans, thai_words
+from flowloom.llm.lexicon import SPACE, Lexicon, vocabulary_words
+from flowloom.llm.sentences import document_sentences, sentence_spans
 
 
 def split(cell, names=()):
@@ -57,7 +58,33 @@ def test_edges():
     assert split("") == [] and sentence_spans(None) == [] and split("...") == [] and split("\n\n---\n\n***") == []
     assert split("a") == ["a"] and split("(unclosed text. Next one.") == ["(unclosed text.", "Next one."]
     assert len(split("Word word. " * 20_000)) == 20_000
-    assert "".join(thai_words("ค่าเฉลี่ยxมี")) == "ค่าเฉลี่ยxมี"
+    assert "".join(Lexicon().read("ค่าเฉลี่ยxมี")[0]) == "ค่าเฉลี่ยxมี" and Lexicon().read("") == ([], 0.0)
+
+
+def test_lattice_of_words():
+    own = ["ตาราง", "ข้อมูล", "ช้า", "กว่า", "กราฟ"]
+    assert Lexicon(own).read("ตารางข้อมูลช้ากว่ากราฟ")[0] == own
+    assert Lexicon().read("ありがとうございますしかし")[0][-1] == "しかし"
+    assert Lexicon(path="/nowhere").cost and len(vocabulary_words("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")) > 500
+
+
+def test_dictionary_decides():
+    """Words make gaps ends or not: a word that a line break cuts, an ellipsis between a closing and an opening word."""
+    broken = "กราฟเส้นแสดงข้อ\nมูลทั้งหมด"
+    spans = lambda cell, *own: [cell[a:b] for a, b in sentence_spans(cell, frozenset, lambda: Lexicon(own))]
+    assert spans(broken, "ข้อมูล", "ทั้งหมด", "กราฟ", "เส้น", "แสดง") == [broken]
+    assert len(spans(broken)) == 2
+    assert len(spans("กราฟเส้นแสดงข้อมูล\nทั้งหมดนี้", "ข้อมูล", "ทั้งหมด", "กราฟ", "เส้น", "แสดง")) == 2
+    assert split("足りませんね…しかし表は残ります。") == ["足りませんね…", "しかし表は残ります。"]
+    assert split("もしかすると…表は残ります。") == ["もしかすると…表は残ります。"]
+    assert split("「本当ですか。」しかし表は残ります。") == ["「本当ですか。」", "しかし表は残ります。"]
+    assert Lexicon().gap_score("ช้ามาก", "ๆ", SPACE) < 0 < Lexicon().gap_score("ช้าครับ", "แต่ดี", SPACE)
+
+
+def test_path_decides():
+    """The same unclear mark is an end or not by the sentences that it would cut out."""
+    assert split("Use trees, nets, etc. Boosting too in all runs. Next.") == ["Use trees, nets, etc.", "Boosting too in all runs.", "Next."]
+    assert split("**Use trees, nets, etc. Boosting too** in all runs. Next.") == ["**Use trees, nets, etc. Boosting too** in all runs.", "Next."]
 
 
 def test_tables(spark):
@@ -69,6 +96,15 @@ def test_tables(spark):
     got = sorted(map(tuple, document_sentences(df).collect()))
     assert got == [(1, 0, 2), (1, 9, 15), (1, 16, 20), (5, 0, 3)]
     assert document_sentences(df.limit(0)).count() == 0
+    assert sorted(map(tuple, document_sentences(df, vocabulary="/nowhere").collect())) == got
+
+
+def test_thai_dictionary_of_a_document(spark):
+    """A word known from elsewhere in the document isn't cut by a line break."""
+    text = "กราฟเส้นแสดงข้อ\nมูลทั้งหมด\n\nข้อมูลแถวแรก"
+    cell = "array<struct<kind:string,execution_count:int,mime:string,start_char:int,end_char:int>>"
+    df = spark.createDataFrame([(1, text, [("markdown", None, None, 0, len(text))])], f"doc_id long, text string, cells {cell}")
+    assert [text[r.start_char : r.end_char] for r in document_sentences(df).orderBy("start_char").collect()] == text.split("\n\n")
 
 
 def test_registered(spark):

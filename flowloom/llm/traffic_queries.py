@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from flowloom.common import cut, load, present, utc_day
 from flowloom.llm.frequent import frequent_items, vote_sketch
-from flowloom.llm.quantiles import build_sketches, exact_in_brackets, merge_sketches, sketch_percentiles
+from flowloom.llm.quantiles import build_sketches, exact_in_brackets, merge_sketches, part_sketches, sketch_percentiles
 
 RATIO = 20
 MIN_ROWS = 30
 SHARE = 1 / 200
+PERCENTS = [50, 75, 90, 95, 99]
 
 
 def host(authority: Column) -> Column:
@@ -44,9 +46,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of single days, added up, then read at five percentiles."""
     rows = _durations(spark, sf_dir, utc_day(F.unix_micros("pushed_at")).alias("utc_day"))
-    daily = build_sketches(rows, ["authority", "protocol", "utc_day"], "duration_micros")
+    daily = part_sketches(rows, ["authority", "protocol", "utc_day"], "duration_micros")
     keys = ["authority", "protocol"]
-    return sketch_percentiles(merge_sketches(daily, keys), keys, [50, 75, 90, 95, 99])
+    return sketch_percentiles(merge_sketches(daily, keys), keys, PERCENTS)
+
+
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per percentile: groups, and those whose exact percentile lies between value_low and value_high, by an order of all values."""
+    keys, rows = ["authority", "protocol"], _durations(spark, sf_dir)
+    told = p1_percentiles(spark, sf_dir).select(*keys, "percent", F.col("n").alias("n_told"), "value_low", "value_high")
+    order = Window.partitionBy(*keys).orderBy("duration_micros")
+    ranked = rows.groupBy(*keys, "duration_micros").agg(F.count("*").alias("c")).select(*keys, "duration_micros", F.sum("c").over(order).alias("cum"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    exact = ranked.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("cum") >= F.ceil(F.col("n") * q / F.lit(100)), F.col("duration_micros"))).alias(f"p_{q}") for q in PERCENTS])
+    each = exact.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(q).alias("percent"), F.col(f"p_{q}").alias("p")) for q in PERCENTS])).alias("x")).select(*keys, "n", "x.*")
+    held = (F.col("n_told") == F.col("n")) & F.col("p").between(F.col("value_low"), F.col("value_high"))
+    return each.join(told, [*keys, "percent"], "full").groupBy("percent").agg(F.count("*").alias("n_groups"), F.count_if(held).alias("n_held"))
 
 
 FIELDS = ["authority", "ja4", "user_agent"]
@@ -60,6 +74,19 @@ def p2_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_items(vote_sketch(_values(spark, sf_dir), FIELDS), FIELDS, SHARE)
 
 
+def p2_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that make up the share, by exact counts, with whether the sketch names them and its bounds hold them."""
+    rows_of = _values(spark, sf_dir)
+    told = frequent_items(vote_sketch(rows_of, FIELDS), FIELDS, SHARE)
+    each = rows_of.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("item_value")) for f in FIELDS])).alias("x")).select("x.*").filter(present(F.col("item_value")))
+    counts = each.groupBy("field_name", "item_value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("field_name").agg(F.sum("n").alias("n_all"))
+    exact = counts.join(F.broadcast(totals), "field_name")
+    both = exact.join(told, ["field_name", "item_value"], "left")
+    held = F.coalesce(F.col("n").between(F.col("n_low"), F.col("n_high")) & (F.col("n_rows") == F.col("n_all")), F.lit(False))
+    return both.filter((F.col("n") * 200 >= F.col("n_all")) | F.col("n_low").isNotNull()).groupBy("field_name").agg(F.count_if(F.col("n") * 200 >= F.col("n_all")).alias("n_frequent"), F.count_if((F.col("n") * 200 >= F.col("n_all")) & held).alias("n_held"), F.count_if(F.col("n_low").isNotNull() & ~held).alias("n_wrong"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _values(spark, sf_dir)
     guess = frequent_items(vote_sketch(rows, FIELDS), FIELDS, SHARE)
@@ -69,7 +96,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.filter(F.col("c") * 200 >= F.col("n_rows")).select("field_name", "item_value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p2_found, p2_frequent)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p1_bounds, p2_found, p2_frequent, p2_bounds)}
 
 _HOST = r"regexp_replace(regexp_replace(lower(authority), ':(80|443)$', ''), '\.$', '')"
 
@@ -83,4 +110,13 @@ HAVING max(CASE WHEN rn = (n * 99 + 99) // 100 THEN d END) >= 20 * max(CASE WHEN
 WITH v AS (SELECT 'authority' AS field_name, {_HOST} AS item_value FROM flows UNION ALL SELECT 'ja4', trim(ja4) FROM flows UNION ALL SELECT 'user_agent', trim(user_agent) FROM flows),
 c AS (SELECT field_name, item_value, count(*) AS c FROM v WHERE item_value <> '' GROUP BY ALL)
 SELECT field_name, item_value FROM c QUALIFY c * 200 >= sum(c) OVER (PARTITION BY field_name)""",
+    "p1_bounds": f"""
+WITH g AS (SELECT {_HOST} AS authority, protocol FROM flows WHERE duration_micros > 0),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT authority, protocol FROM g WHERE authority <> '' AND protocol <> ''))
+SELECT q.percent, n AS n_groups, n AS n_held FROM n, (VALUES (50), (75), (90), (95), (99)) AS q(percent)""",
+    "p2_bounds": f"""
+WITH v AS (SELECT 'authority' AS field_name, {_HOST} AS item_value FROM flows UNION ALL SELECT 'ja4', trim(ja4) FROM flows UNION ALL SELECT 'user_agent', trim(user_agent) FROM flows),
+c AS (SELECT field_name, item_value, count(*) AS c FROM v WHERE item_value <> '' GROUP BY ALL),
+f AS (SELECT *, c * 200 >= sum(c) OVER (PARTITION BY field_name) AS often FROM c)
+SELECT field_name, count(*) FILTER (WHERE often) AS n_frequent, count(*) FILTER (WHERE often) AS n_held, 0 AS n_wrong FROM f GROUP BY field_name""",
 }

@@ -91,3 +91,30 @@ def test_exact_check_tells_a_bracket_that_misses(spark):
     assert (r.p_50, r.p_99) == (50, 99)
     r = q.exact_in_brackets(df, ["k"], "v", b.select("k", "n", "low_50", "high_50", F.lit(60).cast("long").alias("low_99"), F.lit(70).cast("long").alias("high_99")), [50, 99]).first()
     assert r.p_50 == 50 and r.p_99 is None
+
+
+def test_codes_turn_into_cells(spark, monkeypatch):
+    """A group of SPARSE codes is exact, one of more is a sketch; parts in any number and order give the same."""
+    rows = [("few", 1000 + k % q.SPARSE) for k in range(3000)] + [("many", 1000 + k % (q.SPARSE + 1)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r.k: r for r in q.build_sketches(df.repartition(7), ["k"], "v").collect()}
+    assert min(got["few"].cells) >= q.CELLS and len(got["few"].cells) == q.SPARSE and max(got["many"].cells) < q.CELLS
+    monkeypatch.setattr(q, "ROWS_AT_ONCE", 100)
+    monkeypatch.setattr(q, "HELD_CELLS", 1000)
+    monkeypatch.setattr(q, "FAN_IN", 2)
+    again = {r.k: r for r in q.build_sketches(df.repartition(5), ["k"], "v").collect()}
+    assert got == again
+    for r in q.sketch_percentiles(q.build_sketches(df, ["k"], "v"), ["k"], [50, 99]).collect():
+        exact = sorted(v for k, v in rows if k == r.k)[-(-r.n * r.percent // 100) - 1]
+        assert r.value_low <= exact <= r.value_high and (r.rank_error == 0 or r.k == "many")
+
+
+def test_exact_percentiles_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", int(v)) for v in rng.lognormal(12, 4, 4000)] + [("b", int(v)) for v in rng.integers(0, 50, 999)] + [(None, 4)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    whole = spark.createDataFrame([("a", 4000), ("b", 999)], "k string, n long").select("k", "n", *[F.lit(v).cast("long").alias(f"{s}_{p}") for p in (50, 99) for s, v in (("low", -(2**63)), ("high", 2**63 - 1))])
+    got = {r.k: (r.p_50, r.p_99) for r in q.exact_in_brackets(df, ["k"], "v", whole, [50, 99]).collect()}
+    for k in "ab":
+        values = sorted(v for x, v in rows if x == k)
+        assert got[k] == tuple(values[-(-len(values) * p // 100) - 1] for p in (50, 99))

@@ -7,7 +7,7 @@ from flowloom.llm.quantiles import sketch_percentiles
 from flowloom.llm.queries import QUERIES, SQL
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_bounds", "p2_found", "p2_bounds"])
 def test_query_agrees_with_sql(spark, agree, name):
     agree(QUERIES[name](spark, DATA), SQL[name])
 

@@ -1,42 +1,54 @@
 """Parent-child links to full hierarchies, by bottom-up leaf peeling.
 
-Each round takes off the nodes without remaining children; they send their subtree size to their
-parent, where messages are added up (combined on the map side, so fan-out is no limit). What can
+Each round takes off the nodes without remaining children (a layer); they send their subtree size and the rows of their
+descendants to their parent, where sizes are added up (combined on the map side, so fan-out is no limit). What can
 never be peeled is exactly the set of nodes on a cycle, since a node has one parent. Then the
-layers are put back in reverse order, each node taking path, depth and root from its parent.
+layers are put back in reverse order, each node taking path, depth and root from its parent; of what is placed only nodes
+with children still to be placed are read again.
 
 While more nodes remain than ``local_rows`` a round is a distributed job over the remaining nodes
 alone. The rest, which holds all ancestors of its own nodes, is peeled on in one task of that
-bounded size: a long thin chain then costs no job per level.
+bounded size. Where rounds take off less than one node in ``THIN`` (long chains), the rest is resolved by
+doubling instead: nodes look 1, 2, 4 ... levels up, so a chain of n nodes costs log n rounds.
+Paths are held as arrays of ids, so an id may hold any character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.common import cut, present
 
 LOCAL_ROWS = 20_000
+THIN = 20
+#: Ids of paths that a task holds at once.
+IDS_AT_ONCE = 200_000
 
-_DONE = "id string, parent string, size long, state string, root string, depth int, path string"
+_DONE = "id string, parent string, size long, lowest int, state string, root string, depth int, ids array<string>"
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Peel the nodes of one task to the end and label them."""
-    parts = list(batches)
-    if not parts:
-        return
-    nodes = pd.concat(parts, ignore_index=True)
-    if nodes.empty:
+@dataclass
+class Peeled:
+    """Layers of peeled nodes (id, parent, size, lowest: the first round in which a child was peeled), lowest first, and the labelled rest."""
+
+    layers: list[DataFrame]
+    core: DataFrame
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Peel the nodes of one task to the end and label them; paths are written a bounded number of ids at a time."""
+    some = [b for b in batches if b.num_rows]
+    if not some:
         return
-    ids = nodes["id"].tolist()
+    table = pa.Table.from_batches(some)
+    ids, parents, size, pending, lowest = (table.column(c).to_pylist() for c in ("id", "parent", "size", "pending", "lowest"))
     at = {v: i for i, v in enumerate(ids)}
-    up = [at.get(p, -1) if p is not None else -1 for p in nodes["parent"].tolist()]
-    size, pending = nodes["size"].tolist(), nodes["pending"].tolist()
+    up = [at.get(p, -1) if p is not None else -1 for p in parents]
     ready, order = [i for i, n in enumerate(pending) if n == 0], []
     while ready:
         i = ready.pop()
@@ -47,19 +59,58 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pending[p] -= 1
             if pending[p] == 0:
                 ready.append(p)
-    state: list[str] = ["on_cycle"] * len(ids)
-    root, depth, path = [""] * len(ids), [-1] * len(ids), [""] * len(ids)
+    state, root, depth = ["on_cycle"] * len(ids), [""] * len(ids), [-1] * len(ids)
     for i in reversed(order):
         p = up[i]
         if p < 0:
-            state[i], root[i], depth[i], path[i] = "rooted", ids[i], 0, ids[i]
+            state[i], root[i], depth[i] = "rooted", ids[i], 0
         elif state[p] == "rooted":
-            state[i], root[i], depth[i], path[i] = "rooted", root[p], depth[p] + 1, f"{path[p]}/{ids[i]}"
+            state[i], root[i], depth[i] = "rooted", root[p], depth[p] + 1
         else:
             state[i] = "below_cycle"
-    out = pd.DataFrame({"id": ids, "parent": nodes["parent"], "size": size, "state": state, "root": root, "depth": pd.array(depth, dtype="int32"), "path": path})
-    for k in range(0, len(out), 2000):
-        yield out.iloc[k : k + 2000]
+    a = 0
+    while a < len(ids):
+        b, paths, held = a, [], 0
+        while b < len(ids) and (held < IDS_AT_ONCE or b == a):
+            path, i = [], b if state[b] == "rooted" else -1
+            while i >= 0:
+                path.append(ids[i])
+                i = up[i]
+            paths.append(path[::-1])
+            held, b = held + len(path), b + 1
+        text, whole = pa.string(), pa.int32()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[a:b], text), pa.array(parents[a:b], text), pa.array(size[a:b], pa.int64()), pa.array(lowest[a:b], whole), pa.array(state[a:b], text), pa.array(root[a:b], text), pa.array(depth[a:b], whole), pa.array(paths, pa.list_(text))],
+            names=["id", "parent", "size", "lowest", "state", "root", "depth", "ids"],
+        )
+        a = b
+
+
+def _label(rows: DataFrame, state: Column, root: Column, depth: Column, ids: Column) -> DataFrame:
+    return rows.select("id", "parent", "size", "lowest", state.alias("state"), root.alias("root"), depth.cast("int").alias("depth"), ids.cast("array<string>").alias("ids"))
+
+
+def _double(live: DataFrame, n: int) -> DataFrame:
+    """Label the nodes by looking 1, 2, 4 ... levels up, with log2 n rounds at most: ``up`` is the ancestor so many levels above, ``size``
+    the weight of all nodes less than that far below. Nodes that still have an ancestor when n levels are passed are on or below
+    a cycle; those that are such ancestors are on it."""
+    live = cut(live.withColumn("up", F.col("parent")))
+    for _ in range(max(n, 1).bit_length()):
+        told = live.filter("up IS NOT NULL").groupBy(F.col("up").alias("to")).agg(F.sum("size").alias("more"))
+        above = live.select(F.col("id").alias("at"), F.col("up").alias("next"))
+        live = cut(live.join(told, live["id"] == told["to"], "left").join(above, live["up"] == above["at"], "left").select("id", "parent", "lowest", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.col("next").alias("up")))
+        if live.filter("up IS NOT NULL").isEmpty():
+            break
+    on = live.filter("up IS NOT NULL").select(F.col("up").alias("c")).distinct()
+    looped = live.filter("up IS NOT NULL").join(on, F.col("id") == F.col("c"), "left")
+    none, empty = F.array().cast("array<string>"), F.lit("")
+    out = _label(looped, F.when(F.col("c").isNotNull(), "on_cycle").otherwise("below_cycle"), empty, F.lit(-1), none)
+    # paths of the rooted ones: ids from the node up to, not including, ``up``
+    rest = cut(live.filter("up IS NULL").select("id", "parent", "size", "lowest", F.array("id").alias("ids"), F.col("parent").alias("up")))
+    while not rest.filter("up IS NOT NULL").isEmpty():
+        above = rest.select(F.col("id").alias("at"), F.col("ids").alias("more"), F.col("up").alias("next"))
+        rest = cut(rest.join(above, rest["up"] == above["at"], "left").select("id", "parent", "size", "lowest", F.when(F.col("more").isNull(), F.col("ids")).otherwise(F.concat("more", "ids")).alias("ids"), F.col("next").alias("up")))
+    return out.unionByName(_label(rest, F.lit("rooted"), F.col("ids")[0], F.size("ids") - 1, F.col("ids")))
 
 
 def latest_links(rows: DataFrame, node: str, parent: str, version: str) -> DataFrame:
@@ -70,49 +121,98 @@ def latest_links(rows: DataFrame, node: str, parent: str, version: str) -> DataF
     return last.join(known, last["p"] == known["parent"], "left").select("id", "parent")
 
 
-def resolve_hierarchy(rows: DataFrame, *, node: str = "id", parent: str = "parent_id", version: str = "updated_at", local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """One row per node: id, parent, state (rooted, on_cycle, below_cycle), root, depth, n_below, path.
-
-    For nodes that aren't rooted root and path are '', depth and n_below -1. Repeated rows and older
-    versions are dropped; NULL and '' ids are no nodes; an absent or unknown parent makes a root; a
-    node that is its own parent is on a cycle. An empty table gives no rows. Ids may be of any length
-    but paths are joined by '/', so ids that hold one make ambiguous paths. Jobs: one per layer while
-    more than ``local_rows`` nodes remain.
-    """
+def peel(rows: DataFrame, *, node: str = "id", parent: str = "parent_id", version: str = "updated_at", local_rows: int = LOCAL_ROWS, thin: int = THIN) -> Peeled:
+    """Take off layer after layer of nodes without remaining children, and label the rest."""
     links = latest_links(rows, node, parent, version)
     children = links.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"))
-    live = cut(links.join(children, "id", "left").select("id", "parent", F.lit(1).cast("long").alias("size"), F.coalesce("n", F.lit(0)).cast("long").alias("pending")))
+    live = cut(links.join(children, "id", "left").select("id", "parent", F.lit(1).cast("long").alias("size"), F.coalesce("n", F.lit(0)).cast("long").alias("pending"), F.lit(None).cast("int").alias("lowest")))
     layers: list[DataFrame] = []
     while True:
-        left = live.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("pending") == 0, 1)), F.lit(0)).alias("ready")).first()
-        if left.n <= local_rows or left.ready == 0:
+        left = live.agg(F.count("*").alias("n"), F.count_if(F.col("pending") == 0).alias("ready")).first()
+        if left.n <= local_rows or left.ready * thin < left.n:
             break
-        layer = live.filter(F.col("pending") == 0)
-        layers.append(layer)
+        layer = live.filter(F.col("pending") == 0).drop("pending")
         told = layer.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-        live = cut(live.filter(F.col("pending") > 0).join(told, "id", "left").select("id", "parent", (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), (F.col("pending") - F.coalesce("n", F.lit(0))).alias("pending")))
+        live = cut(live.filter(F.col("pending") > 0).join(told, "id", "left").select("id", "parent", (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), (F.col("pending") - F.coalesce("n", F.lit(0))).alias("pending"), F.coalesce("lowest", F.when(F.col("n") > 0, len(layers))).alias("lowest")))
+        layers.append(layer)
     if left.n <= local_rows:
-        done = live.coalesce(1).mapInPandas(_finish, _DONE)
+        core = live.coalesce(1).mapInArrow(_finish, _DONE)
+    elif left.ready:
+        core = _double(live.drop("pending"), left.n)
     else:
-        done = live.select("id", "parent", "size", F.lit("on_cycle").alias("state"), F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"))
-    if layers:
-        done = cut(done)
-    for layer in reversed(layers):
-        above = done.select(F.col("id").alias("parent"), F.col("state").alias("s"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("p"))
-        rooted = F.col("s") == "rooted"
-        placed = layer.join(above, "parent", "left").select(
-            "id", "parent", "size",
-            F.when(F.col("parent").isNull() | rooted, "rooted").otherwise("below_cycle").alias("state"),
-            F.when(F.col("parent").isNull(), F.col("id")).when(rooted, F.col("r")).otherwise("").alias("root"),
-            F.when(F.col("parent").isNull(), 0).when(rooted, F.col("d") + 1).otherwise(-1).alias("depth"),
-            F.when(F.col("parent").isNull(), F.col("id")).when(rooted, F.concat_ws("/", "p", "id")).otherwise("").alias("path"),
-        )
-        done = done.unionByName(cut(placed))
-    return done.select("id", "parent", "state", "root", "depth", F.when(F.col("state") == "rooted", F.col("size") - 1).otherwise(F.lit(-1)).cast("int").alias("n_below"), "path")
+        core = _label(live, F.lit("on_cycle"), F.lit(""), F.lit(-1), F.array())
+    return Peeled(layers, cut(core) if layers else core)
+
 
+def resolve_hierarchy(rows: DataFrame, *, node: str = "id", parent: str = "parent_id", version: str = "updated_at", local_rows: int = LOCAL_ROWS, thin: int = THIN) -> DataFrame:
+    """One row per node: id, parent, state (rooted, on_cycle, below_cycle), root, depth, n_below, path, ids (the path as an array).
 
-def descendants(resolved: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for every rooted node and each node above it. The groups below a
-    node come as rows, never as one list, so a root over a third of all nodes is no large row."""
-    steps = resolved.filter("state = 'rooted' AND depth > 0").select("id", "depth", F.posexplode(F.split("path", "/")).alias("level", "ancestor"))
-    return steps.filter(F.col("level") < F.col("depth")).select("ancestor", F.col("id").alias("descendant"), (F.col("depth") - F.col("level")).alias("distance"))
+    For nodes that aren't rooted root and path are '', ids is empty, depth and n_below -1. Repeated rows and older
+    versions are dropped; NULL and '' ids are no nodes; an absent or unknown parent makes a root; a
+    node that is its own parent is on a cycle. An empty table gives no rows. Ids may be of any length and hold '/'; only ``path``, which
+    joins them by it, is then ambiguous. Jobs: one per layer while more than ``local_rows`` nodes remain and a layer takes off one
+    in ``thin`` of them, then one task, or log n rounds.
+    """
+    return placed(peel(rows, node=node, parent=parent, version=version, local_rows=local_rows, thin=thin))
+
+
+def placed(peeled: Peeled) -> DataFrame:
+    """The layers put back on the labelled rest, in reverse order."""
+    done, open_ = [peeled.core], peeled.core.filter("lowest IS NOT NULL")
+    for number in range(len(peeled.layers) - 1, -1, -1):
+        above = open_.select(F.col("id").alias("__up"), F.col("state").alias("s"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("ids").alias("p"))
+        layer = peeled.layers[number]
+        joined = layer.join(above, layer["parent"] == above["__up"], "left")
+        top, rooted = F.col("parent").isNull(), F.col("s") == "rooted"
+        some = cut(_label(
+            joined,
+            F.when(top | rooted, "rooted").otherwise("below_cycle"),
+            F.when(top, F.col("id")).when(rooted, F.col("r")).otherwise(""),
+            F.when(top, 0).when(rooted, F.col("d") + 1).otherwise(-1),
+            F.when(top, F.array("id")).when(rooted, F.concat("p", F.array("id"))).otherwise(F.array().cast("array<string>")),
+        ))
+        done.append(some)
+        if number:
+            # of what is placed, nodes whose first child was peeled in an earlier round than the next layer's still have some to come
+            open_ = open_.unionByName(some.filter("lowest IS NOT NULL")).filter(F.col("lowest") < number)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("id", "parent", "state", "root", "depth", F.when(F.col("state") == "rooted", F.col("size") - 1).otherwise(F.lit(-1)).cast("int").alias("n_below"), F.array_join("ids", "/").alias("path"), "ids")
+
+
+def descendants(rows: DataFrame, *, node: str = "id", parent: str = "parent_id", version: str = "updated_at", local_rows: int = LOCAL_ROWS, thin: int = THIN) -> DataFrame:
+    """(ancestor, descendant, distance) for every rooted node and each node above it, as the peel collects them.
+
+    A layer's nodes send themselves and the rows of their descendants to their parents; what reaches the rest is spread over
+    the paths in it. The nodes below another come as rows, never as one list, so a root over a third of all nodes is no
+    large row. Nodes on and below cycles have no rows.
+    """
+    peeled = peel(rows, node=node, parent=parent, version=version, local_rows=local_rows, thin=thin)
+    kept: list[DataFrame] = []
+    carried = None  # rows of nodes not yet peeled
+    for layer in peeled.layers:
+        own = layer.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).alias("distance"))
+        if carried is None:
+            carried = own
+            continue
+        here = layer.select(F.col("id").alias("ancestor"), F.col("parent").alias("__up"))
+        split = cut(carried.join(here.withColumn("__peeled", F.lit(True)), "ancestor", "left"))
+        kept.append(split.filter("__peeled").select("ancestor", "descendant", "distance"))
+        sent = split.filter("__peeled AND __up IS NOT NULL").select(F.col("__up").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
+        carried = split.filter("__peeled IS NULL").select("ancestor", "descendant", "distance").unionByName(sent).unionByName(own)
+    rooted = peeled.core.filter("state = 'rooted'")
+    steps = rooted.select("id", "depth", F.posexplode("ids").alias("level", "ancestor")).select("ancestor", F.col("id").alias("holder"), (F.col("depth") - F.col("level")).alias("up"))
+    kept.append(steps.filter("up > 0").select("ancestor", F.col("holder").alias("descendant"), F.col("up").alias("distance")))
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    if carried is not None:
+        reached = carried.withColumnRenamed("ancestor", "holder").join(steps, "holder").select("ancestor", "descendant", (F.col("distance") + F.col("up")).alias("distance"))
+        loose = carried.join(peeled.core.filter("state <> 'rooted'").select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
+        # subtrees that hang on a cycle are taken out of what was kept
+        out = out.unionByName(reached)
+        if not loose.isEmpty():
+            below = cut(loose.select("descendant").distinct())
+            out = out.join(below, "descendant", "left_anti").select("ancestor", "descendant", "distance")
+    return out.withColumn("distance", F.col("distance").cast("int"))

@@ -79,6 +79,23 @@ def discover_attributes(keys: DataFrame, name: str = "attr_name", value_type: st
     return [(r.n, r.t) for r in rows]
 
 
+def infer_attributes(rows: DataFrame, key: str, value: str, *, limit: int = MAX_ATTRIBUTES, share: float = 1.0) -> list[tuple[str, str]]:
+    """(name, type) of every key in the data, where no list of attributes is given: spellings of one key are one attribute, named by its
+    most frequent spelling without outer space (of equally frequent ones the least); its type is the first of boolean, integer,
+    decimal, timestamp that at least ``share`` of its usable values have, else text. Blank keys are none, a key without usable values is
+    text. All rows are counted, per key alone; more than ``limit`` keys are an error."""
+    k, v = key_form(rows[key]), strip(rows[value])
+    some = rows.select(k.alias("k"), strip(rows[key]).alias("name"), v.alias("v")).filter(F.coalesce(F.col("k") != "", F.lit(False)))
+    usable = F.col("v") != ""
+    tests = {t: F.count_if(usable & typed(F.col("v"), t, stripped=True).isNotNull()).alias(t) for t in ("boolean", "integer", "decimal", "timestamp")}
+    named = some.groupBy("k", "name").agg(F.count("*").alias("c"), F.count_if(usable).alias("n"), *tests.values())
+    best = F.struct((-F.col("c")).alias("c"), F.col("name").alias("name"))
+    told = named.groupBy("k").agg(F.min(best)["name"].alias("name"), *[F.sum(c).alias(c) for c in ("n", *tests)]).orderBy("name").limit(limit + 1).collect()
+    if len(told) > limit:
+        raise ValueError(f"more than {limit} keys")
+    return [(r.name, next((t for t in tests if r.n and r[t] >= share * r.n), "text")) for r in told]
+
+
 def widen(rows: DataFrame, attributes: list[tuple[str, str]], *, entity: str, key: str, value: str, order: str) -> DataFrame:
     """One row per present entity, one typed column per attribute, in one aggregation.
 
@@ -96,7 +113,8 @@ def widen(rows: DataFrame, attributes: list[tuple[str, str]], *, entity: str, ke
     kind = {t: [f for f, (_, u) in zip(forms, attributes) if u == t] for t in {t for _, t in attributes}}
     text_of = F.coalesce(*[F.when(k.isin(*fs), spelled(typed(v, t, stripped=True), t)) for t, fs in sorted(kind.items())], F.lit(None).cast("string"))
     src = rows.select(rows[entity].alias("__e"), key_form(rows[key]).alias("__k"), rows[order].alias("__o"), strip(rows[value]).alias("__v")).filter(F.coalesce(F.col("__e").cast("string") != "", F.lit(False)))
-    src = src.select("__e", "__k", F.struct(F.col("__o").alias("o"), v.alias("v"), text_of.alias("t")).alias("__r"))
+    # a key that fills no cell is neither typed nor kept, but for its entity
+    src = src.select("__e", F.when(k.isin(list(forms)), k).alias("__k"), F.when(k.isin(list(forms)), F.struct(F.col("__o").alias("o"), v.alias("v"), text_of.alias("t"))).alias("__r"))
     cells = [F.max(F.when(F.col("__k") == forms[i], F.col("__r"))).alias(f"__c{i}") for i in range(len(attributes))]
     wide = src.groupBy("__e").agg(*cells) if cells else src.select("__e").distinct()
     return wide.select(F.col("__e").alias(entity), *[read_back(F.col(f"__c{i}.t"), t).alias(a) for i, (a, t) in enumerate(attributes)])

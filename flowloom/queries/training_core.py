@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowloom.common import load, present, utc_day
 from flowloom.operators.hierarchy import descendants, resolve_hierarchy
 from flowloom.operators.references import orphan_references
-from flowloom.operators.wide import cells, discover_attributes, widen
+from flowloom.operators.wide import cells, discover_attributes, infer_attributes, widen
 
 
 def _fates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +59,23 @@ def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir)[0]
 
 
+def p4_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attributes that the rows themselves show, without the list, as entity counts of the wide table they give."""
+    rows = load(spark, sf_dir, "session_metadata")
+    attributes = infer_attributes(rows, "key", "value")
+    wide = cells(widen(rows, [(a, "text") for a, _ in attributes], entity="session_id", key="key", value="value", order="merged_at"), [(a, "text") for a, _ in attributes], "session_id")
+    return wide.groupBy("attr_name").agg(F.count("*").alias("n_cells"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_hierarchy(load(spark, sf_dir, "groups")).select(F.col("id").alias("group_id"), F.col("state").alias("tree_state"), F.col("root").alias("root_id"), F.col("depth").alias("depth_no"), "n_below", F.col("path").alias("id_path"))
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descendants(resolve_hierarchy(load(spark, sf_dir, "groups")))
+    return descendants(load(spark, sf_dir, "groups"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_partial_keys, p4_found, p4_wide, p5_found, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_partial_keys, p4_found, p4_wide, p4_inferred, p5_found, p5_descendants)}
 
 _FATES = """
 refs AS (
@@ -136,3 +144,9 @@ typed AS (
     WHEN 'timestamp' THEN CASE WHEN regexp_full_match(v, '[0-9]{{1,18}}') THEN CAST(CAST(v AS BIGINT) * CASE WHEN CAST(v AS BIGINT) < 100000000000 THEN 1000000 WHEN CAST(v AS BIGINT) < 100000000000000 THEN 1000 ELSE 1 END AS VARCHAR)
       ELSE CAST(epoch_us(TRY_CAST(CASE WHEN regexp_matches(v, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$') THEN v ELSE v || 'Z' END AS TIMESTAMPTZ)) AS VARCHAR) END END AS typed_value FROM cells)
 SELECT * FROM typed WHERE typed_value IS NOT NULL"""
+
+SQL["p4_inferred"] = r"""
+WITH c AS (SELECT session_id, regexp_replace(key, '^\s+|\s+$', '', 'g') AS name, regexp_replace(lower(regexp_replace(key, '^\s+|\s+$', '', 'g')), '[._\- ]', '', 'g') AS k, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v, merged_at FROM session_metadata),
+names AS (SELECT k, name FROM (SELECT k, name, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, name) AS rn FROM c WHERE k <> '' GROUP BY k, name) WHERE rn = 1),
+last AS (SELECT session_id, k, v FROM (SELECT *, row_number() OVER (PARTITION BY session_id, k ORDER BY merged_at DESC NULLS LAST, v DESC NULLS LAST) AS rn FROM c WHERE session_id <> '' AND k <> '') WHERE rn = 1)
+SELECT name AS attr_name, count(*) AS n_cells FROM last JOIN names USING (k) WHERE v <> '' GROUP BY name"""

@@ -28,26 +28,65 @@ def resolved(spark, rows, **more):
     return {r.id: (r.state, r.root, r.depth, r.path) for r in resolve_hierarchy(spark.createDataFrame(rows, DDL), **more).collect()}
 
 
-@pytest.mark.parametrize("local_rows", [0, 3, 1000])
-def test_shapes(spark, local_rows):
+def pairs(spark, rows, **more):
+    return sorted((r.ancestor, r.descendant, r.distance) for r in descendants(spark.createDataFrame(rows, DDL), **more).collect())
+
+
+def brute_pairs(links):
+    out = []
+    for i, (state, *_) in brute(links).items():
+        x, n = links[i], 1
+        while state == "rooted" and x in links:
+            out.append((x, i, n))
+            x, n = links[x], n + 1
+    return sorted(out)
+
+
+WAYS = [{"local_rows": 0}, {"local_rows": 3}, {"local_rows": 1000}, {"local_rows": 0, "thin": 1}, {"local_rows": 2, "thin": 2}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_shapes(spark, way):
     links = {"r": "", "a": "r", "b": "a", "c": "b", "d": "b", "x": "y", "y": "z", "z": "x", "w": "x", "v": "w", "self": "self", "lost": "nowhere", "n": None}
     rows = [(k, v, 1, "") for k, v in links.items()] + [("a", "c", 0, "older"), ("b", "a", 1, "repeat"), (None, "r", 1, ""), ("", "r", 1, "")]
-    assert resolved(spark, rows, local_rows=local_rows) == brute(links)
+    assert resolved(spark, rows, **way) == brute(links)
+    assert pairs(spark, rows, **way) == brute_pairs(links)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.dictionaries(st.sampled_from("abcdefghij"), st.sampled_from([*"abcdefghij", "", "q", None]), min_size=1), st.sampled_from(WAYS))
+def test_any_links(spark, links, way):
+    rows = [(k, v, 1, "n") for k, v in links.items()]
+    assert resolved(spark, rows, **way) == brute(links)
+    assert pairs(spark, rows, **way) == brute_pairs(links)
+
+
+@pytest.mark.parametrize("way", [{"local_rows": 100, "thin": 10**9}, {"local_rows": 0}, {}])
+def test_counts_chain_and_descendants(spark, way):
+    n = 120 if "thin" not in way else 105
+    rows = [(f"n{k:03d}", f"n{k - 1:03d}" if k else "", 1, "") for k in range(n)]
+    df = spark.createDataFrame(rows, DDL)
+    assert {r.id: r.n_below for r in resolve_hierarchy(df, **way).collect()} == {f"n{k:03d}": n - 1 - k for k in range(n)}
+    assert descendants(df, **way).count() == n * (n - 1) // 2
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.dictionaries(st.sampled_from("abcdefghij"), st.sampled_from([*"abcdefghij", "", "q", None]), min_size=1), st.sampled_from([0, 4]))
-def test_any_links(spark, links, local_rows):
-    assert resolved(spark, [(k, v, 1, "n") for k, v in links.items()], local_rows=local_rows) == brute(links)
+def test_a_long_chain_costs_few_rounds(spark):
+    """More nodes than one task takes, hundreds of levels, a subtree on every level and a cycle with a tail besides."""
+    rows = [(f"n{k}", f"n{k - 1}" if k else "", 1, "") for k in range(300)] + [(f"b{k}", f"n{k}", 1, "") for k in range(300)] + [(f"c{k}", f"c{(k + 1) % 7}", 1, "") for k in range(7)] + [("t0", "c3", 1, ""), ("t1", "t0", 1, "")]
+    out = {r.id: r for r in resolve_hierarchy(spark.createDataFrame(rows, DDL), local_rows=50).collect()}
+    assert all(out[f"n{k}"].depth == k and out[f"n{k}"].n_below == 2 * (300 - k) - 1 and out[f"b{k}"].depth == k + 1 for k in range(300))
+    assert out["b200"].path == "/".join([f"n{k}" for k in range(201)] + ["b200"])
+    assert {out[f"c{k}"].state for k in range(7)} == {"on_cycle"} and out["t0"].state == out["t1"].state == "below_cycle"
 
 
-def test_counts_chain_and_descendants(spark):
-    rows = [(f"n{k:03d}", f"n{k - 1:03d}" if k else "", 1, "") for k in range(120)]
-    out = resolve_hierarchy(spark.createDataFrame(rows, DDL), local_rows=100)
-    assert {r.id: r.n_below for r in out.collect()} == {f"n{k:03d}": 119 - k for k in range(120)}
-    assert descendants(out).count() == 120 * 119 // 2
+@pytest.mark.parametrize("way", [{}, {"local_rows": 0}, {"local_rows": 0, "thin": 1}])
+def test_ids_that_hold_the_separator(spark, way):
+    rows = [("a/b", "", 1, ""), ("c", "a/b", 1, ""), ("d", "c", 1, "")]
+    assert pairs(spark, rows, **way) == [("a/b", "c", 1), ("a/b", "d", 2), ("c", "d", 1)]
+    assert {r.id: r.ids for r in resolve_hierarchy(spark.createDataFrame(rows, DDL), **way).collect()}["d"] == ["a/b", "c", "d"]
 
 
 def test_empty(spark):
-    out = resolve_hierarchy(spark.createDataFrame([], DDL))
-    assert out.count() == 0 and descendants(out).count() == 0
+    empty = spark.createDataFrame([], DDL)
+    for way in WAYS:
+        assert resolve_hierarchy(empty, **way).count() == 0 and descendants(empty, **way).count() == 0

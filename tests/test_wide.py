@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from flowloom.operators.wide import cells, discover_attributes, widen
+from flowloom.operators.wide import cells, discover_attributes, infer_attributes, widen
 
 KEYS = [("host.cores", "integer"), ("link.rtt_ms", "decimal"), ("on", "boolean"), ("seen", "timestamp"), ("note", "text")]
 
@@ -55,3 +55,11 @@ def test_discovery(spark):
         discover_attributes(spark.createDataFrame([("a.b", "text"), ("A_B", "text")], "attr_name string, value_type string"))
     with pytest.raises(ValueError):
         widen(table(spark, []), [("SID", "text")], entity="sid", key="key", value="value", order="merged_at")
+
+
+def test_attributes_from_the_data(spark):
+    rows = [("s", "Host Cores", " 8 ", T[0], None), ("s", "host.cores", "1,024", T[0], None), ("t", "host.cores", "", T[0], None), ("s", "rtt", "1.5", T[0], None), ("s", "rtt", "2", T[0], None), ("s", "on", "yes", T[0], None), ("s", "seen", "2026-02-02", T[0], None), ("s", "note", "5", T[0], None), ("s", "note", "x", T[0], None), ("s", " ", "x", T[0], None), ("s", None, "x", T[0], None), ("s", "blank", None, T[0], None)]
+    assert infer_attributes(table(spark, rows), "key", "value") == [("blank", "text"), ("host.cores", "integer"), ("note", "text"), ("on", "boolean"), ("rtt", "decimal"), ("seen", "timestamp")]
+    assert infer_attributes(table(spark, []), "key", "value") == []
+    with pytest.raises(ValueError):
+        infer_attributes(table(spark, rows), "key", "value", limit=2)

@@ -6,9 +6,12 @@ room in all three, the one with the best score: the least weighted norm of what
 (``norm``) or the greatest weighted dot product of free space and item (``dot``); only where no open
 container has room a new one is opened. Items are taken in order of falling size.
 
+A text whose attention cost alone is beyond the limit, though its tokens aren't, gets a container of its own: it is never split for it.
+
 Items are packed in shards of about ``SHARD`` items that a hash draws evenly from all sizes. The
 containers of a shard that stay emptier than ``FULL`` are given back; their items form fewer shards in
-the next round, until one shard is left or a round gives back more than half.
+the next round, until one shard is left or a round gives back more than half; then the emptier containers of that round stay as they are
+(limits that leave most containers short of ``FULL`` tokens, as a low number of texts does, end the packing this way).
 
 A text larger than the token capacity, and no other, is cut into pieces: all but the last fill a
 container each, the last is an item like any other.
@@ -39,6 +42,13 @@ WEIGHTS = (1.0, 0.01, 0.01)
 
 _PLACED = "budget_name string, doc_id long, piece int, token_start long, token_end long, size long, capacity long, container_id string, fill double"
 
+TEXTS_SHARE = 8
+
+
+def limits_of(capacity: int, max_texts: int | None = None, attention: int | None = None) -> tuple[int, int]:
+    """Number of texts and attention cost of a container, where they aren't given."""
+    return max_texts or max(capacity // TEXTS_SHARE, 1), attention or capacity**2
+
 
 @lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str):  # noqa: ANN202
@@ -102,8 +112,8 @@ def pack(sizes: DataFrame, budgets: DataFrame, *, max_texts: int | None = None,
 
     sizes: doc_id, n_tokens; budgets: budget_name, capacity_tokens (at most ``MAX_BUDGETS`` rows; NULL
     or capacities below 1 are an error). Defaults of the other capacities per container: capacity / 8
-    texts, and capacity squared of attention cost, which a single full-size text needs. Documents without
-    tokens get one row with container_id NULL. Repeated doc_ids are packed each for itself. An empty
+    texts, and capacity squared of attention cost, which a single full-size text needs and no other filling exceeds; a smaller
+    ``attention`` binds. Documents without tokens get one row with container_id NULL. Repeated doc_ids are packed each for itself. An empty
     table gives no rows.
     """
     plans = [(r[0], r[1]) for r in budgets.select("budget_name", F.col("capacity_tokens").cast("long")).limit(MAX_BUDGETS + 1).collect()]
@@ -115,15 +125,17 @@ def pack(sizes: DataFrame, budgets: DataFrame, *, max_texts: int | None = None,
     split = each.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     split = split.withColumns({"token_start": F.col("piece") * F.col("capacity"), "token_end": F.least((F.col("piece") + 1) * F.col("capacity"), F.col("n_tokens"))}).withColumn("size", F.col("token_end") - F.col("token_start"))
     columns = ["budget_name", "capacity", "container_id", "doc_id", "piece", "token_start", "token_end"]
-    alone = split.filter((F.col("size") == F.col("capacity")) | (F.col("size") == 0)).withColumn("container_id", F.when(F.col("size") > 0, F.concat_ws("-", F.lit("whole"), "doc_id", "piece", F.monotonically_increasing_id())))
+    most = F.lit(attention).cast("long") if attention else F.col("capacity") * F.col("capacity")
+    single = (F.col("size") == F.col("capacity")) | (F.col("size") * F.col("size") > most)
+    alone = split.filter(single | (F.col("size") == 0)).withColumn("container_id", F.when(F.col("size") > 0, F.concat_ws("-", F.lit("whole"), "doc_id", "piece", F.monotonically_increasing_id())))
     done = [alone.select(*columns)]
-    left = split.filter((F.col("size") < F.col("capacity")) & (F.col("size") > 0)).select("budget_name", "capacity", "doc_id", "piece", "token_start", "token_end", "size")
+    left = split.filter(~single & (F.col("size") > 0)).select("budget_name", "capacity", "doc_id", "piece", "token_start", "token_end", "size")
 
     def place(turn: int):  # noqa: ANN202
         def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
             capacity = int(items["capacity"].iloc[0])
             items = items.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-            at = best_fit(items["size"].to_numpy(), capacity, max_texts or max(capacity // 8, 1), attention or capacity**2, score)
+            at = best_fit(items["size"].to_numpy(), capacity, *limits_of(capacity, max_texts, attention), score)
             filled = np.bincount(at, weights=items["size"])[at] / capacity
             return items.assign(container_id=[f"{turn}-{key[1]}-{k}" for k in at], fill=filled)[["budget_name", "doc_id", "piece", "token_start", "token_end", "size", "capacity", "container_id", "fill"]]
 
@@ -156,3 +168,28 @@ def fill_report(packed: DataFrame) -> DataFrame:
     return held.groupBy("budget_name", "capacity").agg(F.count_distinct("container_id").alias("n_containers"), F.sum(F.col("token_end") - F.col("token_start")).alias("n_tokens"), F.count_distinct(F.when(F.col("piece") > 0, F.col("doc_id"))).alias("texts_cut")).select(
         "budget_name", "capacity", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"), F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6).alias("unused_share"), "texts_cut"
     )
+
+
+def containers(packed: DataFrame, max_texts: int | None = None, attention: int | None = None) -> DataFrame:
+    """Per container: budget_name, capacity, container_id, n_tokens, n_texts, cost, and closed_by, the capacity that is used up to the
+    greatest part (tokens before texts before attention where equal)."""
+    size = F.col("token_end") - F.col("token_start")
+    each = packed.filter(F.col("container_id").isNotNull()).groupBy("budget_name", "capacity", "container_id").agg(F.sum(size).alias("n_tokens"), F.count("*").alias("n_texts"), F.sum(size * size).alias("cost"))
+    texts = F.lit(max_texts) if max_texts else F.greatest(F.floor(F.col("capacity") / TEXTS_SHARE), F.lit(1))
+    most = F.lit(attention) if attention else F.col("capacity") * F.col("capacity")
+    used = F.array(F.col("n_tokens") / F.col("capacity"), F.col("n_texts") / texts, F.col("cost") / most)
+    names = F.array(*[F.lit(x) for x in ("tokens", "texts", "attention")])
+    return each.withColumns({"over": (F.col("n_tokens") > F.col("capacity")) | (F.col("n_texts") > texts) | ((F.col("cost") > most) & (F.col("n_texts") > 1)), "closed_by": F.element_at(names, F.array_position(used, F.array_max(used)).cast("int"))})
+
+
+def packing_faults(packed: DataFrame, sizes: DataFrame, max_texts: int | None = None, attention: int | None = None) -> DataFrame:
+    """Per budget what must be 0: containers over a capacity, tokens of documents that no piece or two pieces hold, texts within the
+    capacity that are cut. sizes: doc_id (unique), n_tokens."""
+    over = containers(packed, max_texts, attention).groupBy("budget_name").agg(F.count_if("over").alias("over"))
+    pieces = packed.groupBy("budget_name", "capacity", "doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("held"), F.count("*").alias("n"), F.max("token_end").alias("end"))
+    against = pieces.join(sizes.select("doc_id", "n_tokens"), "doc_id", "full")
+    short = against.groupBy("budget_name").agg(
+        F.coalesce(F.sum(F.abs(F.col("n_tokens") - F.col("held"))), F.lit(0)).alias("lost_tokens"),
+        F.count_if((F.col("n") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("cut_texts"), F.count("n_tokens").alias("n_texts"),
+    )
+    return short.join(over, "budget_name", "full").select("budget_name", F.col("n_texts").cast("long").alias("n_texts"), F.coalesce("over", F.lit(0)).alias("over_capacity"), F.col("lost_tokens").cast("long").alias("lost_tokens"), "cut_texts")

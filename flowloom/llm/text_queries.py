@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.common import cut, load
 from flowloom.llm.leakage import leaked_items
-from flowloom.llm.packing import fill_report, pack, token_counts
+from flowloom.llm.packing import MAX_BUDGETS, containers, fill_report, pack, packing_faults, token_counts
 from flowloom.llm.sentences import document_sentences
 
 
@@ -19,6 +19,30 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p6_pack(spark, sf_dir))
 
 
+#: A container's other capacities where all three are to bind: texts, and attention cost as a share of the capacity squared.
+FEW_TEXTS, LITTLE_ATTENTION = 6, 0.5
+
+
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the fillings per budget: none."""
+    sizes = cut(token_counts(load(spark, sf_dir, "documents")))
+    return packing_faults(cut(pack(sizes, load(spark, sf_dir, "context_budgets"))), sizes)
+
+
+def p6_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fillings under three capacities of which each closes containers: faults, and whether each did."""
+    sizes, budgets = cut(token_counts(load(spark, sf_dir, "documents"))), load(spark, sf_dir, "context_budgets")
+    plans = [(r[0], int(r[1])) for r in budgets.select("budget_name", "capacity_tokens").limit(MAX_BUDGETS).collect()]
+    out = None
+    for name, capacity in plans:
+        texts, attention = FEW_TEXTS, int(capacity**2 * LITTLE_ATTENTION)
+        packed = cut(pack(sizes, budgets.filter(F.col("budget_name") == name), max_texts=texts, attention=attention))
+        closed = containers(packed, texts, attention).groupBy("budget_name").agg((F.count_distinct("closed_by") == 3).alias("each_binds"))
+        one = packing_faults(packed, sizes, texts, attention).join(closed, "budget_name")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
@@ -41,7 +65,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sentences(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_fill, p7_found, p7_by_item, p7_recall, p8_found)}
+QUERIES = {f.__name__: f for f in (p6_pack, p6_fill, p6_checked, p6_bound, p7_found, p7_by_item, p7_recall, p8_found)}
+_NO_FAULTS = "SELECT budget_name, (SELECT count(*) FROM documents) AS n_texts, 0 AS over_capacity, 0 AS lost_tokens, 0 AS cut_texts"
 SQL: dict[str, str] = {
+    "p6_checked": f"{_NO_FAULTS} FROM context_budgets",
+    "p6_bound": f"{_NO_FAULTS}, true AS each_binds FROM context_budgets",
     "p7_recall": "SELECT true AS recall_is_enough, 0 AS unproven",
 }

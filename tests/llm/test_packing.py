@@ -4,7 +4,7 @@ from conftest import DATA
 from hypothesis import given
 from hypothesis import strategies as st
 
-from flowloom.llm.packing import best_fit, fill_report, pack, token_counts
+from flowloom.llm.packing import best_fit, containers, fill_report, pack, packing_faults, token_counts
 
 
 @given(st.lists(st.integers(1, 100), max_size=80), st.integers(1, 6), st.sampled_from(["norm", "dot"]))
@@ -48,3 +48,22 @@ def test_tokens_and_report(spark):
     budgets = spark.read.parquet(f"{DATA}/context_budgets.parquet")
     for r in fill_report(pack(token_counts(spark.read.parquet(f"{DATA}/documents.parquet")), budgets)).collect():
         assert r.unused_share < 0.05
+
+
+def test_all_three_capacities_bind(spark):
+    r = np.random.default_rng(3)
+    sizes = spark.createDataFrame([(k, int(n)) for k, n in enumerate([*r.integers(1, 5, 300), *r.integers(20, 60, 300), *r.integers(60, 101, 60), 250, 0])], "doc_id long, n_tokens long")
+    budgets = spark.createDataFrame([("a", 100)], "budget_name string, capacity_tokens int")
+    packed = pack(sizes, budgets, max_texts=6, attention=5000, shard=100)
+    rows = containers(packed, 6, 5000).collect()
+    assert {r.closed_by for r in rows} == {"tokens", "texts", "attention"} and not any(r.over for r in rows)
+    assert all(r.n_texts == 1 for r in rows if r.cost > 5000) and any(r.cost > 5000 for r in rows)
+    assert [tuple(r) for r in packing_faults(packed, sizes, 6, 5000).collect()] == [("a", 662, 0, 0, 0)]
+    broken = packed.filter("doc_id <> 5").unionByName(packed.filter("doc_id = 6"))
+    assert packing_faults(broken, sizes, 6, 5000).filter("lost_tokens > 0").count() > 0
+
+
+def test_properties_on_the_test_data(spark, agree):
+    from flowloom.llm.text_queries import QUERIES, SQL
+
+    agree(QUERIES["p6_checked"](spark, DATA), SQL["p6_checked"])

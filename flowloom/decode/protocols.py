@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -159,52 +159,60 @@ def msgpack(data: bytes, at: int = 0, depth: int = 0) -> tuple[Any, int]:
     raise ValueError("unused byte")
 
 
+#: What a frame's command says, and the compression byte of zstd (0 is none, any other an LZ4 block).
+COMMANDS = {0: "Request", 1: "Response", 2: "Push", 3: "Error"}
+ZSTD = 0xFF
+HEAD = 10
+
+
+def _label(names: dict[int, str], number: int, unknown: str) -> str:
+    return f"{names[number]}({number})" if number in names else unknown.format(number)
+
+
 @dataclass
 class FramedSession:
-    """Frames of a 10-byte big-endian head: version, flags, command (2), sequence (3), length (3); the payload is MessagePack, as it is
-    or behind zstd or LZ4, after 0 to 4 bytes."""
+    """Frames of a 10-byte big-endian head: version (1 byte), command (1), sequence (2), opcode (2), compression (1), length (3). The
+    payload is MessagePack after 0 to 4 bytes, compressed as the head says.
+
+    A message carries its command as opcode, and cmd, seq, opcode and ver as metadata; ``opcodes`` names some opcodes, others are shown in
+    hex. A payload that can't be read is base64 of what it decompresses to, or of itself."""
 
-    labels: dict[int, str] = field(default_factory=dict)
+    opcodes: dict[int, str] = field(default_factory=dict)
     rest: dict[bool, bytes] = field(default_factory=lambda: {True: b"", False: b""})
 
     def feed(self, from_client: bool, data: bytes) -> list[Decoded]:
         data, out, at = self.rest[from_client] + data, [], 0
-        while at + 10 <= len(data):
-            version, flags, command = struct.unpack_from(">BBH", data, at)
-            sequence, size = int.from_bytes(data[at + 4 : at + 7], "big"), int.from_bytes(data[at + 7 : at + 10], "big")
-            if at + 10 + size > len(data):
+        while at + HEAD <= len(data):
+            version, command, sequence, opcode, compression = struct.unpack_from(">BBHHB", data, at)
+            size = int.from_bytes(data[at + 7 : at + HEAD], "big")
+            if at + HEAD + size > len(data):
                 break
-            payload = data[at + 10 : at + 10 + size]
-            at += 10 + size
-            label = f"{self.labels[command]}({command})" if command in self.labels else f"cmd{command}"
-            out.append(Decoded(from_client, label, framed_payload(payload), {"version": str(version), "flags": str(flags), "sequence": str(sequence)}))
+            payload = data[at + HEAD : at + HEAD + size]
+            at += HEAD + size
+            label = _label(COMMANDS, command, "cmd{}")
+            fields = {"cmd": label, "seq": str(sequence), "opcode": _label(self.opcodes, opcode, "op0x{:x}"), "ver": str(version)}
+            out.append(Decoded(from_client, label, framed_payload(payload, compression), fields))
         self.rest[from_client] = data[at:]
         return out
 
 
-def _readings(payload: bytes) -> Iterator[bytes]:
-    if payload[:4] == b"\x28\xb5\x2f\xfd":
-        try:
-            yield zstandard.ZstdDecompressor().decompress(payload, max_output_size=MAX_FRAME)
-        except zstandard.ZstdError:
-            pass
-    yield payload
-    try:
-        yield lz4_block(payload)
-    except ValueError:
-        pass
-
-
-def framed_payload(payload: bytes) -> str:
+def framed_payload(payload: bytes, compression: int = 0) -> str:
     """JSON of the payload; of what can't be read, its base64."""
     if not payload:
         return '"[empty / ack]"'
-    for reading in _readings(payload):
-        for skip in range(5):
-            try:
-                value, end = msgpack(reading, skip)
-            except (ValueError, struct.error):
-                continue
-            if end == len(reading) and (isinstance(value, dict | list) or len(reading) == 1):
-                return json.dumps(value, ensure_ascii=False)
-    return json.dumps({"raw": base64.b64encode(payload).decode()})
+    plain = payload
+    try:
+        if compression == ZSTD:
+            plain = zstandard.ZstdDecompressor().decompress(payload, max_output_size=MAX_FRAME)
+        elif compression:
+            plain = lz4_block(payload)
+    except (ValueError, zstandard.ZstdError):
+        return json.dumps({"raw": base64.b64encode(payload).decode()})
+    for skip in range(5):
+        try:
+            value, end = msgpack(plain, skip)
+        except (ValueError, struct.error):
+            continue
+        if end == len(plain) and (isinstance(value, dict | list) or not skip):
+            return json.dumps(value, ensure_ascii=False)
+    return json.dumps({"raw": base64.b64encode(plain).decode()})

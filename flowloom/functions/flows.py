@@ -130,8 +130,15 @@ def raw_request(method: Column, path: Column, query: Column, authority: Column,
     return F.concat(F.concat_ws(" ", method, target, F.lit("HTTP/1.1")), F.lit("\r\n"), F.when(named | (text(authority) == ""), "").otherwise(F.concat(F.lit("host: "), authority, F.lit("\r\n"))), F.array_join(lines, "\r\n"), F.when(F.size(lines) > 0, "\r\n").otherwise(""), F.lit("\r\n"))
 
 
+def raw_response(status: Column, headers: Column) -> Column:
+    """Head of the answer as text."""
+    lines = F.transform(F.filter(headers, lambda h: ~h["name"].startswith(":")), lambda h: F.concat(h["name"], F.lit(": "), text(h["value"])))
+    return F.concat(F.lit("HTTP/1.1 "), status.cast("string"), F.lit("\r\n"), F.array_join(lines, "\r\n"), F.when(F.size(lines) > 0, "\r\n").otherwise(""), F.lit("\r\n"))
+
+
 #: HTTP/2 setting names by number.
 H2_SETTINGS = {"1": "HEADER_TABLE_SIZE", "2": "ENABLE_PUSH", "3": "MAX_CONCURRENT_STREAMS", "4": "INITIAL_WINDOW_SIZE", "5": "MAX_FRAME_SIZE", "6": "MAX_HEADER_LIST_SIZE", "8": "ENABLE_CONNECT_PROTOCOL", "9": "NO_RFC7540_PRIORITIES"}
+#: Pseudo-headers by letter.
 H2_PSEUDO = {"m": ":method", "a": ":authority", "s": ":scheme", "p": ":path"}
 
 

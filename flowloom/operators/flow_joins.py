@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from flowloom.common import text
 from flowloom.functions.flows import url
+from flowloom.plans.side import header_lists
 
 REASONS = ("no_key", "handshake_incomplete", "unsupported", "unparsed", "udp")
 MAX_RULES = 20_000
@@ -62,6 +63,23 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     return joined.select("__row.*", best.alias("__m")).select(*left.columns, *[F.col(f"__m.{v}").alias(v if v not in left.columns else f"{v}_asof") for v in values])
 
 
+NAMES_KEPT = 16
+
+
+def names_of_addresses(connections: DataFrame, answers: DataFrame, bucket: int = 3_600_000_000) -> DataFrame:
+    """connections (address, ts_micros and any more columns) with the name that the last answer for their address at or before their time
+    gave, and ``candidates``, the other different names of the last ``NAMES_KEPT`` answers, sorted.
+
+    answers: address, ts_micros, name; of answers of one time the greatest name counts as the last. NULL addresses match nothing.
+    """
+    last = Window.partitionBy("address").orderBy("ts_micros", "name").rowsBetween(1 - NAMES_KEPT, 0)
+    known = answers.select("address", "ts_micros", "name").filter(F.col("address").isNotNull() & F.col("name").isNotNull()).distinct()
+    history = known.withColumn("__names", F.collect_list("name").over(last))
+    joined = asof_join(connections, history, ["address"], "ts_micros", "ts_micros", ["name", "__names"], bucket)
+    others = F.array_sort(F.array_distinct(F.filter("__names", lambda x: x != F.col("name"))))
+    return joined.withColumn("candidates", F.coalesce(others, F.array().cast("array<string>"))).drop("__names")
+
+
 def left_struct(df: DataFrame):  # noqa: ANN201
     """The type of a row."""
     return df.schema
@@ -117,6 +135,64 @@ def classify(flows: DataFrame, rules: DataFrame) -> DataFrame:
     return keyed.join(best, ["ja4", "ja3", "host"]).select("id", "label")
 
 
+def rule_scores(rules: DataFrame) -> DataFrame:
+    """label, load_order, score of every rule that states a fingerprint key: 1000 for each key it states plus their weights."""
+    has = [text(F.col(k)) != "" for k in WEIGHTS]
+    score = sum([F.when(h, 1000 + w).otherwise(0) for h, w in zip(has, WEIGHTS.values())], F.lit(0))
+    return rules.select("label", "load_order", score.alias("score")).filter("score > 0")
+
+
+def natural_key_counts(flows: DataFrame, keys: tuple[str, ...] = ("method", "authority", "path")) -> DataFrame:
+    """keys and n: how many flows share each natural key; '' and NULL are one value."""
+    return flows.groupBy(*[text(F.col(k)).alias(k) for k in keys]).agg(F.count("*").alias("n"))
+
+
+def undecoded_index(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored connections without flows, and those that a live decode found and that aren't stored yet, by connection_id."""
+    fresh = live.join(stored.select("connection_id"), "connection_id", "left_anti")
+    return stored.unionByName(fresh, allowMissingColumns=True)
+
+
+def not_stored(live: DataFrame, stored: DataFrame) -> DataFrame:
+    """Live rows whose id isn't stored."""
+    return live.join(stored.select("id"), "id", "left_anti")
+
+
+def scan_counters(rows: DataFrame, matched: Column, hidden: Column) -> DataFrame:
+    """scanned, matched, hidden_matched of rows by two conditions, in one pass."""
+    held, away = F.coalesce(matched, F.lit(False)), F.coalesce(hidden, F.lit(False))
+    return rows.agg(F.count("*").alias("scanned"), F.count_if(held).alias("matched"), F.count_if(held & away).alias("hidden_matched"))
+
+
+def outcome_totals(metadata: DataFrame, prefix: str = "undecoded.") -> DataFrame:
+    """outcome, n, total: counters of sessions below a key prefix, with or without ``conn.`` before it; digits only, zeros left out."""
+    pattern = r"^(?:conn\.)?" + prefix.replace(".", r"\.") + "(.+)$"
+    m = metadata.select(F.regexp_extract("key", pattern, 1).alias("outcome"), "value")
+    return m.filter((F.col("outcome") != "") & F.col("value").rlike(r"^[0-9]*[1-9][0-9]*$")).groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+#: Why a connection has no decoded exchange.
+TCP_PASSTHROUGH, UDP_UNDECODED = "tcp_passthrough", "udp_undecoded"
+
+
+def stream_flows(streams: DataFrame, messages: DataFrame) -> DataFrame:
+    """A flow for every raw stream that was passed on undecoded.
+
+    streams: id, transport (tcp or udp), src_addr, dst_addr, sni, ts_micros, tls_established; messages: flow_id, from_client, payload.
+    Its authority is the name that the client gave, else the peer with its port; conn.outcome and the bytes of both directions are
+    its metadata, and its messages are its timeline. Streams without messages have no bytes; NULL transports are TCP.
+    """
+    size = F.length(F.col("payload").cast("binary"))
+    bytes_ = messages.groupBy(F.col("flow_id").alias("__flow")).agg(F.coalesce(F.sum(F.when(F.col("from_client"), size)), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(~F.col("from_client"), size)), F.lit(0)).alias("down"))
+    s = streams.join(bytes_, streams["id"] == bytes_["__flow"], "left")
+    udp, up, down = F.lower(text(F.col("transport"))) == "udp", F.coalesce("up", F.lit(0)).cast("long"), F.coalesce("down", F.lit(0)).cast("long")
+    outcome = F.when(udp, UDP_UNDECODED).otherwise(TCP_PASSTHROUGH)
+    return s.select(
+        "id", F.when(udp, "UDP").otherwise("TCP").alias("protocol"), F.when(text(F.col("sni")) != "", F.col("sni")).otherwise(text(F.col("dst_addr"))).alias("authority"), "src_addr", "dst_addr", "ts_micros", F.coalesce("tls_established", F.lit(False)).alias("tls_decrypted"),
+        F.lit(True).alias("websocket"), up.alias("request_bytes"), F.create_map(F.lit("conn.outcome"), outcome, F.lit("conn.bytes_up"), up.cast("string"), F.lit("conn.bytes_down"), down.cast("string")).alias("metadata"),
+    )
+
+
 def verify_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Natural keys whose counts differ between two inputs: keys, n_left, n_right."""
     one = lambda df, side: df.select(*keys, F.lit(side).alias("__side"))
@@ -135,13 +211,40 @@ def compare_flows(flows: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.a") == F.col("r.b")).alias("equal"))
 
 
+PARAMETERS = ("method", "url", "status", "protocol", "user_agent", "ja3", "ja4", "http2_fingerprint", "tls_client_hello")
+
+
+def compare_report(flows: DataFrame, headers: DataFrame, a: str, b: str) -> DataFrame:
+    """position, parameter, a, b, equal of two flows: request line and fingerprints, then the order of header names of both sides in
+    lower case. '' and NULL are equal, and so is a status of 0. headers: as stored (flow_id, response, ord, name, value)."""
+    shown = {c: F.col(c).cast("string") for c in PARAMETERS} | {"url": url(), "status": F.when(F.coalesce("status", F.lit(0)) != 0, F.col("status").cast("string"))}
+    two = flows.filter(F.col("id").isin(a, b)).select("id", *[text(shown[c]).alias(c) for c in PARAMETERS])
+    lists = header_lists(headers.filter(F.col("flow_id").isin(a, b)))
+    order = lambda c: text(F.array_join(F.transform(c, lambda h: F.lower(h["name"])), ","))
+    rows = two.join(lists, two["id"] == lists["flow_id"], "left").select("id", *PARAMETERS, order(F.col("request_headers")).alias("request_header_order"), order(F.col("response_headers")).alias("response_header_order"))
+    names = [*PARAMETERS, "request_header_order", "response_header_order"]
+    one = rows.agg(*[text(F.max(F.when(F.col("id") == i, F.col(c)))).alias(f"{side}_{c}") for c in names for side, i in (("a", a), ("b", b))])
+    each = F.array(*[F.struct(F.lit(n).alias("position"), F.lit(c).alias("parameter"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b"), (F.col(f"a_{c}") == F.col(f"b_{c}")).alias("equal")) for n, c in enumerate(names)])
+    return one.select(F.explode(each).alias("r")).select("r.*")
+
+
+def compare_summary(report: DataFrame) -> DataFrame:
+    """differences (parameters that differ, in order), identical."""
+    different = F.array_sort(F.collect_list(F.when(~F.col("equal"), F.struct("position", "parameter"))))
+    return report.agg(F.transform(different, lambda x: x["parameter"]).alias("differences")).select("differences", (F.size("differences") == 0).alias("identical"))
+
+
 def header_order_diff(headers_a: Column, headers_b: Column) -> Column:
-    """Struct of what two header lists differ in: same (lower-case names in order), only_a, only_b, changed (names with another last value)."""
+    """Struct of what two header lists differ in: same_order (lower-case names), same_pseudo (names that begin with a colon), same_cookies
+    (names of cookies), only_a, only_b (in their order), changed (names with another last value, sorted)."""
     names = lambda h: F.transform(h, lambda x: F.lower(x["name"]))
+    pseudo = lambda h: F.filter(names(h), lambda n: n.startswith(":"))
+    pairs = lambda h: F.split(F.array_join(F.transform(F.filter(h, lambda x: F.lower(x["name"]) == "cookie"), lambda x: text(x["value"])), ";"), ";")
+    cookies = lambda h: F.filter(F.transform(pairs(h), lambda c: F.trim(F.split_part(c, F.lit("="), F.lit(1)))), lambda c: c != "")
     last = lambda h: F.aggregate(h, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != F.lower(x["name"])), F.create_map(F.lower(x["name"]), text(x["value"]))))
     a, b = names(headers_a), names(headers_b)
     changed = F.array_sort(F.filter(F.array_intersect(a, b), lambda n: F.try_element_at(last(headers_a), n) != F.try_element_at(last(headers_b), n)))
-    return F.struct((a == b).alias("same_order"), F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), changed.alias("changed"))
+    return F.struct((a == b).alias("same_order"), (pseudo(headers_a) == pseudo(headers_b)).alias("same_pseudo"), (cookies(headers_a) == cookies(headers_b)).alias("same_cookies"), F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), changed.alias("changed"))
 
 
 def reason_counts(undecoded: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from flowloom.common import text
 from flowloom.functions import flows as fx
-from flowloom.functions.regexes import check
+from flowloom.functions.regexes import PatternError, check
 from flowloom.plans import side
 from flowloom.plans.paging import MOST, timeline
 
@@ -22,19 +22,20 @@ READABLE = ("", "identity", "gzip", "x-gzip", "br", "deflate", "zstd")
 
 
 def status_ranges(spec: str) -> list[tuple[int, int]]:
-    """'401,403', '400-499', '4xx', '40x' as inclusive ranges; ValueError for anything else."""
+    """'401,403', '400-499', '4xx', '40x', with commas or spaces between, as inclusive ranges; ValueError for anything else. Empty parts don't count."""
     out = []
-    for part in (p.strip().lower() for p in spec.split(",")):
-        if re.fullmatch(r"\d{3}", part):
-            out.append((int(part), int(part)))
-        elif m := re.fullmatch(r"(\d{3})-(\d{3})", part):
-            if m.group(1) > m.group(2):
-                raise ValueError(f"empty status range {part!r}")
-            out.append((int(m.group(1)), int(m.group(2))))
-        elif re.fullmatch(r"[1-9](xx|\dx)", part):
+    for part in re.split(r"[,\s]+", spec.strip().lower()):
+        if not part:
+            continue
+        low, dash, high = part.partition("-")
+        if re.fullmatch(r"\d{3}", low) and (not dash or re.fullmatch(r"\d{3}", high)):
+            out.append((int(low), int(high or low)))
+        elif re.fullmatch(r"\d(?:xx|\dx)", part):
             out.append((int(part.replace("x", "0")), int(part.replace("x", "9"))))
         else:
             raise ValueError(f"bad status {part!r}: 404, 400-499, 4xx or 40x")
+        if out[-1][0] > out[-1][1]:
+            raise ValueError(f"empty status range {part!r}")
     return out
 
 
@@ -46,13 +47,14 @@ def in_status(spec: str, status: Column) -> Column:
 
 
 def time_micros(value: str | float, now: datetime | None = None, zone: tzinfo = UTC) -> int:
-    """Microseconds since the epoch of an ISO time, HH:MM[:SS] today, -15m (s, m, h, d), or an epoch in s, ms or us by its size."""
+    """Microseconds since the epoch of an ISO time, HH:MM[:SS] today, -15m (s, m, h, d in either case), or an epoch in s, ms or us by its
+    size. Times without an offset are in ``zone``: UTC unless the caller names its own."""
     now = now or datetime.now(zone)
     s = str(value).strip()
     if re.fullmatch(r"\d+(\.\d+)?", s):
         x = float(s)
         return int(x * 1_000_000) if x < 1e11 else int(x * 1000) if x < 1e14 else int(s.partition(".")[0])
-    if m := re.fullmatch(r"-(\d+)([smhd])", s):
+    if m := re.fullmatch(r"-\s*(\d+)\s*([smhd])", s.lower()):
         at = now - timedelta(seconds=int(m.group(1)) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[m.group(2)])
     elif m := re.fullmatch(r"(\d{1,2}):(\d{2})(?::(\d{2}))?", s):
         at = now.replace(hour=int(m.group(1)), minute=int(m.group(2)), second=int(m.group(3) or 0), microsecond=0)
@@ -118,43 +120,48 @@ def search_sessions(flows: DataFrame, sessions: DataFrame, limit: int = 50, per_
     return rows, totals
 
 
-def grep_bodies(bodies: DataFrame, pattern: str, *, key: str = "id", column: str = "bytes", max_hits: int = 5, context: int = 40) -> DataFrame:
-    """key, count, hits (array of byte_offset and text around it) of every body that matches, over its raw bytes.
+def grep_bodies(bodies: DataFrame, pattern: str, *, key: str = "id", column: str = "bytes", max_hits: int = 3, context: int = 80) -> DataFrame:
+    """key, size, count, hits (array of byte_offset and text around it) of every body, also of those without a hit (count 0).
 
+    The pattern is one of Python's ``re`` over the raw bytes, without regard to case, and is compiled before any job (PatternError).
     At most ``max_hits`` (0-50) hits of a body are shown, count is of all; ``context`` (0-2000) bytes on both
-    sides, white space collapsed. Bodies reach Python in Arrow batches, NULL bodies don't match.
+    sides, white space collapsed. Bodies reach Python in Arrow batches; a NULL body has size 0 and no hit.
     """
-    check(bodies.sparkSession, pattern)
-    shown, around = min(max(max_hits, 0), 50), min(max(context, 0), 2000)
-    kind = f"`{key}` {dict(bodies.dtypes)[key]}, count long, hits array<struct<byte_offset:long,text:string>>"
     source = pattern.encode()
+    try:
+        re.compile(source, re.I)
+    except re.error as e:
+        raise PatternError(f"bad pattern {pattern!r}: {e}") from None
+    shown, around = min(max(max_hits, 0), 50), min(max(context, 0), 2000)
+    kind = f"`{key}` {dict(bodies.dtypes)[key]}, size long, count long, hits array<struct<byte_offset:long,text:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(source, re.I)
         hit_type = pa.list_(pa.struct([("byte_offset", pa.int64()), ("text", pa.string())]))
         for batch in batches:
-            at, counts, hits = [], [], []
-            for i, body in enumerate(batch.column(1)):
-                data = body.as_py()
-                if data is None:
-                    continue
-                n, some = 0, []
+            sizes, counts, hits = [], [], []
+            for body in batch.column(1):
+                data, n, some = body.as_py() or b"", 0, []
                 for m in find.finditer(data):
                     n += 1
                     if len(some) < shown:
                         part = data[max(0, m.start() - around) : m.end() + around]
-                        some.append({"byte_offset": m.start(), "text": re.sub(r"\s+", " ", part.decode("utf-8", "replace")).strip()})
-                if n:
-                    at.append(i)
-                    counts.append(n)
-                    hits.append(some)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(counts, pa.int64()), pa.array(hits, hit_type)], names=[key, "count", "hits"])
+                        some.append({"byte_offset": m.start(), "text": re.sub(r"\s+", " ", part.decode("utf-8", "replace"))})
+                sizes.append(len(data))
+                counts.append(n)
+                hits.append(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, hit_type)], names=[key, "size", "count", "hits"])
 
     return bodies.select(key, F.col(column).cast("binary")).mapInArrow(run, kind)
 
 
+def grep_summary(found: DataFrame) -> DataFrame:
+    """count, with_hits, without_hits of what ``grep_bodies`` gave."""
+    return found.agg(F.count("*").alias("count"), F.count_if(F.col("count") > 0).alias("with_hits"), F.count_if(F.col("count") == 0).alias("without_hits"))
+
+
 def grep_counts(bodies: DataFrame, pattern: str, key: str = "id", column: str = "bytes") -> DataFrame:
-    """key, count without leaving the JVM."""
+    """key, count without leaving the JVM, for patterns of the linear-time family (``regexes``), over text."""
     return bodies.select(key, F.regexp_count(F.col(column).cast("string"), F.lit(check(bodies.sparkSession, pattern))).cast("long").alias("count")).filter("count > 0")
 
 
@@ -164,6 +171,11 @@ def unsearchable_bodies(flows: DataFrame, limit: int = 20) -> DataFrame:
     return both.filter(~F.col("encoding").isin(*READABLE)).groupBy("encoding").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "encoding").limit(limit)
 
 
+def bodies_in_files(bodies: DataFrame, column: str = "bytes") -> DataFrame:
+    """bodies_in_files: how many bodies are held by reference only, so that their bytes aren't in the table."""
+    return bodies.agg(F.count_if(F.col(column).isNull()).alias("bodies_in_files"))
+
+
 def page_timeline(page: DataFrame, cut_at: int = 120) -> DataFrame:
     """seq, id, t_ms (since the earliest positive time of the page, to 0.1), target, kind. page: rows of one page."""
     first = F.min(F.when(F.col("ts_micros") > 0, F.col("ts_micros"))).over(Window.partitionBy())
@@ -172,6 +184,25 @@ def page_timeline(page: DataFrame, cut_at: int = 120) -> DataFrame:
     return page.select(F.row_number().over(Window.orderBy(*timeline())).alias("seq"), "id", F.round((F.col("ts_micros") - first) / 1000, 1).alias("t_ms"), F.when(F.length(target) > cut_at, F.concat(F.substring(target, 1, cut_at), F.lit("…"))).otherwise(target).alias("target"), kind.alias("kind"))
 
 
+OVERVIEW_CONNECTIONS, OVERVIEW_HOSTS = 2000, 15
+
+
+def session_overview(flows: DataFrame, undecoded: DataFrame, tables: side.SideTables | None = None) -> DataFrame:
+    """section, name, n, bytes, reasons: what a session holds (flows, hidden flows), what of it could not be decoded (by reason), and the
+    hosts with most bytes among the ``OVERVIEW_CONNECTIONS`` largest undecoded connections, with their reasons."""
+    from flowloom.operators.flow_joins import host_rollup
+
+    h = side.one_metadata(flows.select("id", "protocol"), tables.metadata if tables else None, "conn.outcome")
+    away = fx.hidden(F.col("protocol"), F.col("conn_outcome"))
+    row = lambda df, section, name, n, size=F.lit(None), reasons=F.lit(""): df.select(F.lit(section).alias("section"), name.alias("name"), n.cast("long").alias("n"), size.cast("long").alias("bytes"), reasons.alias("reasons"))
+    counts = h.agg(F.count("*").alias("flows"), F.count_if(away).alias("hidden"))
+    both = counts.select(F.explode(F.array(F.struct(F.lit("shown and hidden").alias("k"), F.col("flows").alias("n")), F.struct(F.lit("hidden").alias("k"), F.col("hidden").alias("n")))).alias("x")).select("x.*")
+    largest = undecoded.orderBy((F.col("bytes_up") + F.col("bytes_down")).desc(), "first_ts", "connection_id").limit(OVERVIEW_CONNECTIONS)
+    hosts = host_rollup(largest, OVERVIEW_HOSTS)
+    reasons = undecoded.groupBy("reason").agg(F.count("*").alias("n"))
+    return row(both, "flows", F.col("k"), F.col("n")).unionByName(row(reasons, "undecoded", F.col("reason"), F.col("n"))).unionByName(row(hosts, "hosts", F.col("host"), F.col("connections"), F.col("bytes"), F.col("reasons")))
+
+
 def gateway_status(sessions: DataFrame) -> DataFrame:
     """status, n, flows, pcap_bytes, keylog_bytes."""
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
@@ -213,30 +244,33 @@ def advice(expression: str, matched: int, hidden_matched: int, scanned: int, cap
 
 
 def pretty_body(body: bytes | None, content_type: str | None, width: int = 16, most: int = 65_536) -> str:
-    """A body to read: JSON indented, forms one field a line, other text as it is, anything else as a hex dump."""
+    """A body to read: JSON indented, forms one field a line, other text as it is, all of it; anything else as a hex dump, whose first
+    ``most`` bytes are shown with a last line that tells how many follow."""
     import json
     from urllib.parse import parse_qsl
 
     if not body:
         return ""
-    kind, part = (content_type or "").split(";")[0].strip().lower(), body[:most]
+    kind = (content_type or "").split(";")[0].strip().lower()
     try:
-        shown = part.decode("utf-8")
+        shown = body.decode("utf-8")
     except UnicodeDecodeError:
         shown = None
-    if shown is not None and (kind.endswith("json") or shown.lstrip()[:1] in ("{", "[")) and len(body) <= most:
+    if shown is not None and (kind.endswith("json") or shown.lstrip()[:1] in ("{", "[")):
         try:
             return json.dumps(json.loads(shown), indent=2, ensure_ascii=False)
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
     if shown is not None and kind == "application/x-www-form-urlencoded":
         return "\n".join(f"{k} = {v}" for k, v in parse_qsl(shown, keep_blank_values=True))
     if shown is not None and not re.search(r"[\x00-\x08\x0e-\x1f]", shown):
         return shown
     lines = []
-    for at in range(0, len(part), width):
-        row = part[at : at + width]
+    for at in range(0, min(len(body), most), width):
+        row = body[at : at + width]
         lines.append(f"{at:08x}  {row.hex(' '):<{3 * width}} {''.join(chr(b) if 32 <= b < 127 else '.' for b in row)}")
+    if len(body) > most:
+        lines.append(f"{len(body) - most} more bytes")
     return "\n".join(lines)
 
 

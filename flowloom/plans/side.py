@@ -57,6 +57,16 @@ def metadata_map(rows: DataFrame, record: str = "record_id", order: str | None =
     return last.groupBy("record_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("metadata"))
 
 
+def one_metadata(rows: DataFrame, metadata: DataFrame | None, key: str) -> DataFrame:
+    """rows (with id) and the value of one metadata key (the greatest, as ``metadata_map``), in a column named like the key with _ for
+    dots. Only rows of the key are aggregated and joined."""
+    name = key.replace(".", "_")
+    if metadata is None:
+        return rows.withColumn(name, F.lit(None).cast("string"))
+    last = metadata.filter(F.col("key") == key).groupBy(F.col("record_id").alias("__record")).agg(F.max("value").alias(name))
+    return rows.join(last, rows["id"] == last["__record"], "left").drop("__record")
+
+
 def tag_texts(record_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """record_id, tag_ids, tag_text (names in order of id, the id where it has no name), favorite."""
     named = record_tags.select("record_id", "tag_id").distinct().join(tags.select(F.col("id").alias("tag_id"), "name", "is_favorite"), "tag_id", "left")

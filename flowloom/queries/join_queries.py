@@ -117,21 +117,25 @@ SQL["F10_foreign"] = f"{_W}, p AS (SELECT ts_micros, {_PAIR} AS pair FROM u) SEL
 
 def F11_live_minus_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = a.flows(spark, sf_dir).select("id", "ts_micros")
-    return f.join(f.filter("ts_micros % 3 = 0").select("id"), "id", "left_anti").select("id")
+    return j.not_stored(f, f.filter("ts_micros % 3 = 0")).select("id")
 
 
 SQL["F11_live_minus_stored"] = f"{_W} SELECT id FROM u WHERE ts_micros % 3 <> 0"
 
 
 def F12_asof_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = a.flows(spark, sf_dir).withColumn("client", fx.address_host(F.col("src_addr")))
-    names = f.filter("protocol = 'DNS' AND authority <> ''").select("client", "ts_micros", F.col("authority").alias("name"))
-    return j.asof_join(f.select("id", "client", "ts_micros"), names, ["client"], "ts_micros", "ts_micros", ["name"], 3_600_000_000).select("id", F.coalesce("name", F.lit("")).alias("name"))
+    """The name that lookups gave the peer's address before a connection opened; a lookup's answer is the address it was sent to."""
+    f = a.flows(spark, sf_dir).withColumn("address", fx.address_host(F.col("dst_addr")))
+    answers = f.filter("protocol = 'DNS' AND authority <> ''").select("address", "ts_micros", F.col("authority").alias("name"))
+    named = j.names_of_addresses(f.select("id", "address", "ts_micros"), answers)
+    return named.select("id", F.coalesce("name", F.lit("")).alias("name"), F.array_join("candidates", ",").alias("candidates"))
 
 
-SQL["F12_asof_names"] = rf"""{_W}, f AS (SELECT id, ts_micros, protocol, authority, regexp_replace(regexp_replace(coalesce(src_addr, ''), ':(\d+)$', ''), '^\[|\]$', '', 'g') AS client FROM u),
-n AS (SELECT client, ts_micros, max(authority) AS name FROM f WHERE protocol = 'DNS' AND authority <> '' GROUP BY ALL)
-SELECT f.id, coalesce(n.name, '') AS name FROM f ASOF LEFT JOIN n ON f.client = n.client AND f.ts_micros >= n.ts_micros"""
+SQL["F12_asof_names"] = rf"""{_W}, f AS (SELECT id, ts_micros, protocol, authority, regexp_replace(regexp_replace(coalesce(dst_addr, ''), ':(\d+)$', ''), '^\[|\]$', '', 'g') AS address FROM u),
+k AS (SELECT DISTINCT address, ts_micros, authority AS name FROM f WHERE protocol = 'DNS' AND authority <> ''),
+h AS (SELECT *, list(name) OVER (PARTITION BY address ORDER BY ts_micros, name ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS names FROM k),
+n AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY address, ts_micros ORDER BY name DESC) = 1)
+SELECT f.id, coalesce(n.name, '') AS name, coalesce(array_to_string(list_sort(list_distinct(list_filter(n.names, lambda x: x <> n.name))), ','), '') AS candidates FROM f ASOF LEFT JOIN n ON f.address = n.address AND f.ts_micros >= n.ts_micros"""
 
 
 def F13_fifo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +161,16 @@ def F14_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.classify(a.flows(spark, sf_dir), _rules(spark, sf_dir))
 
 
-I19_fingerprint_score = F14_classify
+def I19_fingerprint_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return j.rule_scores(_rules(spark, sf_dir))
+
+
 SQL["F14_classify"] = rf"""{_W}, top AS (SELECT trim(ja4) AS ja4, count(*) AS n FROM flows WHERE ja4 <> '' GROUP BY trim(ja4) ORDER BY n DESC, ja4 LIMIT 8),
 r AS (SELECT 'exact ' || ja4 AS label, 1 AS o, ja4, '' AS pre, '' AS sni FROM top UNION ALL SELECT * FROM (VALUES ('quic', 2, '', 'q13d', ''), ('tls13 pair', 3, '', 't13d13', ''), ('market', 4, '', 't13d', 'api.quillmarket.example'), ('by name', 5, '', '', 'api.bepezi.example')) AS t(label, o, ja4, pre, sni)),
 m AS (SELECT u.id, label, o, sni <> '' AS named, CASE WHEN r.ja4 <> '' THEN 1100 ELSE 0 END + CASE WHEN pre <> '' THEN 1070 ELSE 0 END AS score FROM u JOIN r ON (r.ja4 <> '' OR pre <> '') AND (coalesce(u.ja4, '') <> '' OR coalesce(u.ja3, '') <> '') AND (r.ja4 = '' OR r.ja4 = coalesce(u.ja4, '')) AND (pre = '' OR starts_with(coalesce(u.ja4, ''), pre)) AND (sni = '' OR sni = lower(regexp_replace(coalesce(u.authority, ''), ':\d+$', ''))))
 SELECT id, arg_max(label, (score, named, o)) AS label FROM m GROUP BY id"""
-SQL["I19_fingerprint_score"] = SQL["F14_classify"]
+SQL["I19_fingerprint_score"] = """WITH top AS (SELECT trim(ja4) AS ja4, count(*) AS n FROM flows WHERE ja4 <> '' GROUP BY trim(ja4) ORDER BY n DESC, ja4 LIMIT 8)
+SELECT 'exact ' || ja4 AS label, 1 AS load_order, 1100 AS score FROM top UNION ALL SELECT * FROM (VALUES ('quic', 2, 1070), ('tls13 pair', 3, 1070), ('market', 4, 1070)) AS t(label, load_order, score)"""
 
 
 def F15_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +178,12 @@ def F15_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.verify_counts(f, f.filter("ts_micros % 5 <> 0"), ["method", "authority", "path"])
 
 
-G8_natural_keys = F15_verify
+def G8_natural_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return j.natural_key_counts(a.flows(spark, sf_dir))
+
+
 SQL["F15_verify"] = f"{_W} SELECT method, authority, path, count(*) AS n_left, count(*) FILTER (WHERE ts_micros % 5 <> 0) AS n_right FROM u GROUP BY ALL HAVING n_left <> n_right"
-SQL["G8_natural_keys"] = SQL["F15_verify"]
+SQL["G8_natural_keys"] = f"{_W} SELECT coalesce(method, '') AS method, coalesce(authority, '') AS authority, coalesce(path, '') AS path, count(*) AS n FROM u GROUP BY ALL"
 
 
 def F16_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +194,21 @@ def F16_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CMP = " UNION ALL ".join(f"SELECT '{c}' AS parameter, (SELECT coalesce(CAST({e} AS VARCHAR), '') FROM t WHERE n = 1) AS a, (SELECT coalesce(CAST({e} AS VARCHAR), '') FROM t WHERE n = 2) AS b" for c, e in [(c, {"tls_client_hello": "''", "tls_hrr": "false"}.get(c, c)) for c in j.COMPARED])
 SQL["F16_compare"] = f"{_W}, t AS (SELECT *, row_number() OVER (ORDER BY ts_micros, coalesce(frame_number, 0), id) AS n FROM u) SELECT *, a = b AS equal FROM ({_CMP})"
-M1_compare_flows = F16_compare
-SQL["M1_compare_flows"] = SQL["F16_compare"]
+def M1_compare_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two flows of the timeline that have headers, in full; ``identical`` is the report's verdict."""
+    f, h = a.flows(spark, sf_dir), load(spark, sf_dir, "flow_headers")
+    f = f.withColumn("tls_client_hello", F.lit(""))
+    ids = [r.id for r in f.join(h.select(F.col("flow_id").alias("id")).distinct(), "id", "left_semi").orderBy(*paging.timeline()).select("id").limit(2).collect()]
+    report = j.compare_report(f, h, *ids)
+    summary = j.compare_summary(report)
+    return report.crossJoin(F.broadcast(summary)).select("position", "parameter", "a", "b", "equal", F.array_join("differences", ",").alias("differences"), "identical")  # one row of summary
+
+
+_M1 = {"url": "url", "status": "CASE WHEN coalesce(status, 0) <> 0 THEN CAST(status AS VARCHAR) END", "tls_client_hello": "''", "request_header_order": "ro", "response_header_order": "so"}
+_M1_ROWS = " UNION ALL ".join(f"SELECT {n} AS position, '{c}' AS parameter, (SELECT coalesce({_M1.get(c, c)}, '') FROM t WHERE n = 1) AS a, (SELECT coalesce({_M1.get(c, c)}, '') FROM t WHERE n = 2) AS b" for n, c in enumerate([*j.PARAMETERS, "request_header_order", "response_header_order"]))
+SQL["M1_compare_flows"] = f"""{_WS}, o AS (SELECT flow_id, string_agg(CASE WHEN response = 0 THEN lower(name) END, ',' ORDER BY ord, name, value) AS ro, string_agg(CASE WHEN response = 1 THEN lower(name) END, ',' ORDER BY ord, name, value) AS so FROM hd GROUP BY flow_id),
+t AS (SELECT u.*, o.ro, o.so, row_number() OVER (ORDER BY ts_micros, coalesce(frame_number, 0), id) AS n FROM u JOIN o ON o.flow_id = u.id), r AS ({_M1_ROWS})
+SELECT position, parameter, a, b, a = b AS equal, (SELECT coalesce(string_agg(parameter, ',' ORDER BY position), '') FROM r WHERE a <> b) AS differences, (SELECT bool_and(a = b) FROM r) AS identical FROM r"""
 
 
 def G1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +237,7 @@ SQL["G4_by_reason"] = f"{_U} SELECT reason, count(*) AS n FROM und GROUP BY reas
 
 def G5_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conn.undecoded.* and undecoded.* counters of sessions under one prefix, numbers only, zeros left out."""
-    m = load(spark, sf_dir, "session_metadata").select("session_id", F.regexp_extract("key", r"^(?:conn\.)?undecoded\.(.+)$", 1).alias("outcome"), "value")
-    return m.filter((F.col("outcome") != "") & F.col("value").rlike(r"^[0-9]*[1-9][0-9]*$")).groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+    return j.outcome_totals(load(spark, sf_dir, "session_metadata"))
 
 
 SQL["G5_outcomes"] = r"SELECT regexp_extract(key, '^(?:conn\.)?undecoded\.(.+)$', 1) AS outcome, count(*) AS n, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS total FROM session_metadata WHERE regexp_matches(key, '^(conn\.)?undecoded\..+$') AND regexp_matches(value, '^[0-9]*[1-9][0-9]*$') GROUP BY ALL"
@@ -225,24 +248,40 @@ def G6_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.connection_tally(m.select(F.col("flow_id").alias("connection_id"), "from_client", F.length("payload").alias("size"), "ts_micros"))
 
 
-A12_stream_records = G6_tally
+def A12_stream_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw stream for every user of the event table, its events the bytes that went by."""
+    m = a.messages(spark, sf_dir)
+    base = m.groupBy(F.col("flow_id").alias("id")).agg(F.min("ts_micros").alias("ts_micros")).withColumn("n", F.substring("id", 2, 20).cast("long"))
+    streams = base.select("id", "ts_micros", F.when(F.col("n") % 3 == 0, "udp").otherwise("tcp").alias("transport"), F.lit("10.0.0.2:5000").alias("src_addr"), F.concat(F.lit("192.0.2.1:"), F.col("n").cast("string")).alias("dst_addr"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("h"), F.col("n").cast("string"), F.lit(".example"))).alias("sni"), (F.col("n") % 5 == 0).alias("tls_established"))
+    flows = j.stream_flows(streams, m)
+    meta = lambda k: F.col("metadata")[k]
+    return flows.select("id", "protocol", "authority", "tls_decrypted", "request_bytes", meta("conn.outcome").alias("outcome"), meta("conn.bytes_up").alias("bytes_up"), meta("conn.bytes_down").alias("bytes_down"))
+
+
 SQL["G6_tally"] = f"WITH {a.SQL_MESSAGES} SELECT flow_id AS connection_id, CAST(coalesce(sum(length(payload)) FILTER (WHERE from_client), 0) AS BIGINT) AS bytes_up, CAST(coalesce(sum(length(payload)) FILTER (WHERE NOT from_client), 0) AS BIGINT) AS bytes_down, min(ts_micros) AS first_ts, max(ts_micros) AS last_ts FROM msg GROUP BY flow_id"
-SQL["A12_stream_records"] = SQL["G6_tally"]
+SQL["A12_stream_records"] = f"""WITH {a.SQL_MESSAGES}, s AS (SELECT flow_id AS id, CAST(substr(flow_id, 2) AS BIGINT) AS n, CAST(coalesce(sum(length(payload)) FILTER (WHERE from_client), 0) AS BIGINT) AS up, CAST(coalesce(sum(length(payload)) FILTER (WHERE NOT from_client), 0) AS BIGINT) AS down FROM msg GROUP BY flow_id)
+SELECT id, CASE WHEN n % 3 = 0 THEN 'UDP' ELSE 'TCP' END AS protocol, CASE WHEN n % 2 = 0 THEN 'h' || n || '.example' ELSE '192.0.2.1:' || n END AS authority, n % 5 = 0 AS tls_decrypted, up AS request_bytes, CASE WHEN n % 3 = 0 THEN 'udp_undecoded' ELSE 'tcp_passthrough' END AS outcome, CAST(up AS VARCHAR) AS bytes_up, CAST(down AS VARCHAR) AS bytes_down FROM s"""
 
 
 def G7_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.host_rollup(a.undecoded(spark, sf_dir))
 
 
-E11_overview = G7_hosts
+def E11_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = a.flows(spark, sf_dir)
+    return search.session_overview(f, a.undecoded(spark, sf_dir), a.tables(spark, sf_dir, f))
+
+
 SQL["G7_hosts"] = f"{_U} SELECT coalesce(nullif(sni, ''), server) AS host, count(*) AS connections, CAST(sum(bytes_up + bytes_down) AS BIGINT) AS bytes, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM und GROUP BY 1 ORDER BY bytes DESC, host LIMIT 15"
-SQL["E11_overview"] = SQL["G7_hosts"]
+SQL["E11_overview"] = f"""{_U}, big AS (SELECT * FROM und ORDER BY bytes_up + bytes_down DESC, first_ts, connection_id LIMIT 2000)
+SELECT 'flows' AS section, 'shown and hidden' AS name, count(*) AS n, NULL AS bytes, '' AS reasons FROM cur UNION ALL SELECT 'flows', 'hidden', count(*) FILTER (WHERE coalesce(protocol = 'DNS', false) OR ts_micros % 37 = 0), NULL, '' FROM cur
+UNION ALL SELECT 'undecoded', reason, count(*), NULL, '' FROM und GROUP BY reason
+UNION ALL (SELECT 'hosts', coalesce(nullif(sni, ''), server), count(*), CAST(sum(bytes_up + bytes_down) AS BIGINT), string_agg(DISTINCT reason, ',' ORDER BY reason) FROM big GROUP BY 2 ORDER BY 4 DESC, 2 LIMIT 15)"""
 
 
 def G9_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = a.flows(spark, sf_dir)
-    m = fx.has_response(F.col("status"))
-    return f.agg(F.count("*").alias("scanned"), F.count_if(m).alias("matched"), F.count_if(m & (F.col("protocol") == "DNS")).alias("hidden_matched"))
+    return j.scan_counters(f, fx.has_response(F.col("status")), F.col("protocol") == "DNS")
 
 
 SQL["G9_counters"] = f"{_W} SELECT count(*) AS scanned, count(*) FILTER (WHERE coalesce(status, 0) <> 0) AS matched, count(*) FILTER (WHERE coalesce(status, 0) <> 0 AND protocol = 'DNS') AS hidden_matched FROM u"
@@ -255,13 +294,23 @@ def G10_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["G10_blobs"] = "SELECT sha256(text) AS sha256, CAST(max(octet_length(encode(text))) AS INTEGER) AS size, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1"
 
 
-def E1_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grepped(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("bytes"))
-    g = search.grep_bodies(b, r"memory|kernel", max_hits=1)
-    return g.select("id", "count", F.col("hits")[0]["byte_offset"].alias("first_offset"))
+    return search.grep_bodies(b, r"memory|kernel", max_hits=1)
+
+
+def E1_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grepped(spark, sf_dir).select("id", "size", "count", F.coalesce(F.get("hits", F.lit(0))["byte_offset"], F.lit(-1)).alias("first_offset"))
+
+
+SQL["E1_grep"] = "SELECT doc_id AS id, coalesce(octet_length(encode(text)), 0) AS size, coalesce(len(regexp_extract_all(text, 'memory|kernel', 0, 'i')), 0) AS count, CASE WHEN regexp_matches(coalesce(text, ''), 'memory|kernel', 'i') THEN octet_length(encode(regexp_extract(text, '^((?s).*?)(?:memory|kernel)', 1, 'i'))) ELSE -1 END AS first_offset FROM documents"
 
 
-SQL["E1_grep"] = "SELECT doc_id AS id, len(regexp_extract_all(text, 'memory|kernel', 0, 'i')) AS count, octet_length(encode(regexp_extract(text, '^((?s).*?)(?:memory|kernel)', 1, 'i'))) AS first_offset FROM documents WHERE regexp_matches(text, 'memory|kernel', 'i')"
+def E1_grep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.grep_summary(_grepped(spark, sf_dir))
+
+
+SQL["E1_grep_summary"] = "SELECT count(*) AS count, count(*) FILTER (WHERE m) AS with_hits, count(*) FILTER (WHERE NOT m) AS without_hits FROM (SELECT regexp_matches(coalesce(text, ''), 'memory|kernel', 'i') AS m FROM documents)"
 
 
 def E1_grep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +352,16 @@ def E5_cross_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["E5_cross_session"] = f"{_W} SELECT session_id, count(*) AS total FROM u WHERE contains(lower(authority), 'quill') GROUP BY ALL"
 
 
+def E5_session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows shown: newest session first, at most three of each."""
+    rows = search.search_sessions(a.flows(spark, sf_dir), load(spark, sf_dir, "sessions"), limit=40, per_session=3, host="quill")[0]
+    return rows.select("session_id", "id")
+
+
+SQL["E5_session_rows"] = f"""{_W}, s AS (SELECT DISTINCT id, created_at FROM sessions), f AS (SELECT u.session_id, u.id, s.created_at, ts_micros, coalesce(frame_number, 0) AS fn, row_number() OVER (PARTITION BY session_id ORDER BY ts_micros, coalesce(frame_number, 0), u.id) AS n FROM u JOIN s ON s.id = u.session_id WHERE contains(lower(authority), 'quill'))
+SELECT session_id, id FROM f WHERE n <= 3 ORDER BY created_at DESC, session_id, ts_micros, fn, id LIMIT 40"""
+
+
 def E6_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "flows").filter("user_agent <> ''").select(fx.snippet(F.col("user_agent"), "MOBILE", 8).alias("snippet")).filter("snippet IS NOT NULL").distinct()
 
@@ -331,7 +390,7 @@ SQL["E8_unsearchable"] = "WITH e AS (SELECT lower(trim(coalesce(req_content_enco
 
 
 def E9_file_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").agg(F.count_if(F.col("text").isNull()).alias("bodies_in_files"))
+    return search.bodies_in_files(load(spark, sf_dir, "documents").select(F.col("text").alias("bytes")))
 
 
 SQL["E9_file_bodies"] = "SELECT count(*) FILTER (WHERE text IS NULL) AS bodies_in_files FROM documents"
@@ -372,6 +431,12 @@ def M3_http2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "flows").filter("http2_fingerprint <> ''").select("http2_fingerprint", fx.http2_fingerprint_text(F.col("http2_fingerprint")).alias("shown")).distinct()
 
 
+SQL["M3_http2_text"] = r"""
+WITH f AS (SELECT DISTINCT http2_fingerprint AS x FROM flows WHERE http2_fingerprint <> ''), p AS (SELECT x, string_split(x, '|') AS p FROM f)
+SELECT x AS http2_fingerprint, CASE WHEN len(p) <> 4 THEN '' ELSE array_to_string(list_transform(list_filter(string_split(p[1], ';'), lambda y: y <> ''), lambda y: CASE split_part(y, ':', 1) WHEN '1' THEN 'HEADER_TABLE_SIZE' WHEN '2' THEN 'ENABLE_PUSH' WHEN '3' THEN 'MAX_CONCURRENT_STREAMS' WHEN '4' THEN 'INITIAL_WINDOW_SIZE' WHEN '5' THEN 'MAX_FRAME_SIZE' WHEN '6' THEN 'MAX_HEADER_LIST_SIZE' WHEN '8' THEN 'ENABLE_CONNECT_PROTOCOL' WHEN '9' THEN 'NO_RFC7540_PRIORITIES' ELSE 'SETTING_' || split_part(y, ':', 1) END || '=' || split_part(y, ':', 2)), ', ')
+ || '; window +' || p[2] || '; priority ' || p[3] || '; ' || array_to_string(list_transform(list_filter(string_split(p[4], ','), lambda y: y <> ''), lambda y: CASE y WHEN 'm' THEN ':method' WHEN 'a' THEN ':authority' WHEN 's' THEN ':scheme' WHEN 'p' THEN ':path' ELSE y END), ' ') END AS shown FROM p"""
+
+
 def M4_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.flows(spark, sf_dir).select("id", fx.format_duration(F.col("duration_micros")).alias("took"), fx.format_bytes(F.col("request_bytes")).alias("size"), fx.status_class(F.col("status")).alias("class"))
 
@@ -386,13 +451,34 @@ def M5_capture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.flows(spark, sf_dir).select("id", fx.capture_filter(F.col("src_addr"), F.col("dst_addr"), F.col("protocol")).alias("display_filter"))
 
 
+_END = lambda c: rf"""CASE WHEN coalesce({c}, '') = '' THEN NULL ELSE CASE WHEN contains(regexp_replace(regexp_replace({c}, ':(\d+)$', ''), '^\[|\]$', '', 'g'), ':') THEN 'ipv6' ELSE 'ip' END || '.addr == ' || regexp_replace(regexp_replace({c}, ':(\d+)$', ''), '^\[|\]$', '', 'g') || CASE WHEN regexp_matches({c}, ':(\d+)$') THEN ' && ' || CASE WHEN protocol IN ('HTTP/3', 'DNS') THEN 'udp' ELSE 'tcp' END || '.port == ' || regexp_extract({c}, ':(\d+)$', 1) ELSE '' END END"""
+SQL["M5_capture_filter"] = f"{_W} SELECT id, concat_ws(' && ', {_END('src_addr')}, {_END('dst_addr')}) AS display_filter FROM u"
+
+
 def M6_curl(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = side.header_lists(load(spark, sf_dir, "flow_headers"))
     f = a.flows(spark, sf_dir)
     return f.join(h, f["id"] == h["flow_id"]).select("id", fx.curl(F.col("method"), fx.url(), F.col("request_headers")).alias("command"), fx.raw_request(F.col("method"), F.col("path"), F.col("query"), F.col("authority"), F.col("request_headers")).alias("raw"))
 
 
-A20_export_texts = M6_curl
+_QUOTE = "chr(39) || replace({0}, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39)"
+_HL = "hl AS (SELECT flow_id, list({name: name, value: value} ORDER BY ord, name, value) FILTER (WHERE response = 0) AS q, list({name: name, value: value} ORDER BY ord, name, value) FILTER (WHERE response = 1) AS r FROM hd GROUP BY flow_id)"
+_LINES = "coalesce(array_to_string(list_transform(list_filter({0}, lambda h: NOT starts_with(h.name, ':')), lambda h: h.name || ': ' || h.value), chr(13) || chr(10)), '')"
+_TAIL = "CASE WHEN len(list_filter(coalesce({0}, []), lambda h: NOT starts_with(h.name, ':'))) > 0 THEN chr(13) || chr(10) ELSE '' END || chr(13) || chr(10)"
+SQL["M6_curl"] = f"""{_WS}, {_HL}
+SELECT id, concat_ws(' ', 'curl', CASE WHEN coalesce(method, '') NOT IN ('', 'GET') THEN '-X ' || method END, {_QUOTE.format("url")}, nullif(array_to_string(list_transform(list_filter(coalesce(q, []), lambda h: NOT starts_with(h.name, ':') AND lower(h.name) <> 'content-length'), lambda h: '-H ' || {_QUOTE.format("h.name || ': ' || h.value")}), ' '), '')) AS command,
+concat_ws(' ', method, CASE WHEN coalesce(path, '') = '' THEN '/' ELSE path END || CASE WHEN coalesce(query, '') = '' THEN '' ELSE '?' || query END, 'HTTP/1.1') || chr(13) || chr(10) || CASE WHEN coalesce(authority, '') = '' OR len(list_filter(coalesce(q, []), lambda h: lower(h.name) = 'host')) > 0 THEN '' ELSE 'host: ' || authority || chr(13) || chr(10) END || {_LINES.format("q")} || {_TAIL.format("q")} AS raw
+FROM u JOIN hl ON flow_id = id"""
+
+
+def A20_export_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is saved of an answer: its head as text, and the display filter of its connection."""
+    h = side.header_lists(load(spark, sf_dir, "flow_headers"))
+    f = a.flows(spark, sf_dir)
+    return f.join(h, f["id"] == h["flow_id"]).filter("status <> 0").select("id", fx.raw_response(F.col("status"), F.col("response_headers")).alias("raw"), fx.capture_filter(F.col("src_addr"), F.col("dst_addr"), F.col("protocol")).alias("display_filter"))
+
+
+SQL["A20_export_texts"] = f"""{_WS}, {_HL} SELECT id, 'HTTP/1.1 ' || status || chr(13) || chr(10) || {_LINES.format("r")} || {_TAIL.format("r")} AS raw, concat_ws(' && ', {_END('src_addr')}, {_END('dst_addr')}) AS display_filter FROM u JOIN hl ON flow_id = id WHERE status <> 0"""
 
 
 def M7_display_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +493,17 @@ def M2_header_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = side.header_lists(load(spark, sf_dir, "flow_headers")).select("flow_id", "request_headers")
     f = a.flows(spark, sf_dir).select("id", "session_id", "ts_micros", "frame_number")
     rows = f.join(h, f["id"] == h["flow_id"]).withColumn("next_headers", F.lead("request_headers").over(Window.partitionBy("session_id").orderBy(*paging.timeline())))
-    return rows.filter("next_headers IS NOT NULL").select("id", j.header_order_diff(F.col("request_headers"), F.col("next_headers")).alias("d")).select("id", "d.same_order", F.array_join("d.only_a", ",").alias("only_a"), F.array_join("d.only_b", ",").alias("only_b"), F.array_join("d.changed", ",").alias("changed"))
+    return rows.filter("next_headers IS NOT NULL").select("id", j.header_order_diff(F.col("request_headers"), F.col("next_headers")).alias("d")).select("id", "d.same_order", "d.same_pseudo", "d.same_cookies", F.array_join(F.array_sort("d.only_a"), ",").alias("only_a"), F.array_join(F.array_sort("d.only_b"), ",").alias("only_b"), F.array_join("d.changed", ",").alias("changed"))
+
+
+SQL["M2_header_diff"] = f"""{_WS}, l AS (SELECT flow_id, list(lower(name) ORDER BY ord, name, value) AS n, list(CASE WHEN lower(name) = 'cookie' THEN value END ORDER BY ord, name, value) AS c FROM hd WHERE response = 0 GROUP BY flow_id),
+x AS (SELECT flow_id, n, list_filter(list_transform(string_split(array_to_string(list_filter(c, lambda v: v IS NOT NULL), ';'), ';'), lambda v: trim(split_part(v, '=', 1))), lambda v: v <> '') AS c FROM l),
+every AS (SELECT DISTINCT flow_id FROM hd),
+o AS (SELECT u.id, lead(every.flow_id) OVER (PARTITION BY session_id ORDER BY ts_micros, coalesce(frame_number, 0), id) AS b FROM u JOIN every ON every.flow_id = u.id),
+v AS (SELECT flow_id, lower(name) AS name, arg_max(value, (ord, name, value)) AS value FROM hd WHERE response = 0 GROUP BY ALL),
+d AS (SELECT o.id, string_agg(v.name, ',' ORDER BY v.name) AS changed FROM o JOIN v ON v.flow_id = o.id JOIN v w ON w.flow_id = o.b AND w.name = v.name AND w.value <> v.value GROUP BY o.id),
+p AS (SELECT o.id, coalesce(x.n, []) AS a, coalesce(y.n, []) AS b, coalesce(x.c, []) AS ca, coalesce(y.c, []) AS cb FROM o LEFT JOIN x ON x.flow_id = o.id LEFT JOIN x y ON y.flow_id = o.b WHERE o.b IS NOT NULL)
+SELECT p.id, a = b AS same_order, list_filter(a, lambda q: starts_with(q, ':')) = list_filter(b, lambda q: starts_with(q, ':')) AS same_pseudo, ca = cb AS same_cookies, array_to_string(list_sort(list_distinct(list_filter(a, lambda q: NOT list_contains(b, q)))), ',') AS only_a, array_to_string(list_sort(list_distinct(list_filter(b, lambda q: NOT list_contains(a, q)))), ',') AS only_b, coalesce(changed, '') AS changed FROM p LEFT JOIN d ON d.id = p.id"""
 
 
 def M8_pretty_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

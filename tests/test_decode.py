@@ -163,11 +163,16 @@ def test_framed_protocol_and_registry():
     for bad in (b"\xdd\xff\xff\xff\xff", b"\xc1", b""):
         with pytest.raises(ValueError):
             protocols.msgpack(bad)
-    s = protocols.FramedSession({7: "hello"})
-    head = lambda cmd, n: struct.pack(">BBH", 1, 0, cmd) + b"\0\0\5" + n.to_bytes(3, "big")
-    data = head(7, 4) + b"\x81\xa1a\x01" + head(9, 0) + head(1, 2) + b"\xc1\xc1"
-    got = s.feed(True, data[:6]) + s.feed(True, data[6:])
-    assert [(d.opcode, d.payload) for d in got] == [("hello(7)", '{"a": 1}'), ("cmd9", '"[empty / ack]"'), ("cmd1", '{"raw": "wcE="}')]
+    zstd = __import__("zstandard").ZstdCompressor().compress(b"\x81\xa1a\x02")
+    frame = lambda cmd, op, body, comp=0, seq=7: struct.pack(">BBHHB", 10, cmd, seq, op, comp) + len(body).to_bytes(3, "big") + body
+    s = protocols.FramedSession({19: "hello"})
+    data = frame(1, 19, b"\x81\xa1a\x01") + frame(9, 0xF001, b"") + frame(0, 6, zstd, 0xFF) + frame(2, 6, b"\x44abcd", 1) + frame(3, 1, b"\xc1\xc1", 0, 4864) + frame(3, 1, b"\xc1", 0xFF)
+    got = s.feed(True, data[:6]) + s.feed(True, data[6:17]) + s.feed(True, data[17:]) + s.feed(False, frame(1, 19, b"\xa1b", 0, 8))
+    assert [(d.opcode, d.metadata["opcode"], d.metadata["seq"], d.metadata["ver"], d.payload) for d in got] == [
+        ("Response(1)", "hello(19)", "7", "10", '{"a": 1}'), ("cmd9", "op0xf001", "7", "10", '"[empty / ack]"'), ("Request(0)", "op0x6", "7", "10", '{"a": 2}'),
+        ("Push(2)", "op0x6", "7", "10", '{"raw": "YWJjZA=="}'), ("Error(3)", "op0x1", "4864", "10", '{"raw": "wcE="}'), ("Error(3)", "op0x1", "7", "10", '{"raw": "wQ=="}'), ("Response(1)", "hello(19)", "8", "10", '"b"'),
+    ]
+    assert [d.from_client for d in got] == [True] * 6 + [False]
     r = protocols.Registry()
     r.register("b", lambda m: True, protocols.FramedSession)
     r.register("a", lambda m: m.port == 1, protocols.FramedSession)

@@ -38,9 +38,9 @@ def test_session_course():
 
 
 def test_custom_decoder_in_a_capture(spark, tmp_path):
-    frame = b"\1\0\0\7\0\0\5\0\0\4\x81\xa1a\x01"
+    frame = b"\1\2\0\7\0\5\0\0\0\4\x81\xa1a\x01"
     (tmp_path / "one.pcap").write_bytes(pcap([tcp(C, S, 1, frame[:7]), tcp(C, S, 8, frame[7:]), tcp(S, C, 9, frame)]))
     r = Registry()
     r.register("framed", lambda m: m.port == 80, FramedSession)
     row = decode_capture(read_segments(spark, str(tmp_path)), registry=r).first()
-    assert row.protocol == "framed" and [(m.from_client, m.opcode) for m in row.messages] == [(True, "cmd7"), (False, "cmd7")]
+    assert row.protocol == "framed" and [(m.from_client, m.opcode) for m in row.messages] == [(True, "Push(2)"), (False, "Push(2)")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,21 @@ def utc_day(micros: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder where it names one, a local one only where that setting is absent."""
+    """The cluster's shared folder where it names one; a local one only where that setting is absent and all tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flowloom-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder's name below the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage in reliable storage."""
     ensure_checkpoint_dir(df.sparkSession)

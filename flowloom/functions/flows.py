@@ -101,6 +101,16 @@ def address_port(address: Column) -> Column:
     return F.regexp_extract(text(address), r":(\d+)$", 1)
 
 
+def best_name(authority: Column, sni: Column, dns: Column, address: Column) -> tuple[Column, Column]:
+    """(name, source) of a connection: the first that is present of the client's authority, the hello's name, the last lookup's answer
+    for its address, the address itself."""
+    cases = (("authority", authority), ("sni", sni), ("dns", dns))
+    name, source = text(address), F.lit("ip")
+    for label, c in reversed(cases):
+        name, source = F.when(text(c) != "", c).otherwise(name), F.when(text(c) != "", label).otherwise(source)
+    return name.alias("name"), source.alias("source")
+
+
 def capture_filter(src: Column, dst: Column, protocol: Column) -> Column:
     """Display filter of the two ends of a connection for packet tools."""
     layer = F.when(protocol == "HTTP/3", "udp").when(protocol == "DNS", "udp").otherwise("tcp")

@@ -31,6 +31,29 @@ _FUNCTION = re.compile(r"UnresolvedTableValuedFunction \[([^\]]*)\]")
 _TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 
 
+_GLOB = re.compile(r"\bGLOB\s+'((?:[^']|'')*)'|'(?:[^']|'')*'", re.I)
+
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a GLOB pattern: * any text, ? a character, [...] one of a set, all else itself, letter case included."""
+    out = []
+    for part in re.findall(r"\*|\?|\[\^?\]?[^\]]*\]|.", glob, re.S):
+        if part in "*?":
+            out.append(".*" if part == "*" else ".")
+        elif len(part) > 1:
+            begin = 2 if part[1] == "^" else 1
+            out.append("[" + "^" * (begin - 1) + re.sub(r"([\\\[\]&^])", r"\\\1", part[begin:-1]) + "]")
+        else:
+            out.append(re.escape(part) if not part.isalnum() else part)
+    return "(?s)^" + "".join(out) + "$"
+
+
+def with_globs(sql: str) -> str:
+    """The statement with GLOB and a literal as RLIKE; what stands in other literals isn't touched."""
+    literal = lambda g: glob_pattern(g.replace("''", "'")).replace("\\", "\\\\").replace("'", "\\'")
+    return _GLOB.sub(lambda m: m.group() if m.group(1) is None else f"RLIKE '{literal(m.group(1))}'", sql)
+
+
 class SqlRefused(ValueError):
     """A statement that may not run."""
 
@@ -81,6 +104,7 @@ class SqlGate:
 
     def dataframe(self, sql: str, params: list[str] | None = None) -> DataFrame:
         """The whole result, unbudgeted, as a plan."""
+        sql = with_globs(sql or "")
         inspect(self.session, sql, self.views)
         return self.session.sql(sql, args=params) if params else self.session.sql(sql)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.common import load, present
+from flowloom.operators.flow_joins import undecoded_index
 from flowloom.plans import mutate
 from flowloom.plans.side import FAVORITE
 from flowloom.queries import adapter as a
@@ -43,9 +44,15 @@ def H3_undecoded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.upsert(u, u.filter("first_ts % 2 = 0").withColumn("reason", F.lit("pushed")), ["connection_id"], [])
 
 
-K14_undecoded_index = H3_undecoded_upsert
+def K14_undecoded_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a live decode found beside what is stored; of both the stored row counts."""
+    u = a.undecoded(spark, sf_dir).select("connection_id", "reason", "first_ts")
+    live = u.filter("first_ts % 3 <> 1").withColumn("reason", F.lit("live"))
+    return undecoded_index(u.filter("first_ts % 3 <> 0"), live)
+
+
 SQL["H3_undecoded_upsert"] = f"WITH {a.SQL_FLOWS}, {a.SQL_UNDECODED} SELECT connection_id, CASE WHEN first_ts % 2 = 0 THEN 'pushed' ELSE reason END AS reason, first_ts FROM und"
-SQL["K14_undecoded_index"] = SQL["H3_undecoded_upsert"]
+SQL["K14_undecoded_index"] = f"WITH {a.SQL_FLOWS}, {a.SQL_UNDECODED} SELECT connection_id, CASE WHEN first_ts % 3 = 0 THEN 'live' ELSE reason END AS reason, first_ts FROM und"
 
 
 def H4_toggle_favorite(spark: SparkSession, sf_dir: str) -> DataFrame:

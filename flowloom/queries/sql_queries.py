@@ -31,9 +31,9 @@ _BOTH = {
     "J_using_natural": "SELECT n_name, n FROM nation JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY 1) c USING (n_nationkey)",
     "J_theta_join": "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "J_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
-    "J_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "J_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "J_in_subquery": "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)",
-    "J_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "J_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority LIKE '1-%')",
     "J_correlated_scalar": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)",
     "J_aggregates": f"SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS parts, {_D.format('sum(CAST(l_extendedprice AS DECIMAL(18,2)))')} AS total, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY l_returnflag",
     "J_filter_clause": "SELECT method, count(*) FILTER (WHERE status >= 400) AS errors, count(*) AS n FROM flows GROUP BY method",
@@ -70,6 +70,9 @@ _PAIRS = {  # (here, there)
         "WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM (SELECT DISTINCT id, parent_id FROM groups) WHERE coalesce(parent_id, '') = '' UNION ALL SELECT g.id, t.depth + 1 FROM (SELECT DISTINCT id, parent_id FROM groups) g JOIN t ON g.parent_id = t.id WHERE t.depth < 6) SELECT depth, count(*) AS n FROM t GROUP BY depth",
         "WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM (SELECT DISTINCT id, parent_id FROM groups) WHERE coalesce(parent_id, '') = '' UNION ALL SELECT g.id, t.depth + 1 FROM (SELECT DISTINCT id, parent_id FROM groups) g JOIN t ON g.parent_id = t.id WHERE t.depth < 6) SELECT depth, count(*) AS n FROM t GROUP BY depth",
     ),
+    "J_glob": ("SELECT id, path FROM flows WHERE path GLOB '/[a-m]*s?*' GROUP BY id, path", "SELECT DISTINCT id, path FROM flows WHERE path GLOB '/[a-m]*s?*'"),
+    "J_arrays": ("SELECT n_regionkey, cardinality(array_agg(n_name)) AS n, array_join(sort_array(array_agg(n_name)), '|') AS names, array_contains(array_agg(n_name), 'CHINA') AS has FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(len(list(n_name)) AS INTEGER) AS n, array_to_string(list_sort(list(n_name)), '|') AS names, list_contains(list(n_name), 'CHINA') AS has FROM nation GROUP BY n_regionkey"),
+    "J_maps": ("SELECT event_id, map_from_entries(array(named_struct('k', event_type, 'v', user_id)))[event_type] AS u, element_at(map('a', 1, 'b', 2), 'b') AS b FROM events", "SELECT event_id, map([event_type], [user_id])[event_type] AS u, 2 AS b FROM events"),
     "J_json_rows": ("SELECT to_json(named_struct('k', r_regionkey, 'n', r_name)) AS j FROM region", "SELECT '{\"k\":' || r_regionkey || ',\"n\":\"' || r_name || '\"}' AS j FROM region"),
 }
 

@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowloom.decode import capture, hello, http1, http2, http3, streams, tls
 from flowloom.decode.protocols import Meta, Registry
+from flowloom.operators.flow_joins import positions
 
 CONNECTION_CAP = 64 << 20  # of a connection's bytes read back
 BATCH_BYTES = 16 << 20
 MAX_SECRETS = 1_000_000
+NUMBERED_AT_ONCE = 100_000  # packets of a session whose connections one task numbers
 SEGMENT = "session_id string, packet_no long, ts_micros long, transport string, src string, dst string, seq long, flags int, payload binary, owner_pid long"
 FLOW = (
     "session_id string, id string, connection_id string, stream_id string, ts_micros long, duration_micros long, method string, scheme string, authority string, path string, query string, protocol string, status int, src_addr string, dst_addr string, "
@@ -34,8 +35,13 @@ FLOW = (
 )
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """TCP and UDP segments of all captures under path; session_id is the file's name."""
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of all capture files under path."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def segments_of(captures: DataFrame) -> DataFrame:
+    """TCP and UDP segments of captures (path, content); session_id is the last part of the path. A capture that is none gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -49,7 +55,12 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=_names(SEGMENT))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SEGMENT)
+    return captures.select("path", "content").mapInPandas(run, SEGMENT)
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """TCP and UDP segments of all captures under path; session_id is the file's name."""
+    return segments_of(read_captures(spark, path))
 
 
 def _names(ddl: str) -> list[str]:
@@ -67,7 +78,7 @@ def with_connections(segments: DataFrame) -> DataFrame:
     s = segments.withColumn("pair", F.concat_ws("|", "transport", pair))
     # a SYN without ACK names the client even if a later packet was captured first
     first = s.groupBy("session_id", "transport", "pair").agg(F.min("packet_no").alias("first_no"), F.min_by("src", "packet_no").alias("first_src"), F.min_by("src", F.when(F.col("flags").bitwiseAND(F.lit(0x12)) == 2, F.col("packet_no"))).alias("syn_src"))
-    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("first_no")))
+    numbered = positions(first, ["session_id"], ["first_no"], "first_no", NUMBERED_AT_ONCE, "n")
     known = numbered.select("session_id", "pair", F.concat(F.when(F.col("transport") == "udp", "udp:").otherwise(""), F.col("n").cast("string")).alias("connection_id"), F.coalesce("syn_src", "first_src").alias("client"))
     return s.join(known, ["session_id", "pair"]).withColumn("from_client", F.col("src") == F.col("client")).drop("pair")
 
@@ -243,11 +254,25 @@ def connection_bytes(segments: DataFrame, src: str, dst: str, since: int, until:
     return some.select("packet_no", "seq", "flags", "payload", "ts_micros").repartition(1).mapInArrow(run, "data binary, size long, gaps int, cut boolean")
 
 
-def import_captures(spark: SparkSession, path: str, out: str, keylog: DataFrame | None = None) -> dict[str, str]:
-    """Decode all captures under path and write flows and undecoded connections below out; (table -> path)."""
-    decode_capture(read_segments(spark, path), keylog).write.mode("overwrite").parquet(f"{out}/decoded")
-    decoded, paths = spark.read.parquet(f"{out}/decoded"), {}
-    for name, part in (("flows", decoded.filter("reason IS NULL")), ("undecoded", decoded.filter("reason IS NOT NULL"))):
+MAGICS = ("d4c3b2a1", "a1b2c3d4", "4d3cb2a1", "a1b23c4d", "0a0d0d0a")
+
+
+def import_captures(captures: DataFrame, out: str, keylog: DataFrame | None = None, *, engine: str = "native") -> dict[str, str]:
+    """Decode captures (path, content) and write what they hold below out: flows, undecoded, sessions, analyses; (table -> path).
+
+    A session per capture, named by the last part of its path: closed with the number of its flows, or error where the bytes are no
+    capture at all, in which case it has no analysis. Rows are decoded once and written before they are split. An empty table of
+    captures gives empty tables.
+    """
+    spark = captures.sparkSession
+    decode_capture(segments_of(captures), keylog).write.mode("overwrite").parquet(f"{out}/decoded")
+    decoded = spark.read.schema(FLOW).parquet(f"{out}/decoded")
+    heads = captures.select(F.regexp_extract("path", "[^/]+$", 0).alias("id"), F.length("content").cast("long").alias("pcap_bytes"), F.lower(F.hex(F.substring("content", 1, 4))).isin(*MAGICS).alias("readable"))
+    counts = decoded.filter("reason IS NULL").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("flow_count"))
+    ended = heads.join(counts, "id", "left").select("id", F.lit("import").alias("source_kind"), F.when(F.col("readable"), "closed").otherwise("error").alias("status"), "pcap_bytes", F.coalesce("flow_count", F.lit(0)).alias("flow_count"))
+    ran = ended.filter("status = 'closed'").select(F.concat(F.lit("analysis-"), "id").alias("id"), F.col("id").alias("session_id"), F.lit(engine).alias("engine"), F.lit(keylog is not None).alias("tls_key_log_used"))
+    paths = {}
+    for name, part in (("flows", decoded.filter("reason IS NULL")), ("undecoded", decoded.filter("reason IS NOT NULL")), ("sessions", ended), ("analyses", ran)):
         paths[name] = f"{out}/{name}"
         part.write.mode("overwrite").parquet(paths[name])
     return paths

@@ -5,8 +5,8 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import tarfile
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,15 +116,33 @@ def import_bundle(spark: SparkSession, folder: str, new_id: str | None = None) -
     return out
 
 
+def merge_definitions(catalog: DataFrame, bundle: DataFrame) -> DataFrame:
+    """The catalog's definitions (tags or groups) with those of an imported bundle that it lacks, by id; of a bundle's repeats one."""
+    fresh = bundle.dropDuplicates(["id"]).join(catalog.select("id"), "id", "left_anti")
+    return catalog.unionByName(fresh, allowMissingColumns=True)
+
+
+def export_files(spark: SparkSession, paths: dict[str, str], folder: str) -> None:
+    """Raw members of a bundle (capture, key log, spilled bodies), by name, beside its tables."""
+    for name, path in paths.items():
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", name) or name.startswith("."):
+            raise ValueError(f"bad member name {name!r}")
+        spark.read.format("binaryFile").load(path).select(F.lit(name).alias("member"), F.col("path"), "content").write.mode("overwrite").parquet(f"{folder}/files/{name}")
+
+
+def import_files(spark: SparkSession, folder: str) -> DataFrame:
+    """member, path, content of a bundle's raw members."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/files")
+
+
 def pack_bundle(folder: str, archive: str) -> None:
     """A local bundle folder as one archive."""
     with tarfile.open(archive, "w:gz") as tar:
         tar.add(folder, arcname=".")
 
 
-def unpack_bundle(archive: str, folder: str | None = None) -> str:
+def unpack_bundle(archive: str, folder: str) -> str:
     """Members outside the folder, links and devices are refused before anything is written."""
-    folder = folder or tempfile.mkdtemp(prefix="flowloom-bundle-")
     with tarfile.open(archive, "r:gz") as tar:
         for m in tar.getmembers():
             target = os.path.realpath(os.path.join(folder, m.name))

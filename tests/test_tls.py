@@ -105,7 +105,7 @@ def test_quic_hello():
 def test_capture_with_a_key_log(spark, tmp_path):
     from test_decode import pcap, tcp
 
-    from flowloom.sources.capture import import_captures
+    from flowloom.sources.capture import import_captures, read_captures
 
     client, server, secrets = session(tmp_path, ssl.TLSVersion.TLSv1_3, "PSK")
     a, b = ((10, 0, 0, 1), 5000), ((10, 0, 0, 2), 443)
@@ -114,7 +114,7 @@ def test_capture_with_a_key_log(spark, tmp_path):
     (tmp_path / "in" / "one.pcap").write_bytes(pcap(frames))
     log = spark.createDataFrame([(k, r, v) for (k, r), v in secrets.items()], "label string, client_random string, secret string")
     for keys, want in ((log, (1, 0)), (None, (0, 1))):
-        paths = import_captures(spark, str(tmp_path / "in"), str(tmp_path / f"out{want[0]}"), keys)
+        paths = import_captures(read_captures(spark, str(tmp_path / "in")), str(tmp_path / f"out{want[0]}"), keys)
         assert tuple(spark.read.parquet(paths[n]).count() for n in ("flows", "undecoded")) == want
     row = spark.read.parquet(str(tmp_path / "out1" / "flows")).first()
     assert (row.scheme, row.path, row.status, row.tls_decrypted, row.sni) == ("https", "/secret", 200, True, "h.example")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowloom.common import text
 
@@ -19,28 +17,12 @@ def url(scheme: Column | None = None, authority: Column | None = None, path: Col
     return F.concat(F.when(text(s) == "", "https").otherwise(s), F.lit("://"), text(a), text(p), F.when(text(q) == "", "").otherwise(F.concat(F.lit("?"), q)))
 
 
-def unicode_host(host: str) -> str | None:
-    """host with its punycode labels decoded, a port kept; None where nothing can be decoded."""
-    name, colon, port = host.rpartition(":") if host.rpartition(":")[2].isdigit() else (host, "", "")
-    labels, changed = [], False
-    for label in name.split("."):
-        if label[:4].lower() == "xn--":
-            try:
-                label, changed = label[4:].encode("ascii").decode("punycode"), True
-            except (UnicodeError, IndexError, OverflowError):
-                pass
-        labels.append(label)
-    return ".".join(labels) + colon + port if changed else None
-
-
-@F.pandas_udf(T.StringType())
-def _display(hosts: pd.Series) -> pd.Series:
-    return hosts.map(unicode_host, na_action="ignore")
-
-
 def display_host(authority: Column) -> Column:
-    """The Unicode form of a host with punycode labels, else NULL; other hosts reach Python as NULL."""
-    return _display(F.when(F.lower(authority).contains("xn--"), authority))
+    """The Unicode form of a host with punycode labels, a port kept, else NULL; labels that can't be decoded stay. The JVM decodes, and
+    only hosts that have such a label are looked at."""
+    name = F.regexp_replace(authority, r":\d+$", "")
+    shown = F.try_reflect(F.lit("java.net.IDN"), F.lit("toUnicode"), name)
+    return F.when(F.lower(authority).contains("xn--") & (shown != name), F.concat(shown, F.regexp_extract(authority, r"(:\d+)$", 1)))
 
 
 def status_text(status: Column) -> Column:

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from flowloom.functions.flows import hidden
 from flowloom.plans import filters, side
@@ -101,8 +99,8 @@ def query_flows(
 
     At most one of after, before and last. matched counts all matches of the scan that aren't hidden; without
     filter and window it is the exact count of the table instead, whatever the cursor. rows are
-    the page's full rows without headers and bodies, with the side columns named by ``hydrate``. The page and
-    the scan have bounded size; only they are held.
+    the page's full rows without headers and bodies, with the side columns named by ``hydrate``. Matches are counted where they
+    are found, in the job that picks the page, and only the page's ids reach the driver.
     """
     if (after is not None) + (before is not None) + last > 1:
         raise ValueError("give one of after, before and last")
@@ -112,43 +110,47 @@ def query_flows(
     if after or before:
         lean = lean.filter(beyond(after or before, backward))
     order = [c.desc() for c in timeline()] if backward else timeline()
-    scan = lean.orderBy(*order).limit(cap + 1).withColumn("__n", F.row_number().over(Window.orderBy(*order)))
-    scan = scan.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        scanned = scan.count()
-        capped = scanned > cap
-        found = filters.apply_filter(side.attach(scan.filter(F.col("__n") <= cap), tables, {"metadata"}), expression, tables)
-        outcome = F.try_element_at(F.col("metadata"), F.lit("conn.outcome"))
-        ids = [r for r in found.select("id", "ts_micros", F.coalesce("frame_number", F.lit(0)).alias("frame"), hidden(F.col("protocol"), outcome).alias("h"), "__n").orderBy("__n").collect()]
-    finally:
-        scan.unpersist()
-    shown = ids if include_hidden else [r for r in ids if not r.h]
+    scanned = lean.limit(cap + 1).count()
+    capped = scanned > cap
+    scan = lean.orderBy(*order).limit(cap) if capped else lean
+    found = side.one_metadata(filters.apply_filter(scan, expression, tables), tables.metadata, "conn.outcome")
+    marked = found.select("id", "ts_micros", "frame_number", F.coalesce("frame_number", F.lit(0)).alias("__frame"), hidden(F.col("protocol"), F.col("conn_outcome")).alias("__hidden"))
+    counts = Observation()
+    counted = marked.observe(counts, F.count("*").alias("n"), F.count_if("__hidden").alias("hidden"))
+    picked = counted if include_hidden else counted.filter(~F.col("__hidden"))
+    # another form of the same order: a scan that is sorted already would be read no further than the page, and the counts cut short
+    place = F.struct("ts_micros", "__frame", "id")
+    shown = picked.orderBy(place.desc() if backward else place).limit(limit + 1).collect()
+    seen = counts.get
+    matched = seen["n"] if include_hidden else seen["n"] - seen["hidden"]
     page = shown[:limit]
     more = len(shown) > limit or capped
-    ends = [Cursor(r.ts_micros, r.frame, r.id) for r in (page[0], page[-1])] if page else [None, None]
-    far = ends[1] if more and len(page) == limit or (more and capped and page) else None
+    ends = [Cursor(r.ts_micros, r["__frame"], r.id) for r in (page[0], page[-1])] if page else [None, None]
+    far = ends[1] if more and page and (len(page) == limit or capped) else None
     if backward:
         next_, prev = (None if last else ends[0]), far
     else:
         next_, prev = far, (ends[0] if after else None)
-    keep = flows.sparkSession.createDataFrame([(r.id,) for r in page], "id string")
-    rows = flows.join(F.broadcast(keep), "id", "left_semi")  # at most MOST ids
+    # at most MOST ids, between the times of the page's ends
+    times = sorted(r.ts_micros for r in page)
+    rows = flows.filter(F.col("ts_micros").between(times[0], times[-1]) & F.col("id").isin([r.id for r in page])) if page else flows.filter(F.lit(False))
     rows = side.attach(rows, tables, set(hydrate)).drop(*HEAVY).orderBy(*timeline())
-    matched, exact = len(shown), False
-    if not terms and not since and not until:
-        matched, exact = exact_count(flows, tables, include_hidden), True
-    return Page(rows, matched, sum(r.h for r in ids), min(scanned, cap), capped and not exact, next_, prev, exact, filters.hints(expression))
+    exact = not terms and not since and not until
+    if exact and (capped or after or before):
+        matched = exact_count(flows, tables, include_hidden)
+    return Page(rows, matched, seen["hidden"], min(scanned, cap), capped and not exact, next_, prev, exact, filters.hints(expression))
 
 
 def exact_count(flows: DataFrame, tables: side.SideTables, include_hidden: bool = False) -> int:
     if include_hidden:
         return flows.count()
-    return flows.select("id", "protocol").count() - hidden_flows(flows, tables).count()
+    away = hidden(F.col("protocol"), F.col("conn_outcome"))
+    return side.one_metadata(flows.select("id", "protocol"), tables.metadata, "conn.outcome").agg(F.count_if(~away)).first()[0]
 
 
 def hidden_flows(flows: DataFrame, tables: side.SideTables) -> DataFrame:
-    rows = side.attach(flows.select("id", "protocol"), tables, {"metadata"})
-    return rows.filter(hidden(F.col("protocol"), F.try_element_at(F.col("metadata"), F.lit("conn.outcome")))).select("id")
+    rows = side.one_metadata(flows.select("id", "protocol"), tables.metadata, "conn.outcome")
+    return rows.filter(hidden(F.col("protocol"), F.col("conn_outcome"))).select("id")
 
 
 def merge_tail(stored: DataFrame, tail: DataFrame, limit: int, from_end: bool = False) -> DataFrame:

@@ -40,8 +40,10 @@ def status_ranges(spec: str) -> list[tuple[int, int]]:
 
 
 def in_status(spec: str, status: Column) -> Column:
-    held = F.lit(False)
-    for low, high in status_ranges(spec):
+    """Whether a status is in the set; a blank set is no criterion."""
+    ranges = status_ranges(spec)
+    held = F.lit(not ranges)
+    for low, high in ranges:
         held = held | status.between(low, high)
     return F.coalesce(held, F.lit(False))
 

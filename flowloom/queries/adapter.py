@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowloom.common import load
 from flowloom.operators.versions import latest
+from flowloom.plans import store
 from flowloom.plans.side import FAVORITE, SideTables
 
 FLOW_COLUMNS = [
@@ -19,12 +20,25 @@ FLOW_COLUMNS = [
 ]
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last version of every flow, with references to its bodies."""
+_PUBLISHED: dict[tuple, str] = {}
+
+
+def latest_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of every flow, from all stored versions, with references to its bodies."""
     rows = latest(load(spark, sf_dir, "flows").filter("id <> ''"), ["id"], ["pushed_at"], FLOW_COLUMNS, ties=["content_type"])
     return rows.withColumns({"resp_body_ref": (F.col("ts_micros") % 40000).cast("string"), "req_body_ref": F.lit(None).cast("string")})
 
 
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of every flow, from the table that is published when an application first reads the versions (and again when
+    they have changed)."""
+    path = f"{sf_dir}/flows.parquet"
+    key = (spark.sparkContext.applicationId, path, *store.stamp(spark, path))
+    if key not in _PUBLISHED:
+        _PUBLISHED[key] = store.publish(latest_flows(spark, sf_dir))
+    return spark.read.parquet(_PUBLISHED[key])
+
+
 def tables(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> SideTables:
     f = (base if base is not None else flows(spark, sf_dir)).select("id", "ts_micros", "duration_micros", "protocol")
     ts = F.col("ts_micros")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.common import load, present
+from flowloom.common import cut, load, present, shared_folder
 from flowloom.operators.flow_joins import undecoded_index
-from flowloom.plans import mutate
-from flowloom.plans.side import FAVORITE
+from flowloom.operators.versions import latest
+from flowloom.plans import mutate, store
+from flowloom.plans.side import FAVORITE, SideTables
 from flowloom.queries import adapter as a
 from flowloom.streaming import changelog as live
 
@@ -17,12 +18,23 @@ _W = f"WITH {a.SQL_FLOWS}"
 
 
 def H1_latest_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.flows(spark, sf_dir).select("id", "status", "duration_micros", "content_type")
+    return a.latest_flows(spark, sf_dir).select("id", "status", "duration_micros", "content_type")
 
 
 SQL["H1_latest_flows"] = f"{_W} SELECT id, status, duration_micros, content_type FROM cur"
 
 
+def H1_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the versions published, the other half pushed over them."""
+    f = load(spark, sf_dir, "flows").filter(present(F.col("id"))).select("id", "ts_micros", "frame_number", "status", "pushed_at", "content_type")
+    later = F.crc32(F.concat("id", F.col("pushed_at").cast("string"))) % 2 == 0
+    first = store.publish(latest(f.filter(~later), ["id"], ["pushed_at", "content_type"]))
+    return spark.read.parquet(store.advance(first, spark, f.filter(later), ["id"], ["pushed_at", "content_type"])).select("id", "status", F.unix_micros("pushed_at").alias("pushed"))
+
+
+SQL["H1_published"] = "SELECT id, status, epoch_us(pushed_at) AS pushed FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pushed_at DESC, content_type DESC NULLS LAST, ts_micros DESC, frame_number DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM flows WHERE id <> '') WHERE rn = 1"
+
+
 def H1_body_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = load(spark, sf_dir, "flows").filter(present(F.col("id"))).select("id", F.struct("pushed_at", "ts_micros").alias("version"), "resp_body_ref", F.coalesce(F.col("status"), F.lit(0)).alias("s")).select("id", "version", F.col("resp_body_ref").alias("body_ref"), F.when(F.col("s") == 0, "pending").otherwise("final").alias("body_state"))
     return mutate.body_refs(v.distinct()).select("id", F.coalesce("body_ref", F.lit("")).alias("body_ref"))
@@ -151,18 +163,57 @@ def A19_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["A19_prefix"] = "SELECT min(id) AS exact, min(id) AS by_prefix FROM sessions"
 
 
+def _in_batches(spark: SparkSession, rows: DataFrame, order: str, n: int = 4) -> DataFrame:
+    """rows as a stream of n batches in order of a column of microseconds: a folder that grows by a file, and is read a file at a time."""
+    folder = shared_folder(spark, "pushes")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // n + 1
+    rows = cut(rows)
+    for k in range(n):
+        part = rows.filter(F.floor((F.col(order) - F.lit(low or 0)) / step) == k)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return live.push_stream(spark, folder, files_at_once=1)
+
+
+def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = load(spark, sf_dir, "flows").filter("id <> ''").withColumn("pushed_micros", F.unix_micros("pushed_at"))
+    return _in_batches(spark, f, "pushed_micros")
+
+
+def _kinds(changes: DataFrame, *keys: str) -> DataFrame:
+    return changes.groupBy(*keys).agg(F.count_if(F.col("op") == "added").alias("added"), F.count_if(F.col("op") == "updated").alias("updated"), F.count_if(F.col("op") == "unmatched").alias("unmatched"))
+
+
 def K4_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pushes = live.push_stream(spark, f"{sf_dir}/flows.parquet", files_at_once=1000)
-    return live.run_to_end(live.changelog(pushes, "~c ^[23]")).groupBy("id").agg(F.count_if(F.col("op") == "added").alias("added"), F.count_if(F.col("op") == "updated").alias("updated"), F.count_if(F.col("op") == "unmatched").alias("unmatched"))
+    return _kinds(live.run_to_end(live.changelog(_pushes(spark, sf_dir), "~c ^[23]")), "id")
+
 
+_CHANGES = """SELECT {0}id, count(*) FILTER (WHERE m AND NOT shown) AS added, count(*) FILTER (WHERE m AND shown) AS updated, count(*) FILTER (WHERE NOT m AND shown) AS unmatched
+FROM (SELECT *, coalesce(lag(m) OVER (PARTITION BY id ORDER BY pushed_at), false) AS shown FROM (SELECT id, pushed_at, {1} AS m FROM flows WHERE id <> '')) WHERE m OR shown GROUP BY id"""
+_23 = "coalesce(status, 0) BETWEEN 200 AND 399"
+SQL["K4_changelog"] = _CHANGES.format("", _23)
 
-SQL["K4_changelog"] = """WITH p AS (SELECT id, pushed_at, coalesce(status, 0) BETWEEN 200 AND 399 AS m FROM flows WHERE id <> ''), c AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY id ORDER BY pushed_at), false) AS shown FROM p)
-SELECT id, count(*) FILTER (WHERE m AND NOT shown) AS added, count(*) FILTER (WHERE m AND shown) AS updated, count(*) FILTER (WHERE NOT m AND shown) AS unmatched FROM c WHERE m OR shown GROUP BY id"""
+
+def K4_hidden_and_side_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on headers, hidden records left out."""
+    t = SideTables(headers=load(spark, sf_dir, "flow_headers"))
+    return _kinds(live.run_to_end(live.changelog(_pushes(spark, sf_dir), "~s !~hq accept-language", t, include_hidden=False)), "id")
+
+
+SQL["K4_hidden_and_side_terms"] = _CHANGES.format("", "coalesce(status, 0) <> 0 AND NOT coalesce(protocol = 'DNS', false) AND id NOT IN (SELECT flow_id FROM flow_headers WHERE flow_id <> '' AND response = 0 AND contains(lower(name || ': ' || coalesce(value, '')), 'accept-language'))")
+
+
+def K1_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three subscribers with filters of their own on one stream."""
+    changes = live.fan_out(_pushes(spark, sf_dir), {"good": "~c ^[23]", "all": "", "get": "~m ^get$"})
+    return _kinds(live.run_to_end(changes), "subscriber", "id")
+
+
+SQL["K1_fan_out"] = " UNION ALL ".join(_CHANGES.format(f"'{n}' AS subscriber, ", m) for n, m in (("good", _23), ("all", "true"), ("get", "lower(coalesce(method, '')) = 'get'")))
 
 
 def K2_live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pushes = live.push_stream(spark, f"{sf_dir}/flows.parquet", files_at_once=1000)
-    last = live.run_to_end(live.live_state(pushes), "update")
+    last = live.run_to_end(live.live_state(_pushes(spark, sf_dir)), "update")
     return last.groupBy("id").agg(F.max("versions").alias("versions"))
 
 
@@ -170,30 +221,52 @@ SQL["K2_live_state"] = "SELECT id, count(*) AS versions FROM flows WHERE id <> '
 
 
 def K3_message_bumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pushes = live.push_stream(spark, f"{sf_dir}/flows.parquet", files_at_once=1000)
-    m = live.push_stream(spark, f"{sf_dir}/events.parquet", files_at_once=1000).select(F.concat(F.lit("u"), F.col("user_id")).alias("flow_id"))
-    last = live.run_to_end(live.live_state(pushes.filter("false"), m), "update")
-    return last.groupBy("id").agg(F.max("message_count").alias("message_count"))
+    """Messages bump the counts of flows that were pushed with one; every bump sends the flow again."""
+    m = a.messages(spark, sf_dir).select("flow_id", "ts_micros", F.lit(0).alias("pushed_count"))
+    first = m.groupBy("flow_id").agg(F.min("ts_micros").alias("ts_micros")).select("flow_id", "ts_micros", F.lit(3).alias("pushed_count"))
+    both = _in_batches(spark, m.unionByName(first), "ts_micros")
+    pushes = both.filter("pushed_count > 0").select(F.col("flow_id").alias("id"), F.col("pushed_count").alias("message_count"))
+    last = live.run_to_end(live.live_state(pushes, both.filter("pushed_count = 0").select("flow_id")), "update")
+    return last.groupBy("id").agg(F.max("message_count").alias("message_count"), F.max("epoch").alias("last_epoch")).select("id", "message_count")
 
 
-SQL["K3_message_bumps"] = "SELECT 'u' || user_id AS id, count(*) AS message_count FROM events GROUP BY user_id"
+SQL["K3_message_bumps"] = "SELECT 'u' || user_id AS id, count(*) + 3 AS message_count FROM events GROUP BY user_id"
 
 
 def K5_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.session_events(load(spark, sf_dir, "sessions"))
+    """Sessions as they were opened, then as they are now, as a stream: what a viewer is told."""
+    s = load(spark, sf_dir, "sessions").dropDuplicates(["id"])
+    versions = s.select("id", F.lit("open").alias("status"), F.col("created_at").alias("at")).unionByName(s.select("id", "status", (F.greatest(F.coalesce("closed_at", F.lit(0)), F.col("created_at")) + 1).alias("at")))
+    return live.run_to_end(live.session_stream(_in_batches(spark, versions, "at"))).select("session_id", "event_no", "event", "status")
 
 
-SQL["K5_session_events"] = "SELECT id AS session_id, 'opened' AS event, 'open' AS status, 0 AS event_no FROM sessions UNION ALL SELECT id, 'ended', status, 1 FROM sessions WHERE status IN ('closed', 'error')"
+SQL["K5_session_events"] = """WITH s AS (SELECT DISTINCT id, status FROM sessions)
+SELECT id AS session_id, 1 AS event_no, 'opened' AS event, 'open' AS status FROM s UNION ALL SELECT id, 2, CASE WHEN status IN ('closed', 'error') THEN 'ended' ELSE 'changed' END, status FROM s WHERE status <> 'open'"""
 
 
 def K8_message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = a.messages(spark, sf_dir).select("id", "flow_id", "opcode")
-    return live.message_stream(m.filter("length(id) % 2 = 0"), m)
+    """Stored messages first, then the live ones that aren't stored, each once though live batches repeat some."""
+    m = a.messages(spark, sf_dir).select("id", "flow_id", "opcode", "ts_micros")
+    stored = m.filter("length(id) % 2 = 0")
+    pushed = _in_batches(spark, m.unionByName(m.filter("opcode = 'ping'")), "ts_micros")
+    return live.run_to_end(live.message_stream(pushed, stored)).unionByName(stored).select("id", "flow_id", "opcode")
 
 
 SQL["K8_message_stream"] = f"WITH {a.SQL_MESSAGES} SELECT id, flow_id, opcode FROM msg"
 
 
+def K10_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions flushed by number of changed records and, at the end, the rest: the state that readers find."""
+    f = load(spark, sf_dir, "flows").filter("id <> ''").select("id", (F.coalesce("status", F.lit(0)) != 0).alias("body_done"), "error", F.lit(False).alias("websocket"), F.col("ts_micros").cast("string").alias("body"), F.unix_micros("pushed_at").alias("pushed"), "content_type")
+    table = live.FlushTable(spark, shared_folder(spark, "flushed"), ["id"], ["pushed", "content_type", "body"])
+    table.run(_in_batches(spark, f, "pushed"))
+    return table.read().select("id", "body", "body_state")
+
+
+SQL["K10_flush"] = """SELECT id, CASE WHEN s THEN body END AS body, CASE WHEN s THEN 'final' ELSE 'pending' END AS body_state FROM (
+SELECT id, CAST(ts_micros AS VARCHAR) AS body, coalesce(status, 0) <> 0 OR coalesce(error, '') <> '' AS s, row_number() OVER (PARTITION BY id ORDER BY pushed_at DESC, content_type DESC NULLS LAST, CASE WHEN coalesce(status, 0) <> 0 OR coalesce(error, '') <> '' THEN CAST(ts_micros AS VARCHAR) END DESC NULLS LAST) AS rn FROM flows WHERE id <> '') WHERE rn = 1"""
+
+
 def K10_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = a.flows(spark, sf_dir).select("id", (F.coalesce("status", F.lit(0)) != 0).alias("body_done"), "error", (F.col("ts_micros") % 10 == 0).alias("websocket"), F.col("resp_body_ref").alias("body"))
     return live.settled_bodies(f).select("id", "body", "body_state")

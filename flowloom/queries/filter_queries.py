@@ -171,7 +171,7 @@ def D1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir, "~m get", limit=100).rows.select("id", "ts_micros", "authority")
 
 
-SQL["D1_timeline"] = f"WITH {a.SQL_FLOWS} SELECT id, ts_micros, authority FROM u WHERE {_re('method', 'get')} AND NOT {_HIDDEN} ORDER BY {_ORDER} LIMIT 100"
+SQL["D1_timeline"] = f"WITH {a.SQL_FLOWS} SELECT id, ts_micros, authority FROM (SELECT * FROM u ORDER BY {_ORDER} LIMIT 20000) WHERE {_re('method', 'get')} AND NOT {_HIDDEN} ORDER BY {_ORDER} LIMIT 100"
 
 
 def D2_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,8 @@ def D2_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir, "~s", limit=100, after=first.next).rows.select("id", "ts_micros")
 
 
-SQL["D2_keyset"] = f"WITH {a.SQL_FLOWS} SELECT id, ts_micros FROM u WHERE coalesce(status, 0) <> 0 AND NOT {_HIDDEN} ORDER BY {_ORDER} LIMIT 100 OFFSET 100"
+_RANKED = "r AS (SELECT *, row_number() OVER (ORDER BY {0}) AS rn FROM u), p1 AS (SELECT rn FROM r WHERE rn <= 20000 AND {1} ORDER BY rn LIMIT {2}), p2 AS (SELECT * FROM r WHERE rn > (SELECT max(rn) FROM p1) AND rn <= (SELECT max(rn) + 20000 FROM p1) AND {1} ORDER BY rn LIMIT {2})"
+SQL["D2_keyset"] = f"WITH {a.SQL_FLOWS}, {_RANKED.format(_ORDER, f'coalesce(status, 0) <> 0 AND NOT {_HIDDEN}', 100)} SELECT id, ts_micros FROM p2"
 
 
 def D3_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +230,8 @@ def D8_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir, "~m get", before=end.prev, limit=60).rows.select("id", "ts_micros")
 
 
-SQL["D8_backward"] = f"WITH {a.SQL_FLOWS} SELECT id, ts_micros FROM u WHERE {_re('method', 'get')} AND NOT {_HIDDEN} ORDER BY ts_micros DESC, coalesce(frame_number, 0) DESC, id DESC LIMIT 60 OFFSET 60"
+_BACK = "ts_micros DESC, coalesce(frame_number, 0) DESC, id DESC"
+SQL["D8_backward"] = f"WITH {a.SQL_FLOWS}, {_RANKED.format(_BACK, _re('method', 'get') + f' AND NOT {_HIDDEN}', 60)} SELECT id, ts_micros FROM p2"
 
 
 def D9_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +264,7 @@ def D11_tail_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.merge_tail(page, tail, 30)
 
 
-SQL["D11_tail_merge"] = f"""WITH {a.SQL_FLOWS}, page AS (SELECT id, ts_micros, frame_number, method FROM u WHERE {_re('method', 'get')} AND NOT {_HIDDEN} ORDER BY {_ORDER} LIMIT 40),
+SQL["D11_tail_merge"] = f"""WITH {a.SQL_FLOWS}, page AS (SELECT id, ts_micros, frame_number, method FROM (SELECT * FROM u ORDER BY {_ORDER} LIMIT 20000) WHERE {_re('method', 'get')} AND NOT {_HIDDEN} ORDER BY {_ORDER} LIMIT 40),
 tail AS (SELECT 'live-' || id AS id, ts_micros + 1 AS ts_micros, frame_number, 'LIVE' AS method FROM page WHERE ts_micros % 2 = 1)
 SELECT * FROM (SELECT * FROM page UNION ALL SELECT * FROM tail) ORDER BY {_ORDER} LIMIT 30"""
 

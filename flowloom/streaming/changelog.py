@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowloom.common import ensure_checkpoint_dir
-from flowloom.plans import filters
+from flowloom.functions.flows import hidden
+from flowloom.operators.versions import latest
+from flowloom.plans import filters, side
 
 FLUSH_SECONDS = 2
 TERMINAL = ("closed", "error")
@@ -34,16 +36,23 @@ def push_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> DataF
     return reader.parquet(path)
 
 
-def holds(rows: DataFrame, expression: str) -> DataFrame:
-    """rows with ``matches``: whether all terms on own columns hold. Terms on side tables are refused here."""
+def holds(rows: DataFrame, expression: str, tables: side.SideTables | None = None, include_hidden: bool = True, name: str = "matches") -> DataFrame:
+    """rows with ``matches``: whether all terms hold and the record isn't hidden. Terms on side tables read ``tables`` as they are when a
+    batch is processed; without them they are refused."""
     terms = filters.parse(expression)
     filters.validate(rows.sparkSession, terms)
-    if needed := filters.needs(terms):
-        raise filters.FilterError(f"a live filter can't use {', '.join(sorted(needed))}")
+    needed, columns = filters.needs(terms), rows.columns
+    if needed and tables is None:
+        raise filters.FilterError(f"this live filter needs {', '.join(sorted(needed))}")
+    if needed:
+        rows = side.attach(rows, tables, needed)
     held = F.lit(True)
     for t in terms:
         held = held & filters.condition(t)
-    return rows.withColumn("matches", held)
+    if not include_hidden:
+        rows = side.one_metadata(rows, tables.metadata if tables else None, "conn.outcome")
+        held = held & ~hidden(F.col("protocol"), F.col("conn_outcome"))
+    return rows.select(*columns, held.alias(name))
 
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,35 +69,59 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame(out, columns=["id", "change_no", "op", "pushed_at"])
 
 
-def changelog(pushes: DataFrame, expression: str = "") -> DataFrame:
+def changelog(pushes: DataFrame, expression: str = "", tables: side.SideTables | None = None, include_hidden: bool = True) -> DataFrame:
     """id, change_no, op (added, updated, unmatched), pushed_at: what a viewer with this filter sees. pushes may be a stream or a batch."""
-    rows = holds(pushes.filter("id <> ''"), expression).select("id", "pushed_at", "matches")
+    rows = holds(pushes.filter("id <> ''"), expression, tables, include_hidden).select("id", "pushed_at", "matches")
     return rows.groupBy("id").applyInPandasWithState(_changes, "id string, change_no long, op string, pushed_at timestamp", "shown boolean, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _subscriber_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    for out in _changes(key[1:], batches, state):
+        yield out.assign(subscriber=key[0])[["subscriber", *out.columns]]
+
+
+def fan_out(pushes: DataFrame, subscribers: dict[str, str], tables: side.SideTables | None = None) -> DataFrame:
+    """The changelogs of several subscribers (name -> filter) from one pass over the stream: subscriber, id, change_no, op, pushed_at. A
+    record's state is kept for those that it matches or matched."""
+    rows = pushes.filter("id <> ''")
+    names = {n: f"__m{k}" for k, n in enumerate(subscribers)}
+    for n, expression in subscribers.items():
+        rows = holds(rows, expression, tables, name=names[n])
+    each = F.array(*[F.struct(F.lit(n).alias("subscriber"), F.col(c).alias("matches")) for n, c in names.items()])
+    told = rows.select("id", "pushed_at", F.explode(each).alias("__s")).select("__s.subscriber", "id", "pushed_at", "__s.matches")
+    return told.groupBy("subscriber", "id").applyInPandasWithState(_subscriber_changes, "subscriber string, id string, change_no long, op string, pushed_at timestamp", "shown boolean, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def _upserts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    count, websocket, version = state.get if state.exists else (0, False, 0)
-    for pdf in batches:
-        count = max(count, int(pdf["message_count"].max()) if len(pdf) else 0) + int(pdf["new_messages"].sum())
+    pushed, bumps, websocket, version = state.get if state.exists else (0, 0, False, 0)
+    for pdf in batches:  # both parts are sums and maxima, so it doesn't matter how rows are cut into batches
+        pushed = max(pushed, int(pdf["message_count"].max()) if len(pdf) else 0)
+        bumps += int(pdf["new_messages"].sum())
         websocket = websocket or bool(pdf["websocket"].any())
         version += len(pdf)
-    state.update((count, websocket, version))
+    count = pushed + bumps
+    state.update((pushed, bumps, websocket, version))
     yield pd.DataFrame([(key[0], count, websocket or count > 0, version)], columns=["id", "message_count", "websocket", "versions"])
 
 
 def live_state(pushes: DataFrame, messages: DataFrame | None = None) -> DataFrame:
-    """Per flow and batch: id, message_count, websocket, versions. A push carries the greatest count seen so far forward, a message
-    adds one to its flow."""
+    """Per flow and batch: id, message_count, websocket, versions. A push carries the greatest count pushed so far forward, a message
+    adds one to its flow and sends it again."""
     known = pushes.columns
     rows = pushes.filter("id <> ''").select("id", (F.col("message_count") if "message_count" in known else F.lit(0)).cast("long").alias("message_count"), F.lit(0).cast("long").alias("new_messages"), (F.col("websocket") if "websocket" in known else F.lit(False)).alias("websocket"))
     if messages is not None:
         rows = rows.unionByName(messages.filter("flow_id <> ''").select(F.col("flow_id").alias("id"), F.lit(0).cast("long").alias("message_count"), F.lit(1).cast("long").alias("new_messages"), F.lit(True).alias("websocket")))
-    return rows.groupBy("id").applyInPandasWithState(_upserts, "id string, message_count long, websocket boolean, versions long", "count long, websocket boolean, versions long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("id").applyInPandasWithState(_upserts, "id string, message_count long, websocket boolean, versions long", "pushed long, bumps long, websocket boolean, versions long", "update", GroupStateTimeout.NoTimeout)
 
 
-def message_stream(stored: DataFrame, live: DataFrame) -> DataFrame:
-    """Stored messages and live ones, each id once."""
-    return stored.unionByName(live, allowMissingColumns=True).dropDuplicates(["id"])
+def message_stream(live: DataFrame, stored: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Live messages that aren't stored, each id once: what follows the backfill of the stored ones. Ids are remembered for as long as a
+    repeat may be ``late`` by the messages' own times (ts_micros), so the state is bounded."""
+    fresh = live.join(stored.select("id"), "id", "left_anti")
+    if not live.isStreaming:
+        return fresh.dropDuplicates(["id"])
+    timed = fresh.withColumn("__at", F.timestamp_micros("ts_micros")).withWatermark("__at", late)
+    return timed.dropDuplicatesWithinWatermark(["id"]).drop("__at")
 
 
 def settled_bodies(rows: DataFrame) -> DataFrame:
@@ -118,13 +151,68 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(f"{base}/out/*")
 
 
-def flush_stream(pushes: DataFrame, path: str, checkpoint: str, seconds: int = FLUSH_SECONDS):  # noqa: ANN201
-    """Start writing versions every ``seconds``; bodies only when settled, exactly once by batch number. Readers take the latest version."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        settled_bodies(batch).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-
-    return pushes.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(write).start()
+FLUSH_DIRTY = 128
+
+
+class FlushTable:
+    """Pushed versions written as they come, and the state that readers take.
+
+    Every batch is written below its number, so a batch that runs again replaces itself. When ``dirty`` records are waiting or
+    ``seconds`` have passed since the last flush, the waiting batches go over the last state into a new one, and a marker, written
+    last, names it. ``close`` flushes the rest. A restart finds the marker and what was written after it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], dirty: int = FLUSH_DIRTY, seconds: float = FLUSH_SECONDS) -> None:
+        self.spark, self.path, self.keys, self.order, self.dirty, self.seconds = spark, path, keys, order, dirty, seconds
+        self.waiting: dict[int, int] = {}
+        self.last, self.flushes = time.monotonic(), 0
+
+    def _marker(self) -> tuple[int, str] | None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/markers")
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return None
+        row = self.spark.read.schema("epoch long, state string").json(f"{self.path}/markers").orderBy(F.col("epoch").desc()).first()
+        return (row.epoch, row.state) if row else None
+
+    def take(self, batch: DataFrame, epoch: int) -> None:
+        """One micro-batch, for ``foreachBatch``."""
+        settled_bodies(batch).write.mode("overwrite").parquet(f"{self.path}/batches/{epoch}")
+        self.waiting[epoch] = self.spark.read.parquet(f"{self.path}/batches/{epoch}").select(*self.keys).distinct().count()
+        if sum(self.waiting.values()) >= self.dirty or time.monotonic() - self.last >= self.seconds:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            upto = max(self.waiting)
+            rows = self.spark.read.parquet(*[f"{self.path}/batches/{e}" for e in sorted(self.waiting)])
+            if (known := self._marker()) is not None:
+                rows = self.spark.read.parquet(known[1]).unionByName(rows)
+            state = f"{self.path}/state-{upto}-{uuid.uuid4()}"
+            latest(rows, self.keys, self.order).write.parquet(state)
+            self.spark.createDataFrame([(upto, state)], "epoch long, state string").coalesce(1).write.mode("append").json(f"{self.path}/markers")
+            self.waiting.clear()
+            self.flushes += 1
+        self.last = time.monotonic()
+
+    close = flush
+
+    def read(self) -> DataFrame:
+        """The last flushed state."""
+        known = self._marker()
+        if known is None:
+            raise FileNotFoundError(f"nothing is flushed below {self.path}")
+        return self.spark.read.parquet(known[1])
+
+    def run(self, pushes: DataFrame) -> None:
+        """Take all that a stream has now, and close."""
+        query = pushes.writeStream.option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).foreachBatch(self.take).start()
+        query.awaitTermination()
+        self.close()
+
+    def start(self, pushes: DataFrame):  # noqa: ANN201
+        """Follow a stream; stop the query, then close."""
+        return pushes.writeStream.option("checkpointLocation", f"{self.path}/progress").trigger(processingTime=f"{self.seconds} seconds").foreachBatch(self.take).start()
 
 
 def wait_for_flows(pushes: DataFrame, expression: str, n: int, seconds: float, status: str = "open") -> tuple[list[str], str]:
@@ -150,11 +238,23 @@ def wait_for_flows(pushes: DataFrame, expression: str, n: int, seconds: float, s
     return ids, "" if len(ids) >= n else "time is over"
 
 
-def session_events(sessions: DataFrame) -> DataFrame:
-    """session_id, event, status: the opening event of every session first, a closing one for those that ended."""
-    opened = sessions.select(F.col("id").alias("session_id"), F.lit("opened").alias("event"), F.lit("open").alias("status"), F.lit(0).alias("event_no"))
-    ended = sessions.filter(F.col("status").isin(*TERMINAL)).select(F.col("id").alias("session_id"), F.lit("ended").alias("event"), "status", F.lit(1).alias("event_no"))
-    return opened.unionByName(ended)
+def _session_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    (status, n) = state.get if state.exists else ("", 0)
+    out = []
+    for new in pd.concat(list(batches)).sort_values("at", kind="stable")["status"]:
+        if status in TERMINAL or new == status:
+            continue
+        n += 1
+        out.append((key[0], n, "opened" if n == 1 and new not in TERMINAL else "ended" if new in TERMINAL else "changed", new))
+        status = new
+    state.update((status, n))
+    yield pd.DataFrame(out, columns=["session_id", "event_no", "event", "status"])
+
+
+def session_stream(versions: DataFrame) -> DataFrame:
+    """session_id, event_no, event (opened, changed, ended), status: what a viewer of sessions is told, from versions (id, status, at in any
+    growing unit). A status that doesn't change is no event, and nothing follows the end of a session."""
+    return versions.select("id", "status", "at").groupBy("id").applyInPandasWithState(_session_events, "session_id string, event_no long, event string, status string", "status string, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def until(condition: Callable[[], bool], seconds: float, first: float = 0.05, most: float = 1.0) -> bool:

@@ -1,6 +1,8 @@
+from datetime import UTC, datetime
+
 import pytest
 
-from flowloom.functions.flows import unicode_host
+from flowloom.functions.flows import display_host
 from flowloom.functions.regexes import PatternError, translate
 from flowloom.plans import filters
 from flowloom.plans.paging import Cursor, query_flows
@@ -62,10 +64,17 @@ def test_bad_pattern_fails_before_a_job(one):
         filters.apply_filter(one[0], "~m (", one[1])
 
 
-def test_hosts_statuses_times_cursors():
-    assert unicode_host("xn--mnchen-3ya.de:443") == "münchen.de:443" and unicode_host("plain.de") is None
+def test_hosts(spark):
+    rows = spark.createDataFrame([("xn--mnchen-3ya.de:443",), ("plain.de",), ("a.XN--MNCHEN-3YA.xn--",), ("xn--99999999",), (None,), ("",)], "authority string")
+    assert [r[0] for r in rows.select(display_host(rows.authority)).collect()] == ["münchen.de:443", None, "a.münchen.xn--", None, None, None]
+
+
+def test_statuses_times_cursors():
     assert status_ranges("401,403,4xx,40x,500-503") == [(401, 401), (403, 403), (400, 499), (400, 409), (500, 503)]
-    for bad in ("4", "abc", "500-400", "xx4", ""):
+    assert status_ranges(" 401 403,, 5XX,") == [(401, 401), (403, 403), (500, 599)] and status_ranges("") == []
+    now = datetime(2026, 2, 3, 12, 30, tzinfo=UTC)
+    assert time_micros("-15M", now) == time_micros("- 15 m", now) == time_micros("12:15", now)
+    for bad in ("4", "abc", "500-400", "xx4", "4x"):
         with pytest.raises(ValueError):
             status_ranges(bad)
     assert time_micros("1770000000") == time_micros(1770000000000) == 1770000000000000

@@ -7,13 +7,29 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DAY_MICROS = 86_400_000_000
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Modification time and length of a file or folder, which change when it is written."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
+
+
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of a data directory. Its schema is read from the files once, and again when they have changed."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (path, *stamp(spark, path))
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def present(c: Column) -> Column:

@@ -51,7 +51,7 @@ def typed(value: Column, value_type: str, stripped: bool = False) -> Column:
         zone = F.when(zone.isin("", "z", "UTC"), "Z").otherwise(F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})?$", "$1:$2"))
         zone = F.when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
         clock = F.regexp_extract(c, _STAMP, 2)
-        iso = F.concat(F.regexp_extract(c, _STAMP, 1), F.lit("T"), F.when(clock == "", "00:00").otherwise(clock), zone)
+        iso = F.concat(F.regexp_extract(c, _STAMP, 1), F.lit("T"), F.when(clock == "", "00:00:00").when(F.length(clock) < 6, F.concat(clock, F.lit(":00"))).otherwise(clock), zone)
         return F.coalesce(F.timestamp_micros(n * scale), F.when(c.rlike(_STAMP), iso.try_cast("timestamp")))
     raise ValueError(f"unknown value type {value_type!r}")
 

@@ -78,6 +78,12 @@ def in_window(since: int = 0, until: int = 0) -> Column:
     return c
 
 
+def one_of(column: str, values: list[str]) -> Column:
+    """column IN (values), as one expression."""
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"`{column}` IN ({', '.join(quoted)})")
+
+
 @dataclass
 class Page:
     rows: DataFrame
@@ -133,7 +139,7 @@ def query_flows(
         next_, prev = far, (ends[0] if after else None)
     # at most MOST ids, between the times of the page's ends
     times = sorted(r.ts_micros for r in page)
-    rows = flows.filter(F.col("ts_micros").between(times[0], times[-1]) & F.col("id").isin([r.id for r in page])) if page else flows.filter(F.lit(False))
+    rows = flows.filter(F.col("ts_micros").between(times[0], times[-1]) & one_of("id", [r.id for r in page])) if page else flows.filter(F.lit(False))
     rows = side.attach(rows, tables, set(hydrate)).drop(*HEAVY).orderBy(*timeline())
     exact = not terms and not since and not until
     if exact and (capped or after or before):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ class SideTables:
     headers: flow_id, response, ord, name, value; metadata: record_id, key, value; tags: id, name,
     is_favorite; record_tags: record_id, tag_id; groups: id, name; group_members: record_id, group_id;
     marks: record_id, color; comments: record_id, created_at, body; blobs: sha256, bytes;
-    messages: id, flow_id.
+    messages: id, flow_id. A table may be given as a function that makes it, which is called where the table is needed.
     """
 
     headers: DataFrame | None = None
@@ -33,8 +33,12 @@ class SideTables:
     blobs: DataFrame | None = None
     messages: DataFrame | None = None
 
+    def __getattribute__(self, name: str):  # noqa: ANN204
+        value = object.__getattribute__(self, name)
+        return value() if name in type(self).__dataclass_fields__ and callable(value) else value
+
     def with_(self, **changes: DataFrame) -> SideTables:
-        return replace(self, **changes)
+        return SideTables(**{k: v for k, v in self.__dict__.items()} | changes)
 
 
 def header_lists(headers: DataFrame) -> DataFrame:

@@ -30,11 +30,3 @@ def advance(path: str, spark: SparkSession, pushed: DataFrame, keys: list[str],
     again = stored.join(fresh.select(*keys), keys, "left_semi").withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
     last = latest(again, keys, [*version, "__new"]).drop("__new")
     return publish(stored.join(fresh.select(*keys), keys, "left_anti").unionByName(last), order)
-
-
-def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Modification time and length of a file or folder, which change when it is written."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
-    return status.getModificationTime(), status.getLen()

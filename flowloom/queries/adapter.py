@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from flowloom.common import load
+from flowloom.common import load, stamp
 from flowloom.operators.versions import latest
 from flowloom.plans import store
 from flowloom.plans.side import FAVORITE, SideTables
@@ -20,7 +21,7 @@ FLOW_COLUMNS = [
 ]
 
 
-_PUBLISHED: dict[tuple, str] = {}
+_PUBLISHED: dict[tuple, tuple[str, StructType]] = {}
 
 
 def latest_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,31 +34,44 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last version of every flow, from the table that is published when an application first reads the versions (and again when
     they have changed)."""
     path = f"{sf_dir}/flows.parquet"
-    key = (spark.sparkContext.applicationId, path, *store.stamp(spark, path))
+    key = (spark.sparkContext.applicationId, path, *stamp(spark, path))
     if key not in _PUBLISHED:
-        _PUBLISHED[key] = store.publish(latest_flows(spark, sf_dir))
-    return spark.read.parquet(_PUBLISHED[key])
+        rows = latest_flows(spark, sf_dir)
+        _PUBLISHED[key] = store.publish(rows), rows.schema
+    where, schema = _PUBLISHED[key]
+    return spark.read.schema(schema).parquet(where)
 
 
 def tables(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> SideTables:
-    f = (base if base is not None else flows(spark, sf_dir)).select("id", "ts_micros", "duration_micros", "protocol")
     ts = F.col("ts_micros")
-    pick = lambda *cases: f.select(F.col("id").alias("record_id"), F.explode(F.filter(F.array(*[F.when(c, F.lit(v)) for c, v in cases]), lambda x: x.isNotNull())).alias("x"))
-    meta = f.select(F.col("id").alias("record_id"), F.explode(F.filter(F.array(
-        F.when(ts % 3 == 0, F.struct(F.lit("proxy_provider").alias("key"), F.when(ts % 2 == 0, "acme").otherwise("zeta").alias("value"))),
-        F.when(ts % 37 == 0, F.struct(F.lit("conn.outcome").alias("key"), F.lit("tls_rejected").alias("value"))).when(ts % 41 == 0, F.struct(F.lit("conn.outcome").alias("key"), F.lit("tcp_passthrough").alias("value"))),
-    ), lambda x: x.isNotNull())).alias("m")).select("record_id", "m.*")
+
+    def f() -> DataFrame:
+        return (base if base is not None else flows(spark, sf_dir)).select("id", "ts_micros", "duration_micros", "protocol")
+
+    def pick(column: str, *cases: tuple) -> DataFrame:
+        return f().select(F.col("id").alias("record_id"), F.explode(F.filter(F.array(*[F.when(c, F.lit(v)) for c, v in cases]), lambda x: x.isNotNull())).alias(column))
+
+    def metadata() -> DataFrame:
+        return f().select(F.col("id").alias("record_id"), F.explode(F.filter(F.array(
+            F.when(ts % 3 == 0, F.struct(F.lit("proxy_provider").alias("key"), F.when(ts % 2 == 0, "acme").otherwise("zeta").alias("value"))),
+            F.when(ts % 37 == 0, F.struct(F.lit("conn.outcome").alias("key"), F.lit("tls_rejected").alias("value"))).when(ts % 41 == 0, F.struct(F.lit("conn.outcome").alias("key"), F.lit("tcp_passthrough").alias("value"))),
+        ), lambda x: x.isNotNull())).alias("m")).select("record_id", "m.*")
+
+    def comments() -> DataFrame:
+        both = F.array(*[F.struct(F.lit(n).alias("created_at"), F.lit(b).alias("body")) for n, b in ((1, "first look"), (2, "second look"))])
+        return f().filter(ts % 101 == 0).select(F.col("id").alias("record_id"), F.explode(both).alias("c")).select("record_id", "c.*")
+
     return SideTables(
-        headers=load(spark, sf_dir, "flow_headers"),
-        metadata=meta,
-        tags=spark.createDataFrame([("t-auth", "auth", False), ("t-slow", "slow", False), (FAVORITE, "Favorite", True)], "id string, name string, is_favorite boolean"),
-        record_tags=pick((ts % 11 == 0, "t-auth"), (F.col("duration_micros") > 300_000, "t-slow"), (ts % 97 == 0, FAVORITE)).withColumnRenamed("x", "tag_id"),
-        groups=spark.createDataFrame([("g-root", "root"), ("g-api", "api"), ("g-ui", "ui")], "id string, name string"),
-        group_members=pick((F.col("protocol") == "HTTP/2", "g-api"), (F.col("protocol") == "HTTP/3", "g-ui")).withColumnRenamed("x", "group_id"),
-        marks=f.filter((ts % 13 == 0) | (ts % 17 == 0)).select(F.col("id").alias("record_id"), F.when(ts % 13 == 0, "red").otherwise("green").alias("color")),
-        comments=f.filter(ts % 101 == 0).select(F.col("id").alias("record_id"), F.explode(F.array(F.struct(F.lit(1).alias("created_at"), F.lit("first look").alias("body")), F.struct(F.lit(2).alias("created_at"), F.lit("second look").alias("body")))).alias("c")).select("record_id", "c.*"),
-        blobs=load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sha256"), F.col("text").cast("binary").alias("bytes")),
-        messages=messages(spark, sf_dir),
+        headers=lambda: load(spark, sf_dir, "flow_headers"),
+        metadata=metadata,
+        tags=lambda: spark.createDataFrame([("t-auth", "auth", False), ("t-slow", "slow", False), (FAVORITE, "Favorite", True)], "id string, name string, is_favorite boolean"),
+        record_tags=lambda: pick("tag_id", (ts % 11 == 0, "t-auth"), (F.col("duration_micros") > 300_000, "t-slow"), (ts % 97 == 0, FAVORITE)),
+        groups=lambda: spark.createDataFrame([("g-root", "root"), ("g-api", "api"), ("g-ui", "ui")], "id string, name string"),
+        group_members=lambda: pick("group_id", (F.col("protocol") == "HTTP/2", "g-api"), (F.col("protocol") == "HTTP/3", "g-ui")),
+        marks=lambda: f().filter((ts % 13 == 0) | (ts % 17 == 0)).select(F.col("id").alias("record_id"), F.when(ts % 13 == 0, "red").otherwise("green").alias("color")),
+        comments=comments,
+        blobs=lambda: load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sha256"), F.col("text").cast("binary").alias("bytes")),
+        messages=lambda: messages(spark, sf_dir),
     )
 
 

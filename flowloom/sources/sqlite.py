@@ -62,7 +62,7 @@ class SqliteReader(DataSourceReader):
     def partitions(self) -> list[Rows]:
         with _open(self.path) as db:
             low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        return [] if low is None else [Rows(a, min(a + ROWS_AT_ONCE - 1, high)) for a in range(low, high + 1, ROWS_AT_ONCE)]
+        return [Rows(0, -1)] if low is None else [Rows(a, min(a + ROWS_AT_ONCE - 1, high)) for a in range(low, high + 1, ROWS_AT_ONCE)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         names = ", ".join(_quoted(c) for c, _ in self.columns)

@@ -25,7 +25,7 @@ T = [datetime(2026, 1, 1, 0, 0, k) for k in range(5)]
         ("Host Cores", " 0067 ", "67"), ("host-cores", "52,250", "52250"), ("HOST_CORES", "1_000", "1000"), ("host.cores", "11396.00", "11396"), ("host.cores", "1.5", None), ("host.cores", "-3", "-3"), ("host.cores", "1.2e3", "1200"), ("host.cores", "12x", None), ("host.cores", "1.2.3", None), ("host.cores", "", None),
         ("link.rtt_ms", "3.323122e+03", "3323.122"), ("link.rtt_ms", "5", "5.000"), ("link.rtt_ms", "1,234.5", "1234.500"), ("link.rtt_ms", "- ", None), ("link.rtt_ms", ".25", "0.250"),
         ("ON", "Yes", "true"), ("on", "off", "false"), ("on", "2", None), ("on", "1", "true"),
-        ("seen", "1770000000", "1770000000000000"), ("seen", "1770000000000", "1770000000000000"), ("seen", "1770000000000000", "1770000000000000"), ("seen", "2026-02-02T02:40:00Z", "1770000000000000"), ("seen", "2026-02-02 02:40:00", "1770000000000000"), ("seen", "2026-02-01T21:40:00-05:00", "1770000000000000"), ("seen", "2026-13-01T00:00:00Z", None), ("seen", "soon", None),
+        ("seen", "1770000000", "1770000000000000"), ("seen", "1770000000000", "1770000000000000"), ("seen", "1770000000000000", "1770000000000000"), ("seen", "2026-02-02T02:40:00Z", "1770000000000000"), ("seen", "2026-02-02 02:40:00", "1770000000000000"), ("seen", "2026-02-01T21:40:00-05:00", "1770000000000000"), ("seen", "2026-02-02", "1769990400000000"), ("seen", "2026-02-02 2:40", "1770000000000000"), ("seen", "2026-13-01T00:00:00Z", None), ("seen", "soon", None),
         ("note", "\t a b \n", "a b"), ("note", "  ", None), ("unknown", "1", None),
     ],
 )

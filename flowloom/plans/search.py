@@ -186,6 +186,31 @@ def page_timeline(page: DataFrame, cut_at: int = 120) -> DataFrame:
     return page.select(F.row_number().over(Window.orderBy(*timeline())).alias("seq"), "id", F.round((F.col("ts_micros") - first) / 1000, 1).alias("t_ms"), F.when(F.length(target) > cut_at, F.concat(F.substring(target, 1, cut_at), F.lit("…"))).otherwise(target).alias("target"), kind.alias("kind"))
 
 
+PREVIEWED = ("url", "path", "request_header", "response_header", "request_body", "response_body")
+
+
+def match_previews(page: DataFrame, tables: side.SideTables, **needles: str) -> DataFrame:
+    """The rows of a page with a snippet of where each needle (of ``PREVIEWED``) was found, NULL where it wasn't, and for bodies the byte
+    offset of its first occurrence, NULL where only letters beyond ASCII differ in case. Headers and bodies are joined only if asked for."""
+    bad = sorted(set(needles) - set(PREVIEWED))
+    if bad:
+        raise TypeError(f"no preview of {', '.join(bad)}; there are {', '.join(PREVIEWED)}")
+    want = {k: v for k, v in needles.items() if v}
+    inputs = {"headers" if "header" in k else k for k in want if k not in ("url", "path")}
+    rows, columns = side.attach(page, tables, inputs), page.columns
+    hay = {"url": fx.url(), "path": F.col("path"), "request_header": F.col("request_header_text") if "headers" in inputs else None, "response_header": F.col("response_header_text") if "headers" in inputs else None}
+    out = [F.col(c) for c in columns]
+    for k, needle in want.items():
+        text_ = hay[k] if k in hay else F.col(f"{k}_text")
+        out.append(fx.snippet(text_, needle).alias(f"{k}_match"))
+        if k.endswith("body"):
+            # bytes before the first occurrence, with ASCII letters alone folded
+            upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+            at = F.locate(needle.translate(str.maketrans(upper, lower)), F.translate(text_, upper, lower))
+            out.append(F.when(at > 0, F.octet_length(F.substring(text_, F.lit(1), at - 1))).alias(f"{k}_byte_offset"))
+    return rows.select(*out)
+
+
 OVERVIEW_CONNECTIONS, OVERVIEW_HOSTS = 2000, 15
 
 

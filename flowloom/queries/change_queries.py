@@ -43,12 +43,24 @@ def H1_body_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["H1_body_refs"] = "WITH v AS (SELECT id, resp_body_ref, coalesce(status, 0) AS s, row_number() OVER (PARTITION BY id ORDER BY pushed_at DESC) AS n FROM flows WHERE id <> '') SELECT id, CASE WHEN s = 0 THEN '' ELSE coalesce(resp_body_ref, '') END AS body_ref FROM v WHERE n = 1"
 
 
+def H1_replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A push of some flows replaces their headers as a whole."""
+    h = load(spark, sf_dir, "flow_headers").select("flow_id", "name")
+    parents = a.flows(spark, sf_dir).filter("ts_micros % 4 = 0").select("id")
+    pushed = parents.select(F.col("id").alias("flow_id"), F.lit("x-new").alias("name"))
+    return mutate.replace_children(h, pushed, parents, "flow_id").groupBy("flow_id", "name").agg(F.count("*").alias("n"))
+
+
+SQL["H1_replace_children"] = f"{_W}, p AS (SELECT id FROM cur WHERE ts_micros % 4 = 0) SELECT flow_id, name, count(*) AS n FROM (SELECT flow_id, name FROM flow_headers WHERE flow_id IS NULL OR flow_id NOT IN (SELECT id FROM p) UNION ALL SELECT id, 'x-new' FROM p) GROUP BY ALL"
+
+
 def H2_append_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages pushed again over stored ones, and new ones: each id once, the pushed row in its place."""
     m = a.messages(spark, sf_dir).select("id", "opcode")
-    return mutate.upsert(m, m.limit(0), ["id"], [])
+    return mutate.upsert(m.filter("length(id) % 2 = 0 OR opcode = 'ping'"), m.filter("length(id) % 2 = 1 OR opcode = 'ping'").withColumn("opcode", F.upper("opcode")), ["id"], [])
 
 
-SQL["H2_append_messages"] = f"WITH {a.SQL_MESSAGES} SELECT id, opcode FROM msg"
+SQL["H2_append_messages"] = f"WITH {a.SQL_MESSAGES} SELECT id, CASE WHEN length(id) % 2 = 1 OR opcode = 'ping' THEN upper(opcode) ELSE opcode END AS opcode FROM msg"
 
 
 def H3_undecoded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +141,21 @@ def H8_merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["H8_merge_metadata"] = "SELECT session_id, key, CASE WHEN key LIKE 'undecoded%' THEN '0' ELSE max(value) END AS value FROM session_metadata GROUP BY session_id, key"
 
 
+def H8_delete_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first closed session goes with its rows in all tables."""
+    s = load(spark, sf_dir, "sessions").filter("id <> ''")
+    first = s.filter("status = 'closed'").orderBy("id").limit(1).collect()
+    left, tables = mutate.delete_session(s, first[0].id, {"flows": load(spark, sf_dir, "flows"), "metadata": load(spark, sf_dir, "session_metadata")})
+    counts = [t.groupBy("session_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("kept_in"), "session_id", "n") for name, t in tables.items()]
+    return counts[0].unionByName(counts[1]).unionByName(left.groupBy(F.col("id").alias("session_id")).agg(F.count("*").alias("n")).withColumn("kept_in", F.lit("sessions")))
+
+
+SQL["H8_delete_session"] = """WITH f AS (SELECT min(id) AS gone FROM sessions WHERE status = 'closed' AND id <> '')
+SELECT 'flows' AS kept_in, session_id, count(*) AS n FROM flows, f WHERE session_id IS DISTINCT FROM gone GROUP BY session_id
+UNION ALL SELECT 'metadata', session_id, count(*) FROM session_metadata, f WHERE session_id IS DISTINCT FROM gone GROUP BY session_id
+UNION ALL SELECT 'sessions', id, count(*) FROM sessions, f WHERE id <> '' AND id <> gone GROUP BY id"""
+
+
 def H9_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "sessions").select("id", "status", "closed_at")
     first = s.filter("status = 'open'").orderBy("id").limit(1).collect()

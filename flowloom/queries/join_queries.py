@@ -381,6 +381,24 @@ y AS (SELECT id, url, instr(l, 'edge') AS p, greatest(instr(l, 'edge') - 10, 1)
 SELECT id, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(substring(url, s, p - s + 14)) || CASE WHEN p + 14 <= length(url) THEN '…' ELSE '' END AS url_snippet FROM y"""
 
 
+def E7_match_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the criteria of a search matched: path, answer header and answer body."""
+    f = a.flows(spark, sf_dir)
+    t = a.tables(spark, sf_dir, f)
+    page = paging.query_flows(f, "~bs memory ~hs server", t, limit=80).rows
+    m = search.match_previews(page, t, path="a", response_header="server", response_body="Memory")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return m.select("id", none(F.col("path_match")).alias("path_match"), F.length("response_header_match").alias("n_header"), F.contains(F.lower("response_body_match"), F.lit("memory")).alias("in_body"), "response_body_byte_offset")
+
+
+SQL["E7_match_previews"] = f"""{_WS}, s AS (SELECT * FROM u ORDER BY ts_micros, coalesce(frame_number, 0), id LIMIT 20000),
+p AS (SELECT s.*, d.text, ht.txt FROM s JOIN documents d ON CAST(d.doc_id AS VARCHAR) = s.resp_body_ref JOIN ht ON ht.flow_id = s.id AND ht.response = 1 WHERE regexp_matches(d.text, 'memory', 'i') AND regexp_matches(ht.txt, 'server', 'i') AND NOT (coalesce(protocol = 'DNS', false) OR ts_micros % 37 = 0) ORDER BY ts_micros, coalesce(frame_number, 0), s.id LIMIT 80),
+y AS (SELECT id, coalesce(path, '') AS h, instr(lower(coalesce(path, '')), 'a') AS p, greatest(instr(lower(coalesce(path, '')), 'a') - 60, 1) AS s, txt, text, instr(lower(txt), 'server') AS q, greatest(instr(lower(txt), 'server') - 60, 1) AS r FROM p)
+SELECT id, CASE WHEN p > 0 THEN CASE WHEN s > 1 THEN '…' ELSE '' END || trim(regexp_replace(substring(h, s, p - s + 61), '\s+', ' ', 'g')) || CASE WHEN s + p - s + 61 <= length(h) THEN '…' ELSE '' END ELSE '' END AS path_match,
+CAST(length(CASE WHEN r > 1 THEN '…' ELSE '' END || trim(regexp_replace(substring(txt, r, q - r + 66), '\s+', ' ', 'g')) || CASE WHEN r + q - r + 66 <= length(txt) THEN '…' ELSE '' END) AS INTEGER) AS n_header,
+true AS in_body, octet_length(encode(substring(text, 1, instr(lower(text), 'memory') - 1))) AS response_body_byte_offset FROM y"""
+
+
 def E8_unsearchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = load(spark, sf_dir, "flows").withColumn("resp_content_encoding", F.when(F.col("ts_micros") % 9 == 0, "lzma").otherwise(F.col("resp_content_encoding")))
     return search.unsearchable_bodies(f)

@@ -281,3 +281,10 @@ def import_captures(captures: DataFrame, out: str, keylog: DataFrame | None = No
 def replace_protocol(flows: DataFrame, fresh: DataFrame, protocols: list[str]) -> DataFrame:
     """Flows with those of the protocols replaced by newly decoded ones."""
     return flows.filter(~F.coalesce(F.col("protocol").isin(*protocols), F.lit(False))).unionByName(fresh.filter(F.col("protocol").isin(*protocols)), allowMissingColumns=True)
+
+
+def redecode(flows: DataFrame, captures: DataFrame, registry: Registry, protocols: list[str], keylog: DataFrame | None = None) -> DataFrame:
+    """Flows after the captures (path, content) were decoded again with a registry: those of the registry's ``protocols`` are the new
+    ones, all others stay as they are."""
+    fresh = decode_capture(segments_of(captures), keylog, registry).filter("reason IS NULL")
+    return replace_protocol(flows, fresh, protocols)

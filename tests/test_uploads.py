@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 from test_decode import ANSWER, ASK, C, S, pcap, tcp
 
 from flowloom.decode.protocols import FramedSession, Registry
-from flowloom.sources.capture import decode_capture, read_segments
+from flowloom.sources.capture import decode_capture, read_captures, read_segments, redecode
 from flowloom.sources.uploads import SessionState, UploadRefused, batches_of, decode_landing, joined, land_part
 
 
@@ -44,3 +45,15 @@ def test_custom_decoder_in_a_capture(spark, tmp_path):
     r.register("framed", lambda m: m.port == 80, FramedSession)
     row = decode_capture(read_segments(spark, str(tmp_path)), registry=r).first()
     assert row.protocol == "framed" and [(m.from_client, m.opcode) for m in row.messages] == [(True, "Push(2)"), (False, "Push(2)")]
+
+
+def test_redecode_replaces_the_registrys_protocols_alone(spark, tmp_path):
+    frame = b"\1\2\0\7\0\5\0\0\0\4\x81\xa1a\x01"
+    (tmp_path / "one.pcap").write_bytes(pcap([tcp(C, S, 1, frame), tcp(S, C, 9, frame)]))
+    r = Registry()
+    r.register("framed", lambda m: m.port == 80, FramedSession)
+    captures = read_captures(spark, str(tmp_path))
+    first = decode_capture(read_segments(spark, str(tmp_path)), registry=r).filter("reason IS NULL")
+    kept = first.withColumn("protocol", F.lit("HTTP/1.1")).withColumn("id", F.lit("kept"))
+    again = redecode(first.withColumn("error", F.lit("old")).unionByName(kept), captures, r, ["framed"]).collect()
+    assert sorted((x.protocol, x.error) for x in again) == [("HTTP/1.1", ""), ("framed", "")]

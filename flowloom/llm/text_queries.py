@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from flowloom.common import cut, load
 from flowloom.llm.leakage import leaked_items
@@ -65,10 +66,23 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sentences(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_fill, p6_checked, p6_bound, p7_found, p7_by_item, p7_recall, p8_found)}
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no sentence may be: outside the markdown cells, with outer white space, without a letter or digit, or over the next one."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text", "cells")
+    found = document_sentences(load(spark, sf_dir, "documents"))
+    each = found.join(documents, "doc_id")
+    piece = F.substring(F.col("text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    inside = F.exists("cells", lambda c: (c["kind"] == "markdown") & (c["start_char"] <= F.col("start_char")) & (c["end_char"] >= F.col("end_char")))
+    after = F.lead("start_char").over(Window.partitionBy("doc_id").orderBy("start_char", "end_char"))
+    told = each.select((~F.coalesce(inside, F.lit(False))).alias("outside"), piece.rlike(r"^\s|\s$").alias("spaced"), (~piece.rlike(r"[\p{L}\p{N}]")).alias("wordless"), F.coalesce(after < F.col("end_char"), F.lit(False)).alias("over"))
+    return told.agg(*[F.count_if(c).alias(f"n_{c}") for c in ("outside", "spaced", "wordless", "over")])
+
+
+QUERIES = {f.__name__: f for f in (p6_pack, p6_fill, p6_checked, p6_bound, p7_found, p7_by_item, p7_recall, p8_found, p8_faults)}
 _NO_FAULTS = "SELECT budget_name, (SELECT count(*) FROM documents) AS n_texts, 0 AS over_capacity, 0 AS lost_tokens, 0 AS cut_texts"
 SQL: dict[str, str] = {
     "p6_checked": f"{_NO_FAULTS} FROM context_budgets",
     "p6_bound": f"{_NO_FAULTS}, true AS each_binds FROM context_budgets",
+    "p8_faults": "SELECT 0 AS n_outside, 0 AS n_spaced, 0 AS n_wordless, 0 AS n_over",
     "p7_recall": "SELECT true AS recall_is_enough, 0 AS unproven",
 }

@@ -27,14 +27,19 @@ SOURCE_KINDS = {
 }
 
 
-def read_keylog(spark: SparkSession, path: str) -> DataFrame:
-    """label, client_random, secret of a key log; comments, unknown labels and a cut last line are left out."""
+def keylog_rows(lines: DataFrame) -> DataFrame:
+    """label, client_random, secret of key log lines (value); comments, unknown labels and a cut last line are left out."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#")).select(parts.alias("p")).filter(F.size("p") == 3)
+    rows = lines.filter(~F.col("value").startswith("#")).select(parts.alias("p")).filter(F.size("p") == 3)
     rows = rows.select(F.col("p")[0].alias("label"), F.lower(F.col("p")[1]).alias("client_random"), F.lower(F.col("p")[2]).alias("secret"))
     return rows.filter(F.col("label").isin(*KEY_LABELS) & F.col("client_random").rlike("^[0-9a-f]{64}$") & F.col("secret").rlike("^([0-9a-f]{64}|[0-9a-f]{96})$")).distinct()
 
 
+def read_keylog(spark: SparkSession, path: str) -> DataFrame:
+    """label, client_random, secret of the key logs at a path."""
+    return keylog_rows(spark.read.text(path))
+
+
 def read_follow(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, from_client, bytes of a followed raw stream: hex lines, indented ones from the server."""
     lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))

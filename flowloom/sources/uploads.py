@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.decode import capture
-from flowloom.sources.capture import SEGMENT, _names, decode_capture
+from flowloom.sources.capture import FLOW, SEGMENT, _names, decode_capture
+from flowloom.sources.files import keylog_rows
 
 KINDS = ("pcap", "keylog")
 CEILING = 4 << 30
@@ -52,33 +53,53 @@ def joined(parts: list[tuple[int, bytes]]) -> bytes:
     return out
 
 
+def _landed(spark: SparkSession, folder: str, kind: str, sessions: list[str] | None) -> DataFrame:
+    """session, at, content of the parts of a kind."""
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}.*").load(folder).select(F.regexp_extract("path", _PART, 1).alias("session"), F.regexp_extract("path", _PART, 3).cast("long").alias("at"), "content")
+    return parts if sessions is None else parts.filter(F.col("session").isin(*sessions))
+
+
 def landed_segments(spark: SparkSession, folder: str, sessions: list[str] | None = None) -> DataFrame:
     """Segments of what has landed of each session (or of some)."""
-    parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap.*").load(folder).select(F.regexp_extract("path", _PART, 1).alias("session"), F.regexp_extract("path", _PART, 3).cast("long").alias("at"), "content")
-    if sessions is not None:
-        parts = parts.filter(F.col("session").isin(*sessions))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = joined([(int(a), bytes(c)) for a, c in zip(pdf["at"], pdf["content"])])
         return pd.DataFrame([(key[0], s.number, s.ts_micros, s.transport, s.src, s.dst, s.seq, s.flags, s.payload, s.pid) for s in capture.segments(data)], columns=_names(SEGMENT))
 
-    return parts.groupBy("session").applyInPandas(run, SEGMENT)
+    return _landed(spark, folder, "pcap", sessions).groupBy("session").applyInPandas(run, SEGMENT)
+
+
+def landed_keylog(spark: SparkSession, folder: str, sessions: list[str] | None = None) -> DataFrame:
+    """Secrets of what has landed of the sessions' key logs; a line that isn't whole yet is left out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = joined([(int(a), bytes(c)) for a, c in zip(pdf["at"], pdf["content"])])
+        return pd.DataFrame({"value": data[: data.rfind(b"\n") + 1].decode("utf-8", "replace").splitlines()}, dtype=object)
+
+    return keylog_rows(_landed(spark, folder, "keylog", sessions).groupBy("session").applyInPandas(run, "value string"))
 
 
 def decode_landing(spark: SparkSession, folder: str, out: str, checkpoint: str, *, available_now: bool = False, seconds: int = 2):  # noqa: ANN201
-    """Follow the landing folder: each batch decodes the sessions that got new parts and replaces their rows below ``out``
-    (one folder per session, so a replay of a batch gives the same rows)."""
-    landed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pcap.*").load(folder)
+    """Follow the landing folder: each batch decodes the sessions that got new parts of their capture or key log, all of them in one plan,
+    and replaces their rows below ``out`` (partitioned by session, so a replay of a batch gives the same rows). A session is decoded
+    from its beginning: what a later secret opens is found in bytes that landed before it."""
+    landed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{pcap,keylog}.*").load(folder)
 
     def write(batch: DataFrame, _: int) -> None:
         sessions = [r[0] for r in batch.select(F.regexp_extract("path", _PART, 1)).distinct().collect()]
-        for session in sessions:
-            decode_capture(landed_segments(spark, folder, [session])).write.mode("overwrite").parquet(f"{out}/session={session}")
+        if sessions:
+            rows = decode_capture(landed_segments(spark, folder, sessions), landed_keylog(spark, folder, sessions)).withColumn("session", F.col("session_id"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(out)
 
     writer = landed.select("path").writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(**({"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"})).start()
 
 
+def landed_flows(spark: SparkSession, out: str) -> DataFrame:
+    """What ``decode_landing`` has decoded so far."""
+    return spark.read.schema(FLOW).parquet(out)
+
+
 STATES = {"open": ("decoding", "closed", "error"), "decoding": ("closed", "error"), "closed": (), "error": ()}
 
 

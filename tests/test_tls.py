@@ -125,3 +125,22 @@ def test_capture_with_a_key_log(spark, tmp_path):
     assert (bytes(part.data), part.size, part.gaps) == (client.data[4:54], len(client.data), 0)
     told = tls.describe_handshake(client.data, server.data)
     assert (told["version"], told["sni"]) == ("TLS 1.3", "h.example") and int(told["cipher"], 16) in tls.SUITES and told["certificates"] == []
+
+
+def test_live_decoding_with_a_key_log(spark, tmp_path):
+    """The capture lands first; what the key log opens is found when it has landed, in two parts."""
+    from test_decode import pcap, tcp
+
+    from flowloom.sources.uploads import decode_landing, land_part
+
+    client, server, secrets = session(tmp_path, ssl.TLSVersion.TLSv1_3, "PSK")
+    a, b = ((10, 0, 0, 1), 5000), ((10, 0, 0, 2), 443)
+    data = pcap([tcp(a, b, 1, client.data)] + [tcp(b, a, 1 + k, server.data[k : k + 30_000]) for k in range(0, len(server.data), 30_000)])
+    log = "".join(f"{k} {r} {v}\n" for (k, r), v in secrets.items()).encode()
+    folder, seen = tmp_path / "landing", []
+    folder.mkdir()
+    for kind, at, part in (("pcap", 0, data), ("keylog", 0, log[:-30]), ("keylog", len(log) - 30, log[-30:])):
+        land_part(str(folder), "s1", kind, at, part)
+        decode_landing(spark, str(folder), str(tmp_path / "live"), str(tmp_path / "state"), available_now=True).awaitTermination()
+        seen.append([(r.reason, r.path) for r in spark.read.parquet(str(tmp_path / "live")).collect()])
+    assert seen[0] == [("no_key", None)] and seen[2] == [(None, "/secret")]

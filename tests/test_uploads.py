@@ -4,7 +4,7 @@ from test_decode import ANSWER, ASK, C, S, pcap, tcp
 
 from flowloom.decode.protocols import FramedSession, Registry
 from flowloom.sources.capture import decode_capture, read_captures, read_segments, redecode
-from flowloom.sources.uploads import SessionState, UploadRefused, batches_of, decode_landing, joined, land_part
+from flowloom.sources.uploads import SessionState, UploadRefused, batches_of, decode_landing, joined, land_part, landed_flows
 
 
 def test_parts_in_any_order():
@@ -22,7 +22,7 @@ def test_live_decoding(spark, tmp_path):
     for at, part in batches_of(data, 130):
         land_part(str(folder), "s1", "pcap", at, part)
         decode_landing(spark, str(folder), str(out), str(tmp_path / "state"), available_now=True).awaitTermination()
-        seen.append([(r.method, r.status) for r in spark.read.parquet(str(out)).collect()])
+        seen.append([(r.method, r.status) for r in landed_flows(spark, str(out)).collect()])
     assert seen[-1] == [("GET", 302)]
     with pytest.raises(UploadRefused):
         land_part(str(folder), "../s", "pcap", 0, b"x")

@@ -28,6 +28,7 @@ _FORBIDDEN = re.compile(r"(?:^|[\s:+'|-])(InsertInto\w*|Create\w+|Drop\w+|Alter\
 _RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 _WITH = re.compile(r"(?:CTE|UnresolvedWith) \[([^\]]*)\]")
 _FUNCTION = re.compile(r"UnresolvedTableValuedFunction \[([^\]]*)\]")
+_CALLS_OUT = re.compile(r"'(reflect|java_method|try_reflect)\(", re.I)
 _TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 
 
@@ -58,6 +59,10 @@ class SqlRefused(ValueError):
     """A statement that may not run."""
 
 
+class SqlTimeout(TimeoutError):
+    """A statement that was stopped at its time budget."""
+
+
 @dataclass
 class SqlResult:
     columns: list[str]
@@ -77,6 +82,8 @@ def inspect(spark: SparkSession, sql: str, allowed: set[str]) -> None:
     root, tree = plan.getClass().getSimpleName(), plan.treeString()
     if root not in _QUERY_ROOTS or (m := _FORBIDDEN.search(tree)):
         raise SqlRefused(f"only queries are allowed, not {root if root not in _QUERY_ROOTS else m.group(1)}")
+    if m := _CALLS_OUT.search(tree):
+        raise SqlRefused(f"function {m.group(1)} is not allowed")
     own = {n.strip().strip("`").lower() for m in _WITH.finditer(tree) for n in m.group(1).split(",")}
     for m in _RELATION.finditer(tree):
         parts = [p.strip().strip("`").lower() for p in m.group(1).split(",")]
@@ -116,12 +123,24 @@ class SqlGate:
         renamed = df.toDF(*[f"c{i}" for i in range(len(names))])
         group, sc, began = f"sql-{uuid.uuid4()}", self.session.sparkContext, time.monotonic()
         sc.setJobGroup(group, sql[:80], interruptOnCancel=True)
-        timer = threading.Timer(min(timeout or SECONDS, MOST_SECONDS), lambda: sc.cancelJobGroup(group))
-        timer.start()
+        budget, done = min(timeout or SECONDS, MOST_SECONDS), threading.Event()
+
+        def watch() -> None:
+            late = not done.wait(budget)
+            while late and not done.wait(0.1):  # again and again: a statement that is still planned has no job yet
+                sc.cancelJobGroup(group)
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
         try:
             got = renamed.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()
+        except Exception as e:
+            if time.monotonic() - began >= budget:
+                raise SqlTimeout(f"the statement ran longer than {budget} s") from e
+            raise
         finally:
-            timer.cancel()
+            done.set()
+            watcher.join()
             sc.setLocalProperty("spark.jobGroup.id", None)
         rows, size = [], 0
         for r in got[:most]:

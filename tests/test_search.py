@@ -46,3 +46,29 @@ def test_compare_and_streams(spark):
     got = {r.id: r for r in j.stream_flows(streams, m).collect()}
     assert (got["s"].protocol, got["s"].authority, got["s"].request_bytes, got["s"].metadata["conn.outcome"], got["s"].metadata["conn.bytes_down"]) == ("UDP", "2:2", 3, "udp_undecoded", "2")
     assert (got["t"].protocol, got["t"].authority, got["t"].request_bytes, got["t"].tls_decrypted) == ("TCP", "name", 0, True)
+
+
+def test_sql_budgets(spark):
+    from flowloom.plans.sqlgate import BYTES, SqlGate, SqlRefused, SqlTimeout
+
+    g = SqlGate(spark, {"t": lambda s: s.range(5000).toDF("k")})
+    r = g.query("SELECT repeat('x', 2000) AS x FROM t", limit=2000)
+    assert r.truncated and sum(map(len, r.rows)) <= BYTES < sum(map(len, r.rows)) + 2100
+    with pytest.raises(SqlTimeout):
+        g.query("SELECT count(*) AS n FROM t a CROSS JOIN t b WHERE hash(a.k, b.k) = 5", timeout=0.05)
+    for refused in ("SELECT reflect('java.lang.System', 'nanoTime') AS x FROM t", "SELECT java_method('java.lang.System', 'nanoTime') AS x"):
+        with pytest.raises(SqlRefused):
+            g.dataframe(refused)
+    assert not g.query("SELECT k FROM t WHERE k < 3").truncated
+
+
+def test_raw_members_of_a_bundle(spark, tmp_path):
+    from flowloom.sources import files
+
+    (tmp_path / "a.pcap").write_bytes(b"\0\1packets")
+    (tmp_path / "k.log").write_bytes(b"keys")
+    folder = str(tmp_path / "bundle")
+    files.export_files(spark, {"capture.pcap": str(tmp_path / "a.pcap"), "key.log": str(tmp_path / "k.log")}, folder)
+    assert {r.member: bytes(r.content) for r in files.import_files(spark, folder).collect()} == {"capture.pcap": b"\0\1packets", "key.log": b"keys"}
+    with pytest.raises(ValueError):
+        files.export_files(spark, {"../x": str(tmp_path / "k.log")}, folder)

@@ -46,7 +46,8 @@ def orphan_references(
     key column, 1 = absent) and ``fate``, the first that holds:
 
     * ``partly_null`` - only under ``full``;
-    * ``deleted`` - ``deletions`` names the record and no parent row arrived after its last deletion;
+    * ``deleted`` - ``deletions`` names the record and no parent row arrived after its last deletion; of a partly absent reference:
+      every record that it may mean is deleted so, and there is one;
     * ``missing`` - no parent row agrees;
     * ``late`` - the first parent row arrived on a later UTC day than ``at``.
 
@@ -83,11 +84,22 @@ def orphan_references(
             on = [names[i] for i in width if i not in gap]
             these = tagged.filter(F.col("null_mask") == "".join("1" if i in gap else "0" for i in width))
             live = state.groupBy(*on).agg(F.min("__arr").alias("__first"), F.max("__arr").alias("__last"), F.lit(True).alias("__known"))
-            joined = these.join(live, on, "left")
-            fate = F.when(F.col("__known").isNull(), "missing").when(F.floor(F.col("__first") / F.lit(DAY_MICROS)) > F.col("__at_day"), "late")
-            if gone is not None and not gap:
-                joined = joined.join(gone, on, "left")
-                fate = F.when(F.col("__gone") & ~F.coalesce(F.col("__last") > F.col("__last_del"), F.lit(False)), "deleted").otherwise(fate)
+            late = F.when(F.floor(F.col("__first") / F.lit(DAY_MICROS)) > F.col("__at_day"), "late")
+            if gone is not None and gap:
+                # every record that may be meant, stored or named by a deletion, and whether one of them is left
+                each = state.groupBy(*names).agg(F.min("__arr").alias("__first"), F.max("__arr").alias("__last"), F.lit(True).alias("__known"))
+                both = each.alias("__s").join(gone.alias("__d"), [F.col(f"__s.{n}").eqNullSafe(F.col(f"__d.{n}")) for n in names], "full")
+                dead = F.col("__gone") & ~F.coalesce(F.col("__last") > F.col("__last_del"), F.lit(False))
+                one = both.select(*[F.coalesce(f"__s.{n}", f"__d.{n}").alias(n) for n in names], "__first", F.col("__known").alias("__k"), F.coalesce(dead, F.lit(False)).alias("__dead"))
+                live = one.groupBy(*on).agg(F.min("__first").alias("__first"), F.max("__k").alias("__known"), F.max("__dead").alias("__gone"), F.max(F.col("__k") & ~F.col("__dead")).alias("__left"))
+                joined = these.join(live, on, "left")
+                fate = F.when(F.col("__gone") & ~F.coalesce("__left", F.lit(False)), "deleted").when(F.col("__known").isNull(), "missing").otherwise(late)
+            else:
+                joined = these.join(live, on, "left")
+                fate = F.when(F.col("__known").isNull(), "missing").otherwise(late)
+                if gone is not None:
+                    joined = joined.join(gone, on, "left")
+                    fate = F.when(F.col("__gone") & ~F.coalesce(F.col("__last") > F.col("__last_del"), F.lit(False)), "deleted").otherwise(fate)
             found.append(joined.withColumn("fate", fate).filter(F.col("fate").isNotNull()).select(*columns))
     if match == "full":
         mixed = tagged.filter(F.col("null_mask").contains("0") & F.col("null_mask").contains("1"))

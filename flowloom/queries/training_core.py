@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.common import load, present, utc_day
 from flowloom.operators.hierarchy import descendants, resolve_hierarchy
-from flowloom.operators.references import orphan_references
+from flowloom.operators.references import MATCHES, orphan_references
 from flowloom.operators.wide import cells, discover_attributes, infer_attributes, widen
 
 
@@ -45,6 +45,21 @@ def p3_partial_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_references(refs, ["session_id", "analysis_id"], load(spark, sf_dir, "analyses"), ["session_id", "id"], match="partial").select("session_id", "analysis_id", "null_mask", "fate")
 
 
+def p3_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, analysis_id) of flows per day against analyses, with deletions and lateness, under all three match semantics."""
+    f, analyses = load(spark, sf_dir, "flows"), load(spark, sf_dir, "analyses").select("session_id", "id", (F.col("created_at") * 1000).alias("arrived"))
+    day = F.floor(F.unix_micros("pushed_at") / F.lit(86_400_000_000)) * F.lit(86_400_000_000)
+    refs = f.select("session_id", "analysis_id", day.alias("day_at")).distinct()
+    gone = load(spark, sf_dir, "deleted_records").filter("record_table = 'analyses'").select(F.col("record_id").alias("id"), F.unix_micros("deleted_at").alias("deleted"))
+    gone = gone.join(analyses.select("id", "session_id").distinct(), "id")
+    out = None
+    for match in MATCHES:
+        one = orphan_references(refs, ["session_id", "analysis_id"], analyses, ["session_id", "id"], match=match, at="day_at", arrived="arrived", deletions=gone, deleted_keys=["session_id", "id"], deleted_at="deleted")
+        one = one.groupBy(F.lit(match).alias("match"), "null_mask", utc_day(F.col("day_at")).alias("utc_day"), "fate").agg(F.count("*").alias("n_refs"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
     attributes = discover_attributes(load(spark, sf_dir, "metadata_keys"))
     return widen(load(spark, sf_dir, "session_metadata"), attributes, entity="session_id", key="key", value="value", order="merged_at"), attributes
@@ -75,7 +90,7 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(load(spark, sf_dir, "groups"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_partial_keys, p4_found, p4_wide, p4_inferred, p5_found, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p3_partial_keys, p3_composite, p4_found, p4_wide, p4_inferred, p5_found, p5_descendants)}
 
 _FATES = """
 refs AS (
@@ -117,6 +132,16 @@ WITH refs AS (SELECT DISTINCT session_id, analysis_id, CASE WHEN coalesce(sessio
 SELECT session_id, analysis_id, null_mask, 'missing' AS fate FROM refs
 WHERE null_mask <> '11' AND NOT EXISTS (SELECT 1 FROM analyses a WHERE (null_mask[1] = '1' OR a.session_id = refs.session_id) AND (null_mask[2] = '1' OR a.id = refs.analysis_id))
 """,
+    "p3_composite": """
+WITH refs AS (SELECT DISTINCT session_id, analysis_id, strftime(pushed_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS utc_day, CASE WHEN coalesce(session_id, '') = '' THEN '1' ELSE '0' END || CASE WHEN coalesce(analysis_id, '') = '' THEN '1' ELSE '0' END AS null_mask FROM flows),
+rec AS (SELECT session_id, id, min(created_at * 1000) AS first_at, max(created_at * 1000) AS last_at FROM analyses GROUP BY ALL),
+gone AS (SELECT record_id AS id, max(epoch_us(deleted_at)) AS gone_at FROM deleted_records WHERE record_table = 'analyses' GROUP BY ALL),
+one AS (SELECT rec.*, gone_at IS NOT NULL AND NOT coalesce(last_at > gone_at, false) AS dead FROM rec LEFT JOIN gone USING (id)),
+told AS (SELECT refs.session_id, refs.analysis_id, utc_day, null_mask, min(first_at) AS first_at, count(one.id) AS n, coalesce(bool_or(dead), false) AS dead, coalesce(bool_or(NOT dead), false) AS alive
+  FROM refs LEFT JOIN one ON (null_mask[1] = '1' OR one.session_id = refs.session_id) AND (null_mask[2] = '1' OR one.id = refs.analysis_id) WHERE null_mask <> '11' GROUP BY ALL),
+fates AS (SELECT *, CASE WHEN dead AND NOT alive THEN 'deleted' WHEN n = 0 THEN 'missing' WHEN strftime(make_timestamp(first_at), '%Y-%m-%d') > utc_day THEN 'late' END AS fate FROM told),
+every AS (SELECT 'simple' AS match, null_mask, utc_day, fate FROM fates WHERE null_mask = '00' UNION ALL SELECT 'partial', null_mask, utc_day, fate FROM fates UNION ALL SELECT 'full', null_mask, utc_day, fate FROM fates WHERE null_mask = '00' UNION ALL SELECT 'full', null_mask, utc_day, 'partly_null' FROM fates WHERE null_mask <> '00')
+SELECT match, null_mask, utc_day, fate, count(*) AS n_refs FROM every WHERE fate IS NOT NULL GROUP BY ALL""",
     "p5_found": f"""WITH RECURSIVE {_TREE}
 SELECT l.id AS group_id, CASE WHEN p.id IS NOT NULL THEN 'rooted' WHEN l.id IN (SELECT id FROM cyc) THEN 'on_cycle' ELSE 'below_cycle' END AS tree_state,
   coalesce(p.root, '') AS root_id, coalesce(p.depth, -1)::INTEGER AS depth_no,

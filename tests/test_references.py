@@ -42,3 +42,12 @@ def test_empty_tables_repeats_and_clashing_names(spark):
     assert out.columns == ["id", "name", "null_mask", "fate"] and out.count() == 2
     with pytest.raises(ValueError):
         orphan_references(refs, ["id"], refs, ["id"], match="exact")
+
+
+def test_partly_absent_references_to_deleted_records(spark):
+    """Deleted only if every record that may be meant is; a deletion of a record that isn't stored counts too."""
+    refs = spark.createDataFrame([("a", None, DAY), ("b", None, DAY), ("c", None, DAY), ("d", None, DAY), ("e", None, DAY), ("f", None, DAY)], "k1 string, k2 string, at long")
+    parents = spark.createDataFrame([("a", "1", 5), ("b", "1", 5), ("b", "2", 5), ("c", "1", 5), ("c", "1", 50), ("e", "1", 2 * DAY)], "k1 string, k2 string, arr long")
+    gone = spark.createDataFrame([("a", "1", 9), ("b", "1", 9), ("c", "1", 9), ("d", "7", 9)], "k1 string, k2 string, del long")
+    out = orphan_references(refs, ["k1", "k2"], parents, ["k1", "k2"], match="partial", at="at", arrived="arr", deletions=gone, deleted_keys=["k1", "k2"], deleted_at="del")
+    assert {(r.k1, r.fate) for r in out.collect()} == {("a", "deleted"), ("d", "deleted"), ("e", "late"), ("f", "missing")}

@@ -391,7 +391,7 @@ def E7_match_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", none(F.col("path_match")).alias("path_match"), F.length("response_header_match").alias("n_header"), F.contains(F.lower("response_body_match"), F.lit("memory")).alias("in_body"), "response_body_byte_offset")
 
 
-SQL["E7_match_previews"] = f"""{_WS}, s AS (SELECT * FROM u ORDER BY ts_micros, coalesce(frame_number, 0), id LIMIT 20000),
+SQL["E7_match_previews"] = rf"""{_WS}, s AS (SELECT * FROM u ORDER BY ts_micros, coalesce(frame_number, 0), id LIMIT 20000),
 p AS (SELECT s.*, d.text, ht.txt FROM s JOIN documents d ON CAST(d.doc_id AS VARCHAR) = s.resp_body_ref JOIN ht ON ht.flow_id = s.id AND ht.response = 1 WHERE regexp_matches(d.text, 'memory', 'i') AND regexp_matches(ht.txt, 'server', 'i') AND NOT (coalesce(protocol = 'DNS', false) OR ts_micros % 37 = 0) ORDER BY ts_micros, coalesce(frame_number, 0), s.id LIMIT 80),
 y AS (SELECT id, coalesce(path, '') AS h, instr(lower(coalesce(path, '')), 'a') AS p, greatest(instr(lower(coalesce(path, '')), 'a') - 60, 1) AS s, txt, text, instr(lower(txt), 'server') AS q, greatest(instr(lower(txt), 'server') - 60, 1) AS r FROM p)
 SELECT id, CASE WHEN p > 0 THEN CASE WHEN s > 1 THEN '…' ELSE '' END || trim(regexp_replace(substring(h, s, p - s + 61), '\s+', ' ', 'g')) || CASE WHEN s + p - s + 61 <= length(h) THEN '…' ELSE '' END ELSE '' END AS path_match,

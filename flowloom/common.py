@@ -63,10 +63,23 @@ def shared_folder(spark: SparkSession, stem: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4()}"
 
 
+#: Bytes above which an estimate of a table's size says nothing.
+LARGEST = 1 << 62
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut the lineage in reliable storage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise and cut the lineage in reliable storage, and what the planner estimates its size at where joins made that too large.
+
+    A checkpoint keeps this estimate and a join multiplies those of its sides, so over rounds the number's length doubles
+    until it fills the driver.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes() < LARGEST:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), done._jdf.schema(), False), spark)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

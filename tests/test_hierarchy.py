@@ -90,3 +90,21 @@ def test_empty(spark):
     empty = spark.createDataFrame([], DDL)
     for way in WAYS:
         assert resolve_hierarchy(empty, **way).count() == 0 and descendants(empty, **way).count() == 0
+
+
+@pytest.mark.parametrize("way", [{"piece_rows": 1}, {"piece_rows": 4}])
+def test_large_trees_are_spelled_by_pieces(spark, way):
+    links = {f"n{k}": f"n{(k - 1) // 2}" if k else "" for k in range(15)} | {f"c{k}": f"c{k - 1}" if k else "n9" for k in range(12)} | {"r": "", "a": "r", "x": "y", "y": "x", "w": "x", "v": "w", "self": "self"}
+    rows = [(k, v, 1, "") for k, v in links.items()]
+    assert resolved(spark, rows, **way) == brute(links)
+    assert {r.id: r.parent for r in resolve_hierarchy(spark.createDataFrame(rows, DDL), **way).collect()} == {k: v or None for k, v in links.items()}
+
+
+def test_ids_whose_numbers_meet_are_told_apart(spark, monkeypatch):
+    """The first two salts give all ids one number."""
+    from flowloom.operators import hierarchy
+
+    number = hierarchy._number
+    monkeypatch.setattr(hierarchy, "_number", lambda c, salt: number(c, salt) % 1 if salt < 2 else number(c, salt))
+    links = {"r": "", "a": "r", "b": "a", "x": "x", "lost": "nowhere"}
+    assert resolved(spark, [(k, v, 1, "") for k, v in links.items()]) == brute(links)
